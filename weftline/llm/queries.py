@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import neardup, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op4_minhash_neardup": neardup.op4_minhash_neardup,
     }
 
 
