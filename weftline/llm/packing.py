@@ -7,7 +7,10 @@ input partition, so the cost is linear and a task's memory is bounded by a block
 
 from __future__ import annotations
 
+import base64
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,9 +66,10 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 def encoder(path: str | None):
     """A function from a list of texts to their ids as little-endian unsigned 32-bit integers.
 
-    A single space between two characters that are not white space always begins a pre-token of this vocabulary, so the
-    stretches between such spaces are encoded once each and kept. A text in which a space has white space beside it, or
-    that holds a special token's string, is encoded whole.
+    A single space between two characters that are not white space always begins a pre-token of this vocabulary, a single
+    line break between two such characters always is one, and a comma or full stop that follows a letter and ends such a
+    stretch is one too. So the stretches are encoded once each, many in a call with a special token between them, and
+    kept. A text in which a space has white space beside it, or that holds a special token's string, is encoded whole.
     """
     if path not in _tokenizers:
         import os
@@ -74,28 +78,65 @@ def encoder(path: str | None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")), {})
-    tokenizer, known = _tokenizers[path]
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    raw = lambda ids: np.asarray(ids, "<u4").tobytes()
+        ranked = None
+        if path is None and sys.byteorder == "little":  # the same vocabulary as ranks, for stretches of Latin letters
+            import tiktoken
+
+            with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _tokenizers[path] = (Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json")), {}, ranked)
+    tokenizer, known, ranked = _tokenizers[path]
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    between, mark = next(iter(special.items()), (None, None))
+    whole = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def stretches(t: str) -> list[str]:
+        if "\0" in t:
+            return [t]
+        if "\n" in t and not ("\n\n" in t or "\n " in t or t[0] == "\n" or t[-1] == "\n"):
+            t = t.replace("\n", "\0\n\0")
+        return t.replace(" ", "\0 ").split("\0")
+
+    def learn(words: list[str]) -> None:
+        if ranked:
+            latin = [w for w in words if w.isascii() or max(w) < "\u0250"]
+            known.update((w, array("I", ranked(w)).tobytes()) for w in latin)
+            words = [w for w in words if w not in known]
+        for lo in range(0, len(words), 2000):
+            some = words[lo : lo + 2000]
+            if between is None:
+                known.update((w, whole(w)) for w in some)
+                continue
+            ids = np.asarray(tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * np.flatnonzero(ids == mark)).tolist()
+            raw = ids.tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+        parts = [stretches(t) for t in texts]
         new = set().union(*parts).difference(known)
         if len(known) + len(new) > 400_000:  # what is kept stays bounded; what goes is encoded again
             known.clear()
             new = set().union(*parts)
-        new = list(new)
-        for word, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            body = word[1:] if word[:1] == " " else word
-            whole = not body or body[0].isspace() or body[-1].isspace() or any(s in word for s in special)
-            known[word] = None if whole and word else raw(e.ids)
+        plain, ended = set(), []
+        for w in new:
+            body = w[1:] if w[:1] == " " else w
+            if w != "\n" and (w == " " or body and (body[0].isspace() or body[-1].isspace()) or any(s in w for s in special)):
+                known[w] = None
+            elif len(body) > 1 and body[-1] in ",." and body[-2] < "\u0250" and body[-2].isalpha():
+                plain.update((w[:-1], w[-1]))
+                ended.append(w)
+            else:
+                plain.add(w)
+        learn(list(plain.difference(known)))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
         out = []
         for text, p in zip(texts, parts, strict=True):
             try:
                 out.append(b"".join(map(known.__getitem__, p)))
             except TypeError:
-                out.append(raw(tokenizer.encode(text, add_special_tokens=False).ids))
+                out.append(whole(text))
         return out
 
     return encode
