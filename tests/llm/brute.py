@@ -31,3 +31,53 @@ def components(texts: dict, size: int, percent: int) -> dict:
                 a, b = sorted((root(d), root(other)))
                 up[b] = a
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def leaks(docs: dict, items: dict, size: int = 5, percent: int = 80) -> set:
+    """(doc_id, item_id) of the documents of which a window as long as the item passes, over all windows."""
+    import math
+
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        n = max(1, len(w) - size + 1)
+        return [tuple(w[i : i + size]) for i in range(n)] if w else [], len(w)
+
+    both = {i: shingles(t) for i, t in items.items()}
+    sets = {i: (set(s), n) for i, (s, n) in both.items() if s}
+    count = defaultdict(int)
+    for s, _ in sets.values():
+        for x in s:
+            count[x] += 1
+    rare = round(16 * (1 + math.log(max(1, len(sets)))))
+    wt = {x: math.floor(16 * (1 + math.log(len(sets) / c)) + 0.5) for x, c in count.items()}
+    found = set()
+    for d, t in docs.items():
+        sh, n = shingles(t)
+        if not any(x in wt for x in sh):
+            continue
+        for i, (own, m) in sets.items():
+            total, k = sum(wt[x] for x in own), max(1, min(m, n) - size + 1)
+            for at in range(max(1, n - m + 1)):
+                w = sh[at : at + k]
+                both = sum(wt[x] for x in own.intersection(w))
+                weight = sum(wt[x] for x in set(w) if x in wt) + rare * sum(x not in wt for x in w)
+                if both and 100 * both >= percent * (weight + total - both):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def base_spans(text: str) -> list:
+    """(start, kind number, end, kind) by the standard library's patterns."""
+    kinds = [("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+    return sorted((m.start(), i, m.end(), k) for i, (k, p, g, n) in enumerate(kinds) for m in re.finditer(p, text or "", re.ASCII) if len(m[g]) >= n)
+
+
+def entropy_range(run: str, classes: dict, window: int = 20):
+    """First and last start of the windows whose entropy reaches the bound of the run's class."""
+    import math
+    from collections import Counter
+
+    bound = next((b for p, b in classes.items() if re.fullmatch(p, run)), 99)
+    hot = [i for i in range(len(run) - window + 1) if round(-sum(c / window * math.log2(c / window) for c in Counter(run[i : i + window]).values()), 9) >= bound]
+    return (hot[0], hot[-1]) if hot else None

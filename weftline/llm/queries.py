@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, toxicity
+from . import chat, decontamination, neardup, packing, secrets, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_minhash_neardup": neardup.op4_minhash_neardup,
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op9_chat_format": chat.op9_chat_format,
+        "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_chat_format": chat.OP9_SQL,
+        "op10_topk": topk.OP10_SQL,
+    }
