@@ -107,8 +107,8 @@ def bands_for(threshold: float, m: int = REGISTERS, miss: float = 1e-5) -> tuple
     return r, m // r
 
 
-def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, sig (16 bytes that stand for the set; null: empty), regs."""
+def _sketched(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
+    """doc_id, n_shingles, sig (16 bytes that stand for the set; null: empty), regs, and the string columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -119,9 +119,10 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([r.astype(">u2").tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()),
-            ], names=["doc_id", "n_shingles", "sig", "regs"])
+                *(part.column(2 + i) for i in range(len(keep))),
+            ], names=["doc_id", "n_shingles", "sig", "regs", *keep])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, regs binary" + "".join(f", {c} string" for c in keep))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -195,7 +196,7 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, margin: float = 0.16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, margin: float = 0.16, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Groups documents whose sets of ``words``-word shingles have 100 * intersection >= percent * union, and what these links reach.
 
     A-Z are lowered; words are runs of characters other than U+0020 and U+0009 to U+000D. Returns per row: doc_id,
@@ -206,11 +207,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     Nulls: a null text is empty; an empty text has an empty set and is linked with nothing; a row with a null doc_id
     groups like any other, and only a group of none but such rows has a null component_id. Repeated rows: each comes
     back; rows that repeat a doc_id with the same text share its component. Ties: the smallest doc_id is kept. Fewer
-    words than ``words``: the whole sequence is the one shingle. An empty table gives no rows. Other columns are ignored.
+    words than ``words``: the whole sequence is the one shingle. An empty table gives no rows. Columns
+    named in ``keep`` come along as strings; others are ignored.
     """
     least = percent / 100
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
-    base = written(_sketched(docs, words), "sketches")
+    own = [F.col(c).cast("string").alias(f"__{c}") for c in keep]
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"), *own)
+    base = written(_sketched(docs, words, [f"__{c}" for c in keep]), "sketches")
+    docs = docs.select("doc_id", "text")
     nodes = written(base.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
     r, count = bands_for(least, REGISTERS, miss)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * r * i, 2 * r)) for i in range(count)])
@@ -256,8 +260,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     named = named.join(names, "comp").select("sig", "component_id")
     named = nodes.select("sig", F.col("doc_id").alias("own")).join(named, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id"))
     return (
-        base.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        base.drop("regs").join(named, "sig", "left")
+        .select("doc_id", "n_shingles", *[F.col(f"__{c}").alias(c) for c in keep], F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 

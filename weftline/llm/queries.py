@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, neardup, packing, secrets, topk, toxicity
+from . import chat, decontamination, neardup, packing, quality, secrets, tokencounts, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,9 @@ def queries() -> dict:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_minhash_neardup": neardup.op4_minhash_neardup,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_token_counts": tokencounts.op6_token_counts,
+        "op7_warc_fixity": warc.op7_warc_fixity,
+        "op8_quality": quality.op8_quality,
         "op9_chat_format": chat.op9_chat_format,
         "op10_topk": topk.op10_topk,
     }
@@ -19,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc_fixity": warc.OP7_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
     }

@@ -38,6 +38,15 @@ def toxicity(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
     return score.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def toxic_flags(docs: DataFrame, model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """``docs`` with score and predicted, by ``text``; all columns are kept, and of clashing names the new ones stay."""
+    own = docs.drop("score", "predicted")
+    keep = ", ".join(f"`{f.name if f.name != text else '__own'}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    rows = own.select(*[F.col(f"`{c}`").alias(c if c != text else "__own") for c in own.columns], null_safe_text(text).alias("text"))
+    back = scored(rows, model, gram_features, keep=keep).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return back.withColumnRenamed("__own", text)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's score, with a model of the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
