@@ -1,8 +1,10 @@
 """Near-duplicate groups by SetSketch registers, banded, estimated jointly by likelihood, and verified on full sets.
 
 Texts with the same set of shingles are one node, so large groups of exact copies cost one row each from then on. Within
-a band's bucket, members are compared with pivots, never all with all: the smallest node first, then as many more of the
-members that are still in another component as it takes until each pair of components in each bucket has been compared.
+a band's bucket, members first meet a few pivots drawn by hash, never all others. What these links leave in different
+components then meets within the bucket under a bound from bitmaps, which lets through pairs that can be links and
+little else; a pair of the same component is not formed again. So every candidate pair of a bucket is either decided
+exactly or already connected.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .shared import M64, NOT_SPACE, dropped, mix, null_safe_text, slices, text_buffers, word_hashes, written
 
+#: Longs of a bitmap; pivots of a bucket.
+LONGS, PIVOTS = 16, 3
 #: Registers of a sketch; base and rate of SetSketch: 1.001 and 20 fit sets up to 10**9 in 16 bits.
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, (1 << 16) - 1
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA5A3564E27F8862F, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -107,22 +110,40 @@ def bands_for(threshold: float, m: int = REGISTERS, miss: float = 1e-5) -> tuple
     return r, m // r
 
 
+def bitmaps(sets: list[np.ndarray], longs: int = LONGS) -> np.ndarray:
+    """One row of ``longs`` 64-bit integers a set; an element sets the bit that its lowest bits number."""
+    on = np.zeros((len(sets), 64 * longs), bool)
+    for row, s in zip(on, sets, strict=True):
+        row[(s % np.uint64(64 * longs)).astype(np.int64)] = True
+    return np.packbits(on, axis=1, bitorder="little").view("<i8")
+
+
+def can_link(percent: int) -> F.Column:
+    """Whether sets a and b can be similar enough, by their sizes na, nb and bitmaps a0.., b0..: never false for a link.
+
+    Each bit that only one of them has is an element that the other lacks.
+    """
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, LONGS)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
+    both = F.least(F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
+    return (100 + percent) * both >= percent * (F.col("na") + F.col("nb"))
+
+
 def _sketched(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """doc_id, n_shingles, sig (16 bytes that stand for the set; null: empty), regs, and the string columns ``keep``."""
+    """doc_id, n_shingles, sig (16 bytes that stand for the set; null: empty), regs, bitmap b0.., and the string columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             data, off = text_buffers(part.column(1))
             sets = shingle_sets(*word_hashes(data, off, NOT_SPACE), size)
-            regs = sketches(sets)
+            regs, bits = sketches(sets), bitmaps(sets)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([r.astype(">u2").tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()),
-                *(part.column(2 + i) for i in range(len(keep))),
-            ], names=["doc_id", "n_shingles", "sig", "regs", *keep])
+                *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(LONGS)), *(part.column(2 + i) for i in range(len(keep))),
+            ], names=["doc_id", "n_shingles", "sig", "regs", *(f"b{i}" for i in range(LONGS)), *keep])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, regs binary" + "".join(f", {c} string" for c in keep))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, regs binary" + "".join(f", b{i} long" for i in range(LONGS)) + "".join(f", {c} string" for c in keep))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -134,14 +155,21 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             sets = shingle_sets(*word_hashes(data, off, NOT_SPACE), size)
             yield pa.RecordBatch.from_arrays([
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32), pa.array(np.concatenate(sets).view(np.int64))),
             ], names=["sig", "shingles"])
 
-    return docs.mapInArrow(run, "sig binary, shingles binary")
+    return docs.mapInArrow(run, "sig binary, shingles array<bigint>")
+
+
+def _side(nodes: DataFrame, c: str, *more: str) -> DataFrame:
+    """A node's columns as those of side ``c`` of a pair."""
+    names = {"sig": c, "n": f"n{c}", "regs": f"reg{c}"} | {f"b{i}": f"{c}{i}" for i in range(LONGS)}
+    return nodes.select(*[F.col(k).alias(v) for k, v in names.items() if k != "regs" or k in more])
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b), those whose likelihood estimate is at least ``least``."""
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Of pairs (a, b), those that can be links and whose likelihood estimate is within ``margin`` of the threshold."""
+    least = percent / 100 - margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -151,8 +179,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             na, nb = (t.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in (4, 5))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(joint_estimate(ra, rb, na, nb) >= least))
 
-    side = lambda c: nodes.select(F.col("sig").alias(c), F.col("regs").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(_side(nodes, "b", "regs"), "b").join(_side(nodes, "a", "regs"), "a").filter(can_link(percent)).select("a", "b", "rega", "regb", "na", "nb").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,8 +188,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             on = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            cut = [(np.asarray(c.offsets), np.asarray(c.values)) for c in t.columns[2:4]]
+            for i in range(t.num_rows):
+                x, y = (v[o[i] : o[i + 1]] for o, v in cut)
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     on.append(False)
                     continue
@@ -210,51 +238,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     words than ``words``: the whole sequence is the one shingle. An empty table gives no rows. Columns
     named in ``keep`` come along as strings; others are ignored.
     """
-    least = percent / 100
     own = [F.col(c).cast("string").alias(f"__{c}") for c in keep]
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"), *own)
     base = written(_sketched(docs, words, [f"__{c}" for c in keep]), "sketches")
     docs = docs.select("doc_id", "text")
-    nodes = written(base.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
-    r, count = bands_for(least, REGISTERS, miss)
+    bits = [f"b{i}" for i in range(LONGS)]
+    nodes = base.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), *[F.first(b).alias(b) for b in bits])
+    nodes = written(nodes, "nodes")
+    r, count = bands_for(percent / 100, REGISTERS, miss)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * r * i, 2 * r)) for i in range(count)])
     bands = nodes.select("sig", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(bands.join(shared, "key").select("key", "sig", "pivot", "size"), "members")
-
-    pairs = members.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    near = written(_estimated(pairs, nodes, least - margin), "candidates")
-    needed = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct()
-    sets = written(_full_sets(needed, nodes, docs, words), "sets")
-    edges = written(_verified(near, sets, percent), "edges")
-    label = written(components(edges), "components")
-
-    open_, tested, pivots = members.filter("size > 2"), pairs, 4
-    while True:
-        at = open_.join(label, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        mixed = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        at = written(at.join(mixed, "key"), "open")
-        main = at.filter("sig = pivot").select("key", F.col("comp").alias("main"))
-        left = at.join(main, "key").filter("comp <> main").select("key", F.col("sig").alias("a"), F.col("comp").alias("ca"))
-        order = F.row_number().over(W.partitionBy("key").orderBy("a"))
-        some = left.withColumn("rank", order).filter(F.col("rank") <= pivots)
-        pair = some.join(at.select("key", F.col("sig").alias("b"), F.col("comp").alias("cb")), "key").filter("ca <> cb")
-        fresh = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        if fresh.isEmpty():
-            # every pair of components in a bucket has met, unless some bucket has more such members than pivots
-            if left.groupBy("key").count().filter(F.col("count") > pivots).isEmpty():
-                break
-        else:
-            tested = tested.union(fresh)
-            more = written(_estimated(fresh, nodes, least - margin), "candidates")
-            needed = more.select(F.col("a").alias("sig")).union(more.select("b")).distinct().join(sets, "sig", "left_anti")
-            sets = sets.union(written(_full_sets(needed, nodes, docs, words), "sets"))
-            more = written(_verified(more, sets, percent), "edges")
-            if not more.isEmpty():
-                edges = edges.union(more)
-                label = written(components(edges), "components")
-        open_, pivots = at.select("key", "sig", "pivot", "size"), 4 * pivots
+    # pivots are drawn by hash in each bucket, so that a node meets as many others as it has buckets, several times over
+    drawn = F.array(*[F.min(F.struct(F.xxhash64("key", "sig", F.lit(i)).alias("h"), "sig"))["sig"] for i in range(PIVOTS)])
+    shared = bands.groupBy("key").agg(drawn.alias("pivots"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(bands.join(shared, "key"), "members")
+
+    pairs = members.select("sig", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("sig <> pivot")
+    pairs = pairs.select(F.least("pivot", "sig").alias("a"), F.greatest("pivot", "sig").alias("b")).distinct()
+    label = _linked(pairs, nodes, docs, words, percent, margin)
+
+    # what is left: members of a bucket that are not in its main component, each with all of another component
+    at = members.filter("size > 2").select("key", "sig", F.col("pivots")[0].alias("pivot")).join(label, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    ends = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("sig") == F.col("pivot"), F.col("comp"))).alias("main")).filter("low < high").select("key", "main")
+    at = written(at.join(ends, "key").join(nodes.drop("doc_id", "regs"), "sig").drop("pivot"), "open")
+    left = at.filter("comp <> main").select("key", F.col("comp").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"), *[F.col(b).alias(f"a{b[1:]}") for b in bits])
+    other = at.select("key", F.col("comp").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"), *bits)
+    may = (F.col("l.key") == F.col("o.key")) & (F.col("ca") != F.col("cb")) & can_link(percent)
+    fresh = left.alias("l").join(other.alias("o"), may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    label = _linked(fresh.join(pairs, ["a", "b"], "left_anti"), nodes, docs, words, percent, margin, label)
     named = nodes.select("sig", F.col("doc_id").alias("own")).join(label, "sig")
     names = named.groupBy("comp").agg(F.min("own").alias("component_id"))
     named = named.join(names, "comp").select("sig", "component_id")
@@ -266,6 +277,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     )
 
 
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, margin: float, label: DataFrame | None = None):
+    """The components (sig, comp) that verified pairs make, on top of those in ``label``."""
+    near = written(_estimated(pairs, nodes, percent, margin), "candidates")
+    needed = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct()
+    sets = written(_full_sets(needed, nodes, docs, words), "sets")
+    edges = written(_verified(near, sets, percent), "edges")
+    dropped(near)
+    dropped(sets)
+    if label is None:
+        return written(components(edges), "components")
+    named = label.select(F.col("sig").alias("a"), F.col("comp").alias("ca"))
+    over = edges.join(named, "a", "left").join(named.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+    over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+    top = written(components(over), "components").select(F.col("sig").alias("comp"), F.col("comp").alias("top"))
+    known = label.join(top, "comp", "left").select("sig", F.coalesce("top", "comp").alias("comp"))
+    new = top.join(label.select(F.col("sig").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("sig"), F.col("top").alias("comp"))
+    return written(known.union(new), "components")
+
+
 def _full_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """sig and full set of each needed node, from the text of one document of it."""
     ids = needed.join(nodes.select("sig", "doc_id"), "sig").select("sig", "doc_id")
