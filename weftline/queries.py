@@ -1,11 +1,547 @@
-"""Every query of the engine, by name, with its SQL twin."""
+"""Every query of the engine by name, each next to its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from weftline.functions import dates, prompts, text, urls, vectors
+from weftline.operators import analytics, authority, clustering, graph, recommend, similarity, store
+from weftline.plans.catalog import ITEMS_SQL, LINKED_SQL, SNAPSHOTS_SQL, content_items, linked_items, sites, snapshots, table
+from weftline.sources import feeds, html
+
+AS_OF = "2024-01-15"
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+STOPS_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+TOKENS_SQL = rf"list_filter(list_transform(regexp_extract_all({{t}}, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'), lambda w: lower(w)), lambda w: length(w) >= 2 AND NOT list_contains({STOPS_SQL}, w))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# --- snapshots
+
+
+@query(f"""WITH {SNAPSHOTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY site_id, source ORDER BY captured_at DESC, id DESC) AS n FROM snapshots)
+SELECT site_id, source, captured_at, id, revenue FROM r WHERE n = 1""")
+def latest_by_source(spark, d):
+    return analytics.latest_by_source(snapshots(spark, d))
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT site_id, count(*) AS snapshots, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(captured_at) AS latest FROM snapshots GROUP BY site_id")
+def snapshot_summary(spark, d):
+    return analytics.summary(snapshots(spark, d))
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT * FROM snapshots WHERE site_id = 1 AND source = 'click' ORDER BY captured_at DESC, id DESC LIMIT 50")
+def snapshots_recent(spark, d):
+    return analytics.recent(snapshots(spark, d), 1, "click")
+
+
+@query("""WITH r AS (SELECT ts::DATE AS day, (event_type = 'click')::INT AS clicks, (event_type = 'view')::INT AS impressions, CASE WHEN event_type = 'view' THEN (event_id % 20)::DOUBLE END AS position FROM events)
+SELECT day, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, round(avg(position), 6) AS position,
+  CASE WHEN sum(impressions) > 0 THEN round(sum(clicks)::DOUBLE / sum(impressions), 6) ELSE 0 END AS ctr FROM r GROUP BY day""")
+def gsc_totals(spark, d):
+    e, on = table(spark, d, "events"), F.col("event_type")
+    rows = e.select(F.to_date("ts").alias("day"), (on == "click").cast("int").alias("clicks"), (on == "view").cast("int").alias("impressions"), F.when(on == "view", (F.col("event_id") % 20).cast("double")).alias("position"))
+    return analytics.search_totals(rows, "day")
+
+
+@query("""WITH r AS (SELECT user_id % 7 AS channel, (event_type = 'view')::INT AS sessions, (event_type = 'purchase')::INT AS conversions, value::DECIMAL(12, 2) AS revenue FROM events)
+SELECT channel, sum(sessions)::BIGINT AS sessions, sum(conversions)::BIGINT AS conversions, round(sum(revenue), 2)::DOUBLE AS revenue, count(*) AS rows FROM r GROUP BY channel""")
+def ga4_totals(spark, d):
+    e, on = table(spark, d, "events"), F.col("event_type")
+    rows = e.select((F.col("user_id") % 7).alias("channel"), (on == "view").cast("int").alias("sessions"), (on == "purchase").cast("int").alias("conversions"), F.col("value").cast("decimal(12,2)").alias("revenue"))
+    return analytics.traffic_totals(rows, "channel").withColumn("revenue", F.col("revenue").cast("double"))
+
+
+# --- content
+
+
+@query("SELECT dense_rank() OVER (ORDER BY source) AS id, source AS name, source AS domain FROM (SELECT DISTINCT source FROM documents)")
+def site_list(spark, d):
+    return sites(spark, d)
+
+
+@query(f"WITH {ITEMS_SQL}, s AS (SELECT dense_rank() OVER (ORDER BY source) AS site_id, source AS domain FROM (SELECT DISTINCT source FROM documents)) SELECT site_id, id, url FROM items JOIN s USING (domain) WHERE domain = 'src3'")
+def site_join(spark, d):
+    s = sites(spark, d).filter("domain = 'src3'").select(F.col("id").alias("site_id"), "domain")
+    return content_items(spark, d).join(s, "domain").select("site_id", "id", "url")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT id, url, title, updated_at FROM items WHERE id = 42")
+def item_by_id(spark, d):
+    return content_items(spark, d).filter("id = 42").select("id", "url", "title", "updated_at")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT domain, count(*) AS items, count(embedding) AS embedded, count(cluster_id) AS clustered, count(DISTINCT cluster_id) AS clusters, max(len(embedding))::INT AS dim FROM items GROUP BY domain""")
+def cluster_status(spark, d):
+    return clustering.status(content_items(spark, d))
+
+
+@query("SELECT max(len(embedding))::INT AS dim, count(*) AS vectors FROM embeddings WHERE len(embedding) > 0")
+def embedding_dim(spark, d):
+    return table(spark, d, "embeddings").filter(F.size("embedding") > 0).agg(F.max(F.size("embedding")).alias("dim"), F.count(F.lit(1)).alias("vectors"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT domain, count(*) AS total FROM items WHERE title ILIKE '%th%' OR url ILIKE '%th%' GROUP BY domain")
+def content_search(spark, d):
+    return content_items(spark, d).filter(F.col("title").ilike("%th%") | F.col("url").ilike("%th%")).groupBy("domain").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT id, url, title FROM items WHERE title ILIKE '%en%' OR url ILIKE '%en%' ORDER BY id DESC LIMIT 20 OFFSET 20")
+def content_search_page(spark, d):
+    return content_items(spark, d).filter(F.col("title").ilike("%en%") | F.col("url").ilike("%en%")).select("id", "url", "title").orderBy(F.col("id").desc()).offset(20).limit(20)
+
+
+@query("SELECT doc_id AS id FROM documents WHERE text IS NULL OR text = '' OR n_chars < 100 ORDER BY doc_id DESC LIMIT 100")
+def pending_scrape(spark, d):
+    t = table(spark, d, "documents")
+    return t.filter(F.col("text").isNull() | (F.col("text") == "") | (F.col("n_chars") < 100)).select(F.col("doc_id").alias("id")).orderBy(F.col("id").desc()).limit(100)
+
+
+@query(f"WITH {ITEMS_SQL} SELECT domain, count(*) AS missing FROM items WHERE embedding IS NULL OR len(embedding) = 0 GROUP BY domain")
+def embedding_missing(spark, d):
+    return content_items(spark, d).filter(F.col("embedding").isNull() | (F.size("embedding") == 0)).groupBy("domain").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query(r"SELECT page_id, regexp_replace(coalesce(url, ''), '^https?://[^/?#]*', '') AS raw, CASE WHEN regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END AS path, regexp_matches(url, '^https?://[^/?#]*/?$') AS home FROM pages")
+def url_paths(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.coalesce(u, F.lit("")), "^https?://[^/?#]*", "").alias("raw"), urls.path(u).alias("path"), urls.is_homepage(u).alias("home"))
+
+
+@query(r"SELECT s_suppkey, CASE WHEN s_name = '' THEN NULL ELSE 'https://' || s_name || '/' END AS site_url FROM supplier")
+def site_url_normalised(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", urls.site_url(F.col("s_name")).alias("site_url"))
+
+
+# --- freshness
+
+AGES_SQL = f"WITH {ITEMS_SQL}, f AS (SELECT id, datediff('day', updated_at::DATE, DATE '{AS_OF}') AS age FROM items), s AS (SELECT id, CASE WHEN age < 0 THEN 0 ELSE pow(0.5, age / 30.0) END AS score FROM f)"
+
+
+@query(f"{AGES_SQL} SELECT id, round(score, 6) AS score FROM s")
+def freshness_scores(spark, d):
+    day = dates.parsed(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return content_items(spark, d).select("id", F.round(dates.freshness(day, F.lit(AS_OF).cast("date")), 6).alias("score"))
+
+
+@query(f"{AGES_SQL} SELECT CASE WHEN score >= 0.85 THEN 'hot' WHEN score >= 0.60 THEN 'fresh' WHEN score >= 0.40 THEN 'warm' ELSE 'stale' END AS bucket, count(*) AS items, round(avg(n_chars), 3) AS avg_chars FROM s JOIN documents ON doc_id = id GROUP BY 1")
+def freshness_histogram(spark, d):
+    day = F.lit("2023-06-01").cast("date") + (F.col("doc_id") % 400).cast("int")
+    rows = table(spark, d, "documents").select(dates.bucket(dates.freshness(day, F.lit(AS_OF).cast("date"))).alias("bucket"), "n_chars")
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("n_chars"), 3).alias("avg_chars"))
+
+
+@query(f"SELECT t AS token, CASE t WHEN 'today' THEN DATE '{AS_OF}' WHEN 'yesterday' THEN DATE '{AS_OF}' - 1 WHEN '7daysAgo' THEN DATE '{AS_OF}' - 7 WHEN '2023-12-31' THEN DATE '2023-12-31' END AS day FROM (VALUES ('today'), ('yesterday'), ('7daysAgo'), ('2023-12-31'), ('soon')) v(t)")
+def period_tokens(spark, d):
+    rows = spark.createDataFrame([(t,) for t in ("today", "yesterday", "7daysAgo", "2023-12-31", "soon")], "token string")
+    return rows.select("token", dates.period(F.col("token"), F.lit(AS_OF).cast("timestamp")).alias("day"))
+
+
+# --- texts
+
+
+@query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', '')))::INT // 3 AS the, (length(lower(text)) - length(replace(lower(text), 'ion', '')))::INT // 3 AS ion FROM documents")
+def keyword_frequency(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.keyword_count(F.col("text"), F.lit("The")).alias("the"), text.keyword_count(F.col("text"), F.lit("ion")).alias("ion"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'the') AND contains(lower(text), 'with') AS has FROM documents")
+def contains_all_keywords(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.contains_all(F.col("text"), ["The", " ", None, "with"]).alias("has"))
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES (0, 'the'), (1, 'of'), (2, 'ion'), (3, 'und'), (4, 'que')) v(place, keyword))
+SELECT place, keyword, sum((length(lower(text)) - length(replace(lower(text), keyword, ''))) // length(keyword))::BIGINT AS hits FROM documents, k GROUP BY place, keyword ORDER BY hits DESC, place LIMIT 3""")
+def top_keywords(spark, d):
+    words = ["the", "of", "ion", "und", "que"]
+    sums = table(spark, d, "documents").agg(*[F.sum(text.keyword_count(F.col("text"), F.lit(w)).cast("long")).alias(w) for w in words])
+    rows = sums.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(w).alias("keyword"), F.col(f"`{w}`").alias("hits")) for i, w in enumerate(words)])).alias("x")).select("x.*")
+    return rows.orderBy(F.col("hits").desc(), "place").limit(3)
+
+
+@query(f"WITH t AS (SELECT doc_id, {TOKENS_SQL.format(t='text')} AS w FROM documents) SELECT doc_id, len(w)::INT AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM t")
+def tokens(spark, d):
+    w = text.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS_SQL.format(t='text')} AS w FROM documents)
+SELECT doc_id, (len(w) + greatest(len(w) - 1, 0))::INT AS n_terms, md5(array_to_string(list_concat(w, CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END), '|')) AS digest FROM t""")
+def ngrams(spark, d):
+    t = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w")).select("doc_id", text.ngrams(F.col("w")).alias("g"))
+    return t.select("doc_id", F.size("g").alias("n_terms"), F.md5(F.array_join("g", "|")).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS digest FROM documents")
+def clean_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.clean(F.col("text"))).alias("digest"))
+
+
+TERMS_SQL = f"""d AS (SELECT cluster_id, id, {TOKENS_SQL.format(t="title")} AS w FROM items WHERE cluster_id IS NOT NULL),
+n AS (SELECT cluster_id, count(*) AS docs FROM d GROUP BY cluster_id),
+g AS (SELECT cluster_id, id, list_concat(w, CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+e AS (SELECT cluster_id, id, unnest(g) AS term, unnest(range(len(g))) AS pos FROM g),
+p AS (SELECT cluster_id, id, term, count(*) AS c, min(pos) AS pos FROM e GROUP BY ALL),
+a AS (SELECT cluster_id, term, sum(c) AS tf, count(*) AS df, min({{'id': id, 'pos': pos}}) AS f FROM p GROUP BY ALL),
+s AS (SELECT cluster_id, term, tf::BIGINT AS tf, df, f, round(tf::DOUBLE / docs * (ln((docs + 1)::DOUBLE / (df + 1)) + 1), 9) AS score FROM a JOIN n USING (cluster_id) WHERE df >= 2 AND df <= 0.8 * docs)"""
+
+
+def _titles(spark, d):
+    return content_items(spark, d).select("cluster_id", "id", F.col("title").alias("text"))
+
+
+@query(f"WITH {ITEMS_SQL}, {TERMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, f) AS place FROM s) SELECT cluster_id, place::INT AS place, term, tf, df, score FROM r WHERE place <= 10")
+def tfidf_terms(spark, d):
+    return clustering.top_terms(clustering.tfidf(_titles(spark, d)))
+
+
+@query()
+def tfidf_labels(spark, d):
+    return clustering.labels(clustering.tfidf(_titles(spark, d)))
+
+
+# --- vectors and clusters
+
+
+@query(f"""WITH {LINKED_SQL}, e AS (SELECT cluster_id, unnest(u) AS x, unnest(range(64)) AS i FROM linked), m AS (SELECT cluster_id, i, avg(x) AS x, count(*) AS size FROM e GROUP BY ALL),
+l AS (SELECT cluster_id, size, list(x ORDER BY i) AS m FROM m GROUP BY ALL)
+SELECT cluster_id, size, round(m[1] / sqrt(list_inner_product(m, m)), 6) AS c0, round(m[64] / sqrt(list_inner_product(m, m)), 6) AS c63 FROM l""")
+def centroids(spark, d):
+    c = clustering.centroids(linked_items(spark, d))
+    return c.select("cluster_id", "size", F.round(F.col("centroid")[0], 6).alias("c0"), F.round(F.col("centroid")[63], 6).alias("c63"))
+
+
+CENTRES_SQL = f"""{LINKED_SQL}, e AS (SELECT cluster_id, unnest(u) AS x, unnest(range(64)) AS i FROM linked), m AS (SELECT cluster_id, i, avg(x) AS x, count(*) AS size FROM e GROUP BY ALL),
+l AS (SELECT cluster_id, size, list(x ORDER BY i) AS m FROM m GROUP BY ALL),
+c AS (SELECT cluster_id, size, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM l)"""
+
+
+@query(f"""WITH {CENTRES_SQL}, x AS (SELECT l.id, c.cluster_id AS near, row_number() OVER (PARTITION BY l.id ORDER BY round(list_inner_product(l.u, c.c), 6) DESC, c.cluster_id) AS n FROM linked l, c)
+SELECT id, near FROM x WHERE n = 1""")
+def nearest_centroid(spark, d):
+    items = linked_items(spark, d)
+    c = [(r["cluster_id"], r["centroid"]) for r in clustering.centroids(items).orderBy("cluster_id").collect()]
+    return clustering.nearest(items, c).select("id", "near")
+
+
+@query(f"""WITH {CENTRES_SQL}, x AS (SELECT cluster_id, size, id, round(list_inner_product(u, c), 6) AS similarity FROM linked JOIN c USING (cluster_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, id)::INT AS place FROM x) SELECT cluster_id, size, place, id, similarity FROM r WHERE place <= 5""")
+def cluster_preview(spark, d):
+    return clustering.preview(linked_items(spark, d))
+
+
+@query(f"""WITH {CENTRES_SQL}, x AS (SELECT cluster_id, id, url, round(list_inner_product(u, c), 6) AS similarity FROM linked JOIN c USING (cluster_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, id) AS place FROM x) SELECT cluster_id, string_agg(CASE WHEN id % 3 = 0 THEN url ELSE 't' || id END, ' | ' ORDER BY place) AS titles FROM r WHERE place <= 5 GROUP BY cluster_id""")
+def cluster_samples(spark, d):
+    return clustering.samples(linked_items(spark, d).withColumn("title", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("t"), "id"))))
+
+
+@query("SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY label")
+def cluster_sizes(spark, d):
+    return linked_items(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query()
+def kmeans_full(spark, d):
+    return clustering.kmeans(linked_items(spark, d))
+
+
+@query()
+def cluster_topics_full(spark, d):
+    """k-means of all embedded items, then labels of each cluster by its titles."""
+    items = content_items(spark, d).filter(F.col("embedding").isNotNull())
+    found = clustering.kmeans(items, k=8).select("id", F.col("cluster").alias("cluster_id"))
+    docs = items.drop("cluster_id").join(found, "id").select("cluster_id", "id", clustering.label_text(F.col("title"), F.lit(None).cast("string"), F.col("url")).alias("text"))
+    return clustering.labels(clustering.tfidf(docs))
+
+
+LINKS_SQL = f"""WITH {LINKED_SQL}, p AS (SELECT a.id AS source_id, b.id AS target_id, a.url AS source_url, b.url AS target_url, round(list_inner_product(a.u, b.u), 6) AS similarity
+  FROM linked a JOIN linked b ON a.path <> b.path AND NOT b.home AND NOT regexp_matches(a.path, '^/c9/') AND NOT regexp_matches(b.path, '^/c9/')),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS place FROM p)"""
+
+
+@query(LINKS_SQL + " SELECT source_id, target_id, source_url, target_url, similarity FROM r WHERE place <= 5 AND similarity >= 0.25")
+def internal_links(spark, d):
+    return similarity.link_suggestions(linked_items(spark, d), 5, 0.25, "^/c9/")
+
+
+@query(LINKS_SQL + ", m AS (SELECT source_id, max(similarity) AS most FROM r GROUP BY 1) SELECT source_id, target_id, source_url, target_url, similarity FROM r JOIN m USING (source_id) WHERE place <= 5 AND (similarity >= 0.45 OR most < 0.45)")
+def internal_links_fallback(spark, d):
+    return similarity.link_suggestions(linked_items(spark, d), 5, 0.45, "^/c9/", fallback=True)
+
+
+CHAR_SQL = """c AS (SELECT id, unnest(range(length(t))) AS i, unnest(string_split(t, '')) AS ch FROM t WHERE t <> ''),
+h AS (SELECT id, ((unicode(ch)::HUGEINT * 1315423911 + i::HUGEINT * 2654435761) % 4294967296)::BIGINT AS h FROM c),
+b AS (SELECT id, h % 64 AS b, sum((h >> 24) % 256 - 128)::DOUBLE AS v FROM h GROUP BY ALL),
+n AS (SELECT id, sqrt(sum(v * v)) AS n FROM b GROUP BY id)"""
+
+
+@query(f"""WITH t AS (SELECT page_id AS id, coalesce(url, '') AS t FROM pages), {CHAR_SQL}
+SELECT id, string_agg(b || ':' || round(CASE WHEN n > 0 THEN v / n ELSE v END * 1000)::INT, ',' ORDER BY b) AS digest FROM b JOIN n USING (id) WHERE v <> 0 GROUP BY id""")
+def char_hash_embedding(spark, d):
+    e = table(spark, d, "pages").select(F.col("page_id").alias("id"), vectors.char_hash(F.col("url")).alias("e"))
+    cells = F.filter(F.transform("e", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(x * 1000).cast("int").cast("string")))), lambda x: x.isNotNull())
+    return e.select("id", F.array_join(cells, ",").alias("digest"))
+
+
+@query()
+def seeded_normal_embedding(spark, d):
+    return table(spark, d, "pages").select("page_id", vectors.seeded_normal()("url").alias("embedding"))
+
+
+@query()
+def embedder_info(spark, d):
+    e = spark.range(1).select(vectors.char_hash(F.lit("probe")).alias("e"))
+    return e.select(F.size("e").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("e"), F.col("e"))), 6).alias("norm"))
+
+
+@query()
+def retrieval_topk(spark, d):
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.format_string("https://bench.example/%d", "item_id").alias("url"), F.substring("text", 1, 40).alias("title"), "text")
+    return similarity.retrieve(docs, "the thing and the other", 5).select("id", "url", "score")
+
+
+# --- recommendations and stores
+
+RISK_SQL = f"id, domain, 'at_risk' AS flag, 0.85::DOUBLE AS score FROM items WHERE updated_at < TIMESTAMP '{AS_OF}' - INTERVAL 180 DAYS"
+WINS_SQL = "id, domain, 'quick_win' AS flag, round(0.7 + least(0.2, (length(title) - 60) / 100.0), 6)::DOUBLE AS score FROM items WHERE length(title) > 60"
+CAND_SQL = f"""{ITEMS_SQL}, cand AS ((SELECT {RISK_SQL} ORDER BY id LIMIT 100) UNION ALL (SELECT {WINS_SQL} ORDER BY id LIMIT 100) UNION ALL SELECT DISTINCT NULL, domain, 'emerging_topic', 0.65::DOUBLE FROM items)"""
+
+
+@query(f"WITH {ITEMS_SQL}, q AS (SELECT {WINS_SQL}) SELECT * FROM q ORDER BY score DESC NULLS LAST, id LIMIT 50")
+def quick_wins(spark, d):
+    return recommend.ranked(recommend.quick_wins(content_items(spark, d)).drop("rationale"), "quick_win")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT {RISK_SQL} ORDER BY id LIMIT 50")
+def content_at_risk(spark, d):
+    return recommend.ranked(recommend.at_risk(content_items(spark, d), AS_OF).drop("rationale"), "at_risk")
+
+
+@query(f"WITH {CAND_SQL} SELECT * FROM cand")
+def recommend_candidates(spark, d):
+    return recommend.candidates(content_items(spark, d), AS_OF).drop("rationale")
+
+
+@query(f"WITH {CAND_SQL} SELECT flag, count(*) AS candidates FROM cand GROUP BY flag")
+def recommend_counts(spark, d):
+    return recommend.candidates(content_items(spark, d), AS_OF).groupBy("flag").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query(f"""WITH {CAND_SQL}, old AS (SELECT id, domain, flag, CASE WHEN id % 2 = 0 THEN 0.5 ELSE 0.99 END::DOUBLE AS score FROM cand WHERE coalesce(id, 0) % 3 = 0)
+SELECT c.id, c.domain, c.flag, CASE WHEN o.flag IS NULL OR c.score > coalesce(o.score, 0) THEN c.score ELSE o.score END AS score,
+  CASE WHEN o.flag IS NULL THEN 'inserted' WHEN c.score > coalesce(o.score, 0) THEN 'updated' ELSE 'kept' END AS outcome
+FROM cand c LEFT JOIN old o ON c.id IS NOT DISTINCT FROM o.id AND c.domain = o.domain AND c.flag = o.flag""")
+def recommend_upsert(spark, d):
+    new = recommend.candidates(content_items(spark, d), AS_OF)
+    old = new.filter(F.coalesce("id", F.lit(0)) % 3 == 0).withColumn("score", F.when(F.col("id") % 2 == 0, 0.5).otherwise(0.99))
+    return recommend.merge(old, new)
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name || ' new' FROM customer WHERE c_custkey % 2 = 1")
+def anti_insert(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return store.insert_new(c.filter("id % 2 = 0"), c.withColumn("name", F.concat("name", F.lit(" new"))), ["id"], F.col("name"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderpriority AS title, TIMESTAMP '2023-01-01' AS at FROM orders WHERE o_orderkey % 3 > 0), s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS title FROM orders WHERE o_orderkey % 3 < 2)
+SELECT coalesce(t.id, s.id) AS id, CASE WHEN s.id IS NULL THEN t.title ELSE nullif(s.title, '') END AS title, coalesce(t.at, TIMESTAMP '2024-01-15') AS created_at, CASE WHEN s.id IS NULL THEN t.at ELSE TIMESTAMP '2024-01-15' END AS updated_at FROM t FULL JOIN s ON t.id = s.id""")
+def upsert_content(spark, d):
+    o, at = table(spark, d, "orders"), F.lit("2023-01-01").cast("timestamp")
+    t = o.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), at.alias("created_at"), at.alias("updated_at"))
+    s = o.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderstatus")).alias("title"))
+    return store.upsert(t, s, ["id"], ["title"], F.lit(AS_OF).cast("timestamp"), F.lit(0))
+
+
+@query("SELECT vec_id AS id, label AS old, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE (vec_id % 10)::INT END AS new FROM embeddings WHERE label IS DISTINCT FROM CASE WHEN vec_id % 10 = 0 THEN NULL ELSE (vec_id % 10)::INT END")
+def diff_update(spark, d):
+    t = linked_items(spark, d).select("id", "cluster_id")
+    return store.changed(t, t.withColumn("cluster_id", F.when(F.col("id") % 10 != 0, (F.col("id") % 10).cast("int"))), "id", "cluster_id")
+
+
+@query("SELECT label AS cluster_id, count(label) AS cleared FROM embeddings WHERE label IS NOT NULL GROUP BY label")
+def clear_clusters(spark, d):
+    return linked_items(spark, d).filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("cluster_id").alias("cleared"))
+
+
+@query("SELECT DISTINCT replace(p_brand, '#', '-') AS key, lower(p_brand) AS name FROM part WHERE contains(lower(p_brand), '1')")
+def brand_list(spark, d):
+    key = F.replace("p_brand", F.lit("#"), F.lit("-"))
+    b = table(spark, d, "part").select(key.alias("key"), F.lower("p_brand").alias("name"), F.lit("").alias("audience"), F.array(F.lit("Parts")).alias("categories")).distinct()
+    return feeds.brand_list(b, "1", "parts").select("key", "name")
+
+
+# --- graph over the suggested links
+
+EDGES_SQL = LINKS_SQL + ", edges AS (SELECT source_id AS src, target_id AS dst FROM r WHERE place <= 3), nodes AS (SELECT id FROM linked)"
+
+
+def _graph(spark, d):
+    e = similarity.link_suggestions(linked_items(spark, d), 3, -1.0, "^/c9/").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    return linked_items(spark, d).select("id"), e.persist()
+
+
+@query(EDGES_SQL + " SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS degree_in, (SELECT count(*) FROM edges WHERE src = id) AS degree_out FROM nodes")
+def degrees(spark, d):
+    return graph.degrees(*_graph(spark, d))
+
+
+def _pagerank_sql(steps: int) -> str:
+    out = EDGES_SQL + ", n AS (SELECT count(*)::DOUBLE AS n FROM nodes), o AS (SELECT src, count(*)::DOUBLE AS o FROM edges GROUP BY src), r0 AS (SELECT id, 1 / n AS r FROM nodes, n)"
+    for k in range(steps):
+        out += f""", g{k} AS (SELECT dst AS id, sum(r / o) AS g FROM edges JOIN r{k} ON src = r{k}.id JOIN o USING (src) GROUP BY dst), l{k} AS (SELECT coalesce(sum(r), 0) AS l FROM r{k} WHERE id NOT IN (SELECT src FROM o)),
+        r{k + 1} AS (SELECT nodes.id, 0.15 / n + 0.85 * (coalesce(g, 0) + l / n) AS r FROM nodes LEFT JOIN g{k} USING (id), n, l{k})"""
+    return out + f" SELECT id, round(r, 6) AS pagerank FROM r{steps}"
+
+
+@query(_pagerank_sql(5))
+def pagerank_fixed_steps(spark, d):
+    return graph.pagerank(*_graph(spark, d), steps=5)
+
+
+def _hits_sql(steps: int) -> str:
+    out = EDGES_SQL + ", h0 AS (SELECT id, 1.0::DOUBLE AS h FROM nodes)"
+    for k in range(steps):
+        out += f""", x{k} AS (SELECT nodes.id, coalesce(sum(h), 0) AS a FROM nodes LEFT JOIN edges ON dst = nodes.id LEFT JOIN h{k} ON src = h{k}.id GROUP BY nodes.id), a{k + 1} AS (SELECT id, a / (SELECT sqrt(sum(a * a)) FROM x{k}) AS a FROM x{k}),
+        y{k} AS (SELECT nodes.id, coalesce(sum(a), 0) AS h FROM nodes LEFT JOIN edges ON src = nodes.id LEFT JOIN a{k + 1} ON dst = a{k + 1}.id GROUP BY nodes.id), h{k + 1} AS (SELECT id, h / (SELECT sqrt(sum(h * h)) FROM y{k}) AS h FROM y{k})"""
+    return out + f" SELECT id, round(h, 6) AS hub, round(a, 6) AS authority FROM h{steps} JOIN a{steps} USING (id)"
+
+
+@query(_hits_sql(3))
+def hits_fixed_steps(spark, d):
+    return graph.hits(*_graph(spark, d), steps=3)
+
+
+@query()
+def graph_export(spark, d):
+    return graph.export(*_graph(spark, d))
+
+
+@query()
+def page_link_edges(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", "html")
+    links = p.select(F.col("url").alias("from_url"), F.explode(html.hrefs("html")).alias("href"))
+    return graph.link_edges(links, p)
+
+
+# --- authority and pages
+
+
+@query(r"""SELECT doc_id, (len(regexp_extract_all(text, '\[(?:[0-9]{1,3}|fn:[0-9A-Za-z_]+)\]')) + len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\v]+')))::INT AS citations, 0 AS external_links, 0 AS schema_present FROM documents""")
+def authority_text_signals(spark, d):
+    return authority.signals(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "citations", "external_links", "schema_present")
+
+
+@query()
+def authority_page_signals(spark, d):
+    return authority.signals(table(spark, d, "pages"), "html").drop("html", "url")
+
+
+@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '\b([A-Z][a-z]+(?:[ \t\n\r\f\v]+[A-Z][a-z]+){0,3})\b', 1) AS e FROM benchmark),
+f AS (SELECT item_id, unnest(e) AS e, unnest(range(len(e))) AS i FROM t), k AS (SELECT item_id, lower(e) AS k, arg_min(e, i) AS e, min(i) AS i FROM f WHERE NOT list_contains(['The', 'A', 'An', 'And', 'Or', 'In', 'On', 'Of', 'For', 'With', 'By'], regexp_extract(e, '^[A-Za-z]+')) GROUP BY ALL)
+SELECT b.item_id, count(k.e)::INT AS n, coalesce(string_agg(k.e, '|' ORDER BY k.i), '') AS entities FROM benchmark b LEFT JOIN k USING (item_id) GROUP BY b.item_id""")
+def entities(spark, d):
+    e = table(spark, d, "benchmark").select("item_id", authority.entities(F.col("text")).alias("e"))
+    return e.select("item_id", F.size("e").alias("n"), F.array_join("e", "|").alias("entities"))
+
+
+@query()
+def html_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", html.extract("html").alias("x")).select("page_id", "x.*")
+
+
+@query()
+def html_competitor(spark, d):
+    return table(spark, d, "pages").select("page_id", html.extract_competitor("html").alias("x")).select("page_id", "x.*")
+
+
+@query()
+def publish_date_guess(spark, d):
+    return table(spark, d, "pages").select("page_id", html.publish_date("html").alias("published"))
+
+
+@query()
+def article_links(spark, d):
+    return table(spark, d, "pages").select("page_id", html.article_links("url", "html").alias("links"))
+
+
+# --- feeds, inventories, chunks
+
+SITEMAPS = [
+    ("https://x.example/index.xml", "<sitemapindex><sitemap><loc>https://x.example/a.xml</loc></sitemap><sitemap><loc>https://x.example/b.xml</loc></sitemap></sitemapindex>"),
+    ("https://x.example/a.xml", '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://x.example/1 </loc></url><url><loc>https://x.example/2</loc></url></urlset>'),
+    ("https://x.example/b.xml", "<urlset><url><loc>https://x.example/2</loc></url><url><loc>https://x.example/3</loc></url></urlset>"),
+    ("https://x.example/bad.xml", "<urlset><url>"),
+]
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'https://x.example/1'), (0, 1, 'https://x.example/2'), (1, 1, 'https://x.example/3')) v(at, pos, page_url)")
+def sitemap_urls(spark, d):
+    return feeds.page_urls(spark.createDataFrame(SITEMAPS, "url string, xml string"), SITEMAPS[0][0])
+
+
+@query("SELECT 'x.example' AS domain, * FROM (VALUES (0, 'https://x.example/s1.xml'), (1, 'https://x.example/sitemap.xml'), (2, 'https://x.example/sitemap_index.xml')) v(place, sitemap)")
+def robots_sitemaps(spark, d):
+    body = "# all\nUser-agent: *\nSitemap: https://x.example/s1.xml\n  sitemap: https://x.example/sitemap.xml\nSITEMAP:\n"
+    return feeds.robots_sitemaps(spark.createDataFrame([("x.example", body)], "domain string, body string"))
+
+
+@query("SELECT * FROM (VALUES ('google', 'One', 'https://a.example', 's'), ('google', 'Two', 'https://b.example', NULL), ('bing', 'Three', 'https://c.example', 't')) v(source, title, url, snippet)")
+def serp_normalised(spark, d):
+    rows = spark.createDataFrame([
+        ("google", '{"items":[{"title":"One","link":"https://a.example","snippet":"s"},{"title":"Two","link":"https://b.example"}]}'),
+        ("bing", '{"webPages":{"value":[{"name":"Three","url":"https://c.example","snippet":"t"}]}}'), ("bing", "{}"),
+    ], "engine string, raw string")
+    both = rows.select(F.explode(F.when(F.col("engine") == "google", feeds.serp_items(F.col("raw"), "google")).otherwise(feeds.serp_items(F.col("raw"), "bing"))).alias("x"))
+    return both.select("x.source", "x.title", "x.url", "x.snippet")
+
+
+@query("SELECT i AS id, 'https://demo.example/article-' || i AS url, 'Article ' || i AS title, (150 + i % 75)::INT AS word_count, round(0.85 + (i % 17) * 0.009, 6)::DOUBLE AS freshness FROM range(1, 201) t(i)")
+def inventory_generated(spark, d):
+    return feeds.inventory(spark, "demo.example", 200)
+
+
+@query("SELECT i AS id, 'https://demo.example/result-' || i AS url, 'Growth Loops ' || i AS title, (200 + i % 90)::INT AS word_count, round(0.90 + (i % 13) * 0.007, 6)::DOUBLE AS freshness FROM range(1, 51) t(i)")
+def inventory_search(spark, d):
+    return feeds.inventory(spark, "demo.example", 50, "growth loops")
+
+
+@query(f"""WITH {ITEMS_SQL}, w AS (SELECT id, list_filter(regexp_split_to_array(coalesce(content, ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM items),
+c AS (SELECT id, w, unnest(range((len(w) + 199) // 200))::INT AS chunk_order FROM w WHERE len(w) > 0)
+SELECT id, chunk_order, len(w[chunk_order * 200 + 1 : chunk_order * 200 + 200])::INT AS token_count, sha256(array_to_string(w[chunk_order * 200 + 1 : chunk_order * 200 + 200], ' ')) AS checksum FROM c""")
+def chunks(spark, d):
+    return feeds.chunks(content_items(spark, d)).drop("text")
+
+
+@query("SELECT DISTINCT p_type AS name, sha256('article' || '|' || p_type || '|' || 'v1') AS hash FROM part")
+def fingerprints(spark, d):
+    return table(spark, d, "part").select(F.col("p_type").alias("name")).distinct().select("name", prompts.fingerprint(F.lit("article"), F.col("name"), F.lit("v1")).alias("hash"))
+
+
+@query("SELECT item_id, sha256('bing' || '|' || text || '|' || 'en-US') AS cache_key FROM benchmark")
+def serp_cache_keys(spark, d):
+    return table(spark, d, "benchmark").select("item_id", prompts.fingerprint(F.lit("bing"), F.col("text"), F.lit("en-US")).alias("cache_key"))
+
+
+@query()
+def prompts_rendered(spark, d):
+    b = table(spark, d, "part").select("p_partkey", *[prompts.render(k, F.col("p_name"), F.col("p_type"), F.array("p_brand", F.lit("")), F.array("p_brand", "p_type")).alias(k) for k in prompts.TEMPLATES])
+    return b
