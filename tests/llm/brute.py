@@ -38,7 +38,7 @@ def leaks(docs: dict, items: dict, size: int = 5, percent: int = 80) -> set:
     import math
 
     def shingles(text):
-        w = re.findall(r"[^\W_]+", text.lower())
+        w = re.findall("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+", text.lower())
         n = max(1, len(w) - size + 1)
         return [tuple(w[i : i + size]) for i in range(n)] if w else [], len(w)
 
