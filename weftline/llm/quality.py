@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .linear import scored, shape_features, trained
 from .shared import NOT_SPACE, null_safe_text, slices, text_buffers, word_hashes
 
-#: The most documents on which the scorer is fitted: those of the smallest hashed text.
+#: The most documents on which the scorer is fitted: those of the smallest hash of text and doc_id.
 TRAIN_ROWS = 12_000
 #: Labellers: name, a share of a text, and the bounds: a text votes bad (0) beyond the first, good (1) short of the
 #: second, and abstains (-) between them.
@@ -109,7 +109,7 @@ def quality(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5, doc
     """doc_id, votes, weak (P(good) by the votes alone), score (by the scorer) and keep (score >= threshold) for each row.
 
     Votes of all documents are counted by pattern, of which there are at most 3**8, and these counts fit the labellers'
-    accuracies. The scorer is fitted on the ``rows`` documents of the smallest hashed text, by their posterior labels.
+    accuracies. The scorer is fitted on about ``rows`` documents, those of the smallest hash of text and doc_id, by their posterior labels.
 
     Nulls: a null text is empty; a null doc_id is kept. Texts of fewer than 8 words get no votes; an empty one scores as
     the bias says. Repeated rows come back as often; ties cannot matter, as all depends on the text only. An empty table
@@ -119,7 +119,9 @@ def quality(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5, doc
     seen = votes(rows_in).groupBy("votes").count().orderBy("votes").toArrow()
     patterns, counts = seen.column("votes").to_pylist(), seen.column("count").to_numpy().astype(float)
     weak = dict(zip(patterns, expectation_maximisation(patterns, counts).tolist(), strict=True)) if patterns else {}
-    few = rows_in.withColumn("h", F.xxhash64("text")).orderBy("h", "doc_id").limit(rows)
+    # a share of the hash's range that holds about that many rows, so that no more than these meet in the task that learns
+    share = int(min(1.0, 1.1 * rows / max(counts.sum(), 1)) * (1 << 32))
+    few = rows_in.withColumn("h", F.xxhash64("text", "doc_id")).filter(F.shiftrightunsigned("h", 32) < share).orderBy(F.shiftrightunsigned("h", 32), "h", "doc_id").limit(rows)
     learn = votes(few.select("h", "doc_id", F.col("text").alias("own"), "text"), "h long, doc_id long, own string")
     label = F.element_at(F.create_map(*[F.lit(x) for kv in weak.items() for x in kv]), F.col("votes")) if weak else F.lit(0.5)
     model = trained(learn.orderBy("h", "doc_id").select(F.col("own").alias("text"), label.alias("label")), shape_features, BITS, epochs=2, l1=1.0)
