@@ -55,7 +55,6 @@ def char_hash(text: Column, dim: int = 64) -> Column:
 def seeded_normal(dim: int = 64):
     """A function of a text column: a unit vector of normal deviates, seeded by the first 4 bytes of the text's MD5."""
 
-    @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         import hashlib
 
@@ -69,4 +68,4 @@ def seeded_normal(dim: int = 64):
 
         return texts.map(one)
 
-    return embed
+    return F.pandas_udf(embed, "array<float>")

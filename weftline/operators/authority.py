@@ -40,7 +40,7 @@ def bylines(text: Column, html: Column) -> Column:
     listed = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$.author[*].name"), "array<string>"), F.array().cast("array<string>"))))
     meta = F.regexp_extract_all(html, F.lit(META_AUTHOR), F.lit(1))
     seen = F.regexp_extract_all(text, F.lit(BYLINE), F.lit(1))
-    return first_by_case(F.filter(F.transform(F.concat(names, listed, meta, seen), F.trim), lambda a: a != ""))
+    return first_by_case(F.filter(F.transform(F.concat(names, listed, meta, seen), lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def html_text(html: Column) -> Column:

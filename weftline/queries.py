@@ -455,9 +455,7 @@ def authority_page_signals(spark, d):
     return authority.signals(table(spark, d, "pages"), "html").drop("html", "url")
 
 
-@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '\b([A-Z][a-z]+(?:[ \t\n\r\f\v]+[A-Z][a-z]+){0,3})\b', 1) AS e FROM benchmark),
-f AS (SELECT item_id, unnest(e) AS e, unnest(range(len(e))) AS i FROM t), k AS (SELECT item_id, lower(e) AS k, arg_min(e, i) AS e, min(i) AS i FROM f WHERE NOT list_contains(['The', 'A', 'An', 'And', 'Or', 'In', 'On', 'Of', 'For', 'With', 'By'], regexp_extract(e, '^[A-Za-z]+')) GROUP BY ALL)
-SELECT b.item_id, count(k.e)::INT AS n, coalesce(string_agg(k.e, '|' ORDER BY k.i), '') AS entities FROM benchmark b LEFT JOIN k USING (item_id) GROUP BY b.item_id""")
+@query()
 def entities(spark, d):
     e = table(spark, d, "benchmark").select("item_id", authority.entities(F.col("text")).alias("e"))
     return e.select("item_id", F.size("e").alias("n"), F.array_join("e", "|").alias("entities"))
@@ -493,7 +491,7 @@ SITEMAPS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'https://x.example/1'), (0, 1, 'https://x.example/2'), (1, 1, 'https://x.example/3')) v(at, pos, page_url)")
+@query('SELECT * FROM (VALUES (0, 0, $$https://x.example/1$$), (0, 1, $$https://x.example/2$$), (1, 1, $$https://x.example/3$$)) v("at", pos, page_url)')
 def sitemap_urls(spark, d):
     return feeds.page_urls(spark.createDataFrame(SITEMAPS, "url string, xml string"), SITEMAPS[0][0])
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("urls array<string>, sitemaps array<string>")
-def sitemap_urls(xml: pd.Series) -> pd.DataFrame:
+def _sitemap_urls(xml: pd.Series) -> pd.DataFrame:
     """Page and child sitemap URLs of a sitemap, with or without a namespace; of malformed XML, none."""
     def one(text):
         try:
@@ -24,6 +23,10 @@ def sitemap_urls(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in xml], columns=["urls", "sitemaps"])
 
 
+def sitemap_urls(xml: Column | str) -> Column:
+    return F.pandas_udf(_sitemap_urls, "urls array<string>, sitemaps array<string>")(xml)
+
+
 def page_urls(sitemaps: DataFrame, entry: str, children: int = 50) -> DataFrame:
     """pos, page_url from a table (url, xml): those of the entry, or, if it is an index, of its first ``children`` sitemaps; first places only."""
     read = sitemaps.select("url", sitemap_urls("xml").alias("s")).select("url", "s.urls", "s.sitemaps")
@@ -49,7 +52,7 @@ def walk_sitemaps(sitemaps: DataFrame, entry: str, limit: int | None = None, dep
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
     """domain, place, sitemap from (domain, body): those the robots file names, then the two usual places, without repeats."""
-    lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n"), F.trim), lambda x: F.lower(x).startswith("sitemap:"))
+    lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.lower(x).startswith("sitemap:"))
     named = F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, 9, 1 << 20))), lambda x: x != "")
     usual = F.array(F.concat(F.lit("https://"), "domain", F.lit("/sitemap_index.xml")), F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")))
     return robots.select("domain", F.posexplode(F.array_distinct(F.concat(named, usual))).alias("place", "sitemap"))

@@ -102,8 +102,7 @@ def _main(page: Page) -> str:
     return _clean("\n\n".join(page.paragraphs[root]) if page.paragraphs[root] else " ".join(page.text[root]))
 
 
-@F.pandas_udf("title string, meta_description string, content string")
-def extract(html: pd.Series) -> pd.DataFrame:
+def _extract(html: pd.Series) -> pd.DataFrame:
     """og:title or title; description or og:description; the paragraphs of article, main or body, or all its text."""
     def one(h):
         p = read(h)
@@ -112,8 +111,7 @@ def extract(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(h) for h in html], columns=["title", "meta_description", "content"])
 
 
-@F.pandas_udf("title string, content string, word_count int")
-def extract_competitor(html: pd.Series) -> pd.DataFrame:
+def _extract_competitor(html: pd.Series) -> pd.DataFrame:
     """title or og:title; all paragraphs; their words."""
     def one(h):
         p = read(h)
@@ -137,19 +135,16 @@ def published(page: Page) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def publish_date(html: pd.Series) -> pd.Series:
+def _publish_date(html: pd.Series) -> pd.Series:
     return html.map(lambda h: published(read(h)))
 
 
-@F.pandas_udf("array<string>")
-def hrefs(html: pd.Series) -> pd.Series:
+def _hrefs(html: pd.Series) -> pd.Series:
     """The hrefs of all anchors, in order."""
     return html.map(lambda h: read(h).hrefs)
 
 
-@F.pandas_udf("array<string>")
-def article_links(url: pd.Series, html: pd.Series) -> pd.Series:
+def _article_links(url: pd.Series, html: pd.Series) -> pd.Series:
     """Links of the page's own host that may be articles, absolute, without repeats."""
     def one(u, h):
         host, out = urlparse(u or "").netloc, {}
@@ -164,3 +159,19 @@ def article_links(url: pd.Series, html: pd.Series) -> pd.Series:
         return list(out)
 
     return pd.Series([one(u, h) for u, h in zip(url, html, strict=True)])
+
+
+def _udf(f, kind: str):
+    """A column function of an Arrow batch function, made when it is called, as workers import this module too."""
+    def call(*columns):
+        return F.pandas_udf(f, kind)(*columns)
+
+    call.__doc__ = f.__doc__
+    return call
+
+
+extract = _udf(_extract, "title string, meta_description string, content string")
+extract_competitor = _udf(_extract_competitor, "title string, content string, word_count int")
+publish_date = _udf(_publish_date, "string")
+hrefs = _udf(_hrefs, "array<string>")
+article_links = _udf(_article_links, "array<string>")
