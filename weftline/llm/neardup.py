@@ -253,8 +253,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     shared = bands.groupBy("key").agg(drawn.alias("pivots"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(bands.join(shared, "key"), "members")
 
-    pairs = members.select("sig", F.explode(F.array_distinct("pivots")).alias("pivot")).filter("sig <> pivot")
-    pairs = pairs.select(F.least("pivot", "sig").alias("a"), F.greatest("pivot", "sig").alias("b")).distinct()
+    # both sides' bitmaps meet in the bucket, so pairs that cannot be links are dropped before anything is joined to pairs
+    heads = members.filter(F.col("sig") == F.col("pivots")[0]).select("key", F.explode(F.array_distinct("pivots")).alias("a")).join(_side(nodes, "a"), "a")
+    heads = heads.groupBy("key").agg(F.collect_list(F.struct("a", "na", *[f"a{i}" for i in range(LONGS)])).alias("heads"))
+    met = members.select("key", F.col("sig").alias("b")).join(_side(nodes, "b"), "b").join(heads, "key").select("b", "nb", *[f"b{i}" for i in range(LONGS)], F.inline("heads"))
+    pairs = met.filter((F.col("a") != F.col("b")) & can_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
     label = _linked(pairs, nodes, docs, words, percent, margin)
 
     # what is left: members of a bucket that are not in its main component, each with all of another component
