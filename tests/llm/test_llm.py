@@ -40,7 +40,7 @@ def test_packing(spark, odd):
     rows = packing.pack_documents(odd).collect()
     got, fill = {}, {}
     for r in rows:
-        assert r["length"] > 0 and r["offset"] == fill.get(r["sequence_id"], 0) or True
+        assert r["length"] > 0
         fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         got.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["ids"]))
     for parts in fill.values():
@@ -101,7 +101,7 @@ def test_toxicity(spark, odd):
     none = toxicity.fit(docs, lab.limit(0))
     assert {r["score"] for r in toxicity.toxicity(odd, none).collect()} == {0.5}
     kept = toxicity.toxic_flags(odd, model)
-    assert set(kept.columns) == {*odd.columns, "predicted"} and kept.filter("text is null").count() == 1 or kept.count() == len(ODD)
+    assert set(kept.columns) == {*odd.columns, "predicted"} and kept.count() == len(ODD)
 
 
 def test_decontamination(spark, odd):
@@ -286,7 +286,7 @@ def test_ftrl_leaves_noise_at_zero():
     for i in range(2000):
         model.learn(np.array(sorted({rnd.randrange(1000), 1001 + i % 2})), float(i % 2))
     w = model.weights(slice(None))
-    assert w[1002] > 1 > 0 > w[1001] or w[1002] - w[1001] > 1
+    assert w[1002] - w[1001] > 1
     assert np.count_nonzero(w[:1000]) < 100
 
 
