@@ -38,7 +38,7 @@ def test_vectors(spark):
 
 def test_urls(spark):
     path = lambda u: one(spark, urls.path(F.lit(u)))
-    assert [path(u) for u in ("https://a.example", "https://a.example/x//", "not a url at all", None)] == ["/", "/x", "/", "/"] or path("https://a.example/x//") == "/x"
+    assert [path(u) for u in ("https://a.example", "https://a.example/x//", "https://a.example/ y", None)] == ["/", "/x", "/", "/"]
     assert one(spark, urls.is_homepage(F.lit("https://a.example/"))) and not one(spark, urls.is_homepage(F.lit("https://a.example/?q=1")))
     assert not one(spark, urls.matches(F.lit("/x"), "("))
 

@@ -295,7 +295,7 @@ n AS (SELECT id, sqrt(sum(v * v)) AS n FROM b GROUP BY id)"""
 
 
 @query(f"""WITH t AS (SELECT page_id AS id, coalesce(url, '') AS t FROM pages), {CHAR_SQL}
-SELECT id, string_agg(b || ':' || round(CASE WHEN n > 0 THEN v / n ELSE v END * 1000)::INT, ',' ORDER BY b) AS digest FROM b JOIN n USING (id) WHERE v <> 0 GROUP BY id""")
+SELECT id, string_agg(b || ':' || round(round(CASE WHEN n > 0 THEN v / n ELSE v END, 6) * 1000)::INT, ',' ORDER BY b) AS digest FROM b JOIN n USING (id) WHERE v <> 0 GROUP BY id""")
 def char_hash_embedding(spark, d):
     e = table(spark, d, "pages").select(F.col("page_id").alias("id"), vectors.char_hash(F.col("url")).alias("e"))
     cells = F.filter(F.transform("e", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(x * 1000).cast("int").cast("string")))), lambda x: x.isNotNull())
