@@ -127,6 +127,15 @@ def test_decontamination(spark, odd):
     assert decontamination.decontaminate(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_splits_at_signs_of_any_script(spark):
+    signs = ["\uff0c", "\uff1a", "\uff01", "\u060c", "\u0964", "\u20ac", "\u2192", "\u2713", "\u2502", "\U0001f600", "\u00d7", "\u00f7", "_", "\u2014"]
+    items = {0: words(20, 70), 1: " ".join(f"сло{i}во" for i in range(20)), 2: " ".join(f"語{i}" for i in range(20))}
+    texts = {10 * k + i: words(8, 80 + i) + s + s.join(t.split()) + s + words(8, 90 + i) for k, s in enumerate(signs) for i, t in items.items()}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(docs_of(spark, texts.items()), bench).collect()}
+    assert got == brute.leaks(texts, items) == {(d, d % 10) for d in texts}
+
+
 def test_fingerprints_agree_with_votes_counted_by_bit(spark):
     rnd = random.Random(2)
     f = [(rnd.getrandbits(64) - (1 << 63), rnd.randrange(1, 80)) for _ in range(30)]
