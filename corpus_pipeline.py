@@ -31,12 +31,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates over five-word shingles at a similarity of 0.8: that of the smallest doc_id.
 
-    Of rows that repeat this doc_id in a group, one stays. A document without words is in no group and stays.
+    Of rows that repeat this doc_id in a group, one stays; so does one of a group without ids. Different groups each keep
+    a document, whatever their ids. A document without words is in no group and stays.
     """
     rows = written(_numbered(docs), "documents")
-    found = near_duplicates(rows, words=5, percent=80, keep=("row",))
-    stays = found.filter("kept").select("doc_id", "row", F.when(F.col("n_shingles") > 0, F.lit(None).cast("long")).otherwise(F.col("row")).alias("alone"), "component_id")
-    stays = stays.groupBy("doc_id", "component_id", "alone").agg(F.min("row").alias("row")).select("row")
+    found = near_duplicates(rows, words=5, percent=80, keep=("row",), group="group")
+    stays = found.filter("kept").select(F.col("row").cast("long").alias("row"), "group", F.when(F.col("group").isNull(), F.col("row")).alias("alone"))
+    stays = stays.groupBy("group", "alone").agg(F.min("row").alias("row")).select("row")
     return rows.join(stays, "row", "left_semi").select(*COLUMNS)
 
 

@@ -1,0 +1,24 @@
+"""Stages of the corpus pipeline on rows with null, repeated and clashing ids."""
+
+import pytest
+
+import corpus_pipeline
+from tests.llm.test_llm import docs_of, words
+
+
+def texts_of(rows):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows)
+
+
+def plain(rows):
+    return sorted((d is None, d or 0, t or "") for d, t in rows)
+
+
+def test_neardup_stage_keeps_a_document_of_each_group(spark):
+    a, b, c, d, e, f = (words(30, 300 + i) for i in range(6))
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, near(a)), (None, b), (1, c), (1, d), (1, d), (2, near(d)), (None, near(c)), (3, e), (3, f), (None, None), (None, ""), (4, "")]
+    got = texts_of(corpus_pipeline.neardup_stage(spark, docs_of(spark, rows), "").collect())
+    ends = [x for x in got if x[2] not in (a, near(a))]
+    assert len(got) == len(ends) + 1
+    assert ends == plain([(None, b), (1, c), (1, d), (3, e), (3, f), (None, None), (None, ""), (4, "")])

@@ -224,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, margin: float = 0.16, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, margin: float = 0.16, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), group: str | None = None) -> DataFrame:
     """Groups documents whose sets of ``words``-word shingles have 100 * intersection >= percent * union, and what these links reach.
 
     A-Z are lowered; words are runs of characters other than U+0020 and U+0009 to U+000D. Returns per row: doc_id,
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     groups like any other, and only a group of none but such rows has a null component_id. Repeated rows: each comes
     back; rows that repeat a doc_id with the same text share its component. Ties: the smallest doc_id is kept. Fewer
     words than ``words``: the whole sequence is the one shingle. An empty table gives no rows. Columns
-    named in ``keep`` come along as strings; others are ignored.
+    named in ``keep`` come along as strings; others are ignored. A name in ``group`` adds a column of that name with the
+    group's own key, which groups with equal or null ids do not share; it is null for an empty set.
     """
     own = [F.col(c).cast("string").alias(f"__{c}") for c in keep]
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"), *own)
@@ -272,11 +273,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     label = _linked(fresh.join(pairs, ["a", "b"], "left_anti"), nodes, docs, words, percent, margin, label)
     named = nodes.select("sig", F.col("doc_id").alias("own")).join(label, "sig")
     names = named.groupBy("comp").agg(F.min("own").alias("component_id"))
-    named = named.join(names, "comp").select("sig", "component_id")
-    named = nodes.select("sig", F.col("doc_id").alias("own")).join(named, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id"))
+    named = named.join(names, "comp").select("sig", "comp", "component_id")
+    named = nodes.select("sig", F.col("doc_id").alias("own")).join(named, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), F.coalesce("component_id", "own").alias("component_id"))
     return (
         base.drop("regs").join(named, "sig", "left")
-        .select("doc_id", "n_shingles", *[F.col(f"__{c}").alias(c) for c in keep], F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", *[F.col(f"__{c}").alias(c) for c in keep], *([F.col("comp").alias(group)] if group else []), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
