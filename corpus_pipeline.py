@@ -42,9 +42,10 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark. A null doc_id is one id: its rows go together."""
-    leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    """Rows that hold no item of the benchmark; other rows with the same doc_id, or with none, are judged by themselves."""
+    rows = written(_numbered(docs), "documents")
+    leaks = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row="row").select("row").distinct()
+    return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,12 @@ def test_neardup_stage_keeps_a_document_of_each_group(spark):
     ends = [x for x in got if x[2] not in (a, near(a))]
     assert len(got) == len(ends) + 1
     assert ends == plain([(None, b), (1, c), (1, d), (3, e), (3, f), (None, None), (None, ""), (4, "")])
+
+
+def test_decontamination_stage_judges_each_row(spark, tmp_path):
+    item = words(20, 400)
+    spark.createDataFrame([(1, item), (2, words(25, 401))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = lambda seed: f"{words(10, seed)} {item} {words(10, seed + 1)}"
+    clean = [(None, words(40, 410)), (None, words(40, 411)), (1, words(40, 412)), (1, words(40, 412)), (2, words(40, 413)), (None, None), (3, "")]
+    rows = [*clean[:2], (None, leak(420)), *clean[2:], (1, leak(430)), (4, leak(440)), (4, leak(450))]
+    assert texts_of(corpus_pipeline.decontamination_stage(spark, docs_of(spark, rows), str(tmp_path)).collect()) == plain(clean)

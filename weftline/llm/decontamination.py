@@ -62,7 +62,7 @@ def _block(fp: Column | str, b: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * b).bitwiseAND(F.lit(255))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, radius: int = 23, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, radius: int = 23, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row: str | None = None) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, pos (the window's first word) and similarity, of the most similar window.
 
     A window has as many words as the item, or is the whole document where that has fewer. Similarity is weighted Jaccard
@@ -77,7 +77,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent
 
     Nulls and empty texts hold nothing, and an item without words is held by nothing. A text of fewer than ``words`` words
     is one shingle. Repeated documents each come back; repeated item texts come back under each item_id. Ties between
-    windows go to the first. Empty tables give no rows. Other columns are ignored.
+    windows go to the first. Empty tables give no rows. A column named in ``row``, a long that tells the rows of ``docs``
+    apart, comes along; others are ignored.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), null_safe_text(item_text).alias("text"))
     items = items.withColumn("item", F.monotonically_increasing_id())
@@ -93,10 +94,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent
     # as many rows as there are lengths of items
     least = [(r["size"], -(-percent * r["least"] // 100)) for r in profile.groupBy("size").agg(F.min("weight").alias("least")).orderBy("size").collect()]
     if not least:
-        return docs.limit(0).select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("pos"), F.lit(0.0).alias("similarity"))
+        return docs.limit(0).select(*([row] if row else []), F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("pos"), F.lit(0.0).alias("similarity"))
     bounds = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(w).cast("long").alias("least")) for s, w in least])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    if row:
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"), F.col(row).cast("long").alias("row"))
     hits = written(_shingles(rows, ["doc_id", "row"], words).join(near(vocabulary), "sh").select("doc_id", "row", "n", "pos", "sh", "wt"), "hits")
     ahead = W.partitionBy("row").orderBy("pos").rangeBetween(0, max(s for s, _ in least) - 1)
     weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x["wt"])
@@ -125,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent
     pair = pair.withColumn("both", weight(F.array_intersect("set", "own"))).withColumn("all", F.col("weight") + F.col("item_weight") - F.col("both"))
     pair = pair.filter(100 * F.col("both") >= percent * F.col("all"))
     best = pair.groupBy("doc_id", "row", "item", "item_id").agg(F.max(F.struct((F.col("both") / F.col("all")).alias("similarity"), (-F.col("pos")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).alias("pos"), F.col("best.similarity").alias("similarity"))
+    return best.select(*([F.col("row").alias(row)] if row else []), "doc_id", "item_id", (-F.col("best.back")).alias("pos"), F.col("best.similarity").alias("similarity"))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
