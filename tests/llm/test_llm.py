@@ -204,6 +204,29 @@ def test_secrets(spark, odd):
     assert spark.createDataFrame([("token=abcdef " * 700,)], "text string").select(F.size(secrets.base_spans(F.col("text"), "assign"))).first()[0] == 700
 
 
+def test_secrets_beside_base_matches(spark):
+    rnd = random.Random(12)
+    token = lambda n: "".join(rnd.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", n))
+    own, k, h = "AKIA" + "Q7" * 8, token(40), "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+    texts = {1: f"x {own}/{k} y", 2: f"{h}/{k}", 3: f"{k}-token=abcdef", 4: f"{k}/{own}/{token(40)}", 5: f"é {h}_short9", 6: k, 7: "token=abcdef"}
+    found = secrets.scan_secrets(docs_of(spark, texts.items()), beside=True).select("doc_id", "secrets").collect()
+    for r in found:
+        t, want = texts[r["doc_id"]], brute.base_spans(texts[r["doc_id"]])
+        for m in re.finditer(secrets.CANDIDATE, t):
+            bits = next(b for p, b in secrets.CLASSES.items() if re.fullmatch(p, m[0]))
+            if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]) or any(re.search(a, m[0]) for a in secrets.ALLOW):
+                continue
+            free = [i for i in range(m.start(), m.end() - 19) if not any(b[0] < i + 20 and i < b[2] for b in want if b[3] != "entropy")]
+            hot = [i for i in free if brute.entropy_range(t[i : i + 20], {".+": bits})]
+            for group in {max((b[2] for b in brute.base_spans(t) if b[2] <= i), default=0): None for i in hot}:
+                own_hot = [i for i in hot if max((b[2] for b in brute.base_spans(t) if b[2] <= i), default=0) == group]
+                want.append((own_hot[0], 3, own_hot[-1] + 20, "entropy"))
+        assert [tuple(x) for x in r["secrets"]] == sorted(want)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, texts.items()), beside=True).collect()}
+    assert all(k not in clean[d] and k[5:35] not in clean[d] for d in (1, 2, 3, 4, 6))
+    assert {r["doc_id"]: sum(x["kind"] == "entropy" for x in r["secrets"]) for r in found} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 0, 6: 1, 7: 0}
+
+
 def test_token_counts(spark, odd):
     vocabulary = {b"a", b"b", b"ab", b"abc", b"bc", b"abcd", b"cde", b"c", b"d", b"e", b" ", b" a", b" ab"}
     machine = tokencounts.LongestMatch(vocabulary, b" ")

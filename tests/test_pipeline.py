@@ -31,3 +31,9 @@ def test_decontamination_stage_judges_each_row(spark, tmp_path):
     clean = [(None, words(40, 410)), (None, words(40, 411)), (1, words(40, 412)), (1, words(40, 412)), (2, words(40, 413)), (None, None), (3, "")]
     rows = [*clean[:2], (None, leak(420)), *clean[2:], (1, leak(430)), (4, leak(440)), (4, leak(450))]
     assert texts_of(corpus_pipeline.decontamination_stage(spark, docs_of(spark, rows), str(tmp_path)).collect()) == plain(clean)
+
+
+def test_secrets_stage_strikes_out_a_secret_beside_another(spark):
+    key = "Zq8Lm2Xv9Rt4Wp7Ks1YdBn6Hc3Jf5Gt0Ua"
+    got = corpus_pipeline.secrets_stage(spark, docs_of(spark, [(1, "AKIA" + "Q7" * 8 + "/" + key), (None, "plain")]), "").collect()
+    assert {r["doc_id"] for r in got} == {1, None} and all(key[5:] not in r["text"] for r in got)

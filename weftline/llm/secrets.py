@@ -61,8 +61,16 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
-def hot_range(run: Column, window: int = WINDOW) -> Column:
-    """From the first to the last window of a run whose entropy reaches its class's bound: struct (first, last), of starts from 0; null if none.
+def bound_of(run: Column) -> Column:
+    """The entropy that windows of a run must reach, by the run's class of characters."""
+    bound = F.lit(99.0)
+    for pattern, bits in reversed(CLASSES.items()):
+        bound = F.when(run.rlike(f"^{pattern}$"), F.lit(bits)).otherwise(bound)
+    return bound
+
+
+def hot_range(run: Column, bound: Column, window: int = WINDOW) -> Column:
+    """From the first to the last window of a run whose entropy reaches ``bound``: struct (first, last), of starts from 0; null if none.
 
     With counts c of a window's characters, entropy is log2(window) - sum(c log2 c) / window. The sum is made once and then
     carried on: a step takes out the leaving character's term and adds the entering one's, by their counts alone.
@@ -71,9 +79,6 @@ def hot_range(run: Column, window: int = WINDOW) -> Column:
     count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
     first = F.substring(run, 1, window)
     begin = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, c: a + F.get(term, count(first, c)))
-    bound = F.lit(99.0)
-    for pattern, bits in reversed(CLASSES.items()):
-        bound = F.when(run.rlike(f"^{pattern}$"), F.lit(bits)).otherwise(bound)
     is_hot = lambda s: F.round(math.log2(window) - s / window, 9) >= bound
 
     def state(s: Column, at: Column, first: Column, last: Column) -> Column:
@@ -91,7 +96,20 @@ def hot_range(run: Column, window: int = WINDOW) -> Column:
     return F.when(end["first"].isNotNull(), F.struct(end["first"].alias("first"), end["last"].alias("last")))
 
 
-def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
+def outside(m: Column, base: Column) -> Column:
+    """The stretches of a match that no base span touches and that a window fits in: an array of structs (lo, hi)."""
+    end = m["start"] + F.length(m["found"])
+    more = lambda a, to: F.when(to - a["at"] >= WINDOW, F.array_append(a["all"], F.struct(a["at"].alias("lo"), to.alias("hi")))).otherwise(a["all"])
+    return F.aggregate(
+        F.sort_array(F.filter(base, lambda b: (b["start"] < end) & (m["start"] < b["end"]))),
+        F.struct(m["start"].alias("at"), F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("all")),
+        lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), more(a, b["start"]).alias("all")),
+        lambda a: more(a, end),
+    )
+
+
+def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW, base: Column | None = None) -> Column:
+    """Spans of hot windows, one a candidate run; with ``base``, one a stretch of a run that these spans leave."""
     likely = lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]")
 
     def random(m: Column) -> Column:
@@ -100,31 +118,39 @@ def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
             on = on & ~m["found"].rlike(pattern)
         return on
 
-    ranges = F.transform(F.filter(matches(text, CANDIDATE), random), lambda m: F.struct(m["start"].alias("start"), hot_range(m["found"]).alias("hot")))
+    runs = F.filter(matches(text, CANDIDATE), random)
+    if base is None:
+        runs = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["found"].alias("found"), bound_of(m["found"]).alias("bound")))
+    else:
+        cut = lambda m, x: m["found"].substr((x["lo"] - m["start"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))
+        runs = F.flatten(F.transform(runs, lambda m: F.transform(outside(m, base), lambda x: F.struct(x["lo"].alias("start"), cut(m, x).alias("found"), bound_of(m["found"]).alias("bound")))))
+    ranges = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), hot_range(m["found"], m["bound"]).alias("hot")))
     spans = F.transform(F.filter(ranges, lambda r: r["hot"].isNotNull()), lambda r: _span(r["start"] + r["hot"]["first"], r["start"] + r["hot"]["last"] + WINDOW, len(KINDS), "entropy"))
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(SPAN))
 
 
-def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, text: str = "text", beside: bool = False) -> DataFrame:
     """``docs`` with ``secrets``: its spans in code points, end exclusive, by start, then kind: assign, access, hex, entropy.
 
     The first three are all leftmost non-overlapping matches of their patterns that are long enough. Entropy spans are
     added where no span of these overlaps them: within runs of 20 or more characters that have a digit and a letter and
     that no pattern of ``allow`` suppresses, from the first to the last window of 20 whose Shannon entropy reaches its class's bound.
+    With ``beside``, the base spans are cut out of a run first, and each stretch that is left has its span: a secret next
+    to a base match in the same run is then found too.
 
     Nulls: a null text is empty and has no spans. Long texts are scanned whole. Ties go by kind, as listed. Repeated rows
     come back as often. An empty table gives no rows. All columns are kept; one named ``secrets`` is replaced.
     """
     t = F.col("__text")
     df = docs.withColumn("__text", null_safe_text(text))
-    df = df.withColumn("__base", F.concat(*[base_spans(t, k) for k in KINDS])).withColumn("__more", entropy_spans(t, allow))
+    df = df.withColumn("__base", F.concat(*[base_spans(t, k) for k in KINDS])).withColumn("__more", entropy_spans(t, allow, F.col("__base") if beside else None))
     clear = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return df.withColumn("secrets", F.sort_array(F.concat("__base", clear))).drop("__text", "__base", "__more")
 
 
-def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text") -> DataFrame:
-    """``docs`` with every secret's characters replaced; spans that overlap get one mark. Texts without secrets stay as they are."""
-    df = scan_secrets(docs, text=text)
+def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text", beside: bool = False) -> DataFrame:
+    """``docs`` with the characters of every secret of ``scan_secrets`` replaced; spans that overlap get one mark. Texts without secrets stay as they are."""
+    df = scan_secrets(docs, text=text, beside=beside)
     # a span's covered part begins at the furthest end so far; one inside the spans before has none
     furthest = F.aggregate(
         "secrets", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<lo:bigint,hi:bigint,new:boolean>>").alias("all")),
@@ -139,7 +165,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text") -> Dat
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     """The secrets of every document, as counts and digests."""
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), beside=True)
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     own = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("secrets", lambda x: x["rank"] < len(KINDS))
