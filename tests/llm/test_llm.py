@@ -227,6 +227,34 @@ def test_secrets_beside_base_matches(spark):
     assert {r["doc_id"]: sum(x["kind"] == "entropy" for x in r["secrets"]) for r in found} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 0, 6: 1, 7: 0}
 
 
+def test_secrets_in_very_long_texts(spark):
+    rnd = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rnd.choices(letters[:62], k=24)) for _ in range(20_000)]
+    texts = {
+        0: "ab-" * 333_333 + "1a", 1: "a-a" * 333_333 + "1", 2: "".join(rnd.choices(letters, k=600_000)), 3: " ".join(f"token=abc{i:06d}" for i in range(100_000)),
+        4: " é ".join(keys), 5: "_".join("".join(rnd.choices("0123456789abcdef", k=26)) for _ in range(20_000)),
+    }
+    found = {r["doc_id"]: [tuple(x) for x in r["secrets"]] for r in secrets.scan_secrets(docs_of(spark, texts.items()), beside=True).select("doc_id", "secrets").collect()}
+    for d in (0, 1, 3, 5):
+        assert found[d] == brute.base_spans(texts[d])
+    first, last = brute.entropy_range(texts[2], secrets.CLASSES)
+    assert found[2] == [(first, 3, last + 20, "entropy")]
+    starts = list(range(0, 27 * len(keys), 27))
+    hot = [(s, brute.entropy_range(k, secrets.CLASSES)) for s, k in zip(starts, keys, strict=True) if re.search("[0-9]", k)]
+    assert found[4] == [(s + h[0], 3, s + h[1] + 20, "entropy") for s, h in hot if h]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, texts.items()), beside=True).collect()}
+    assert clean[3] == " ".join(["[REDACTED]"] * 100_000) and clean[0] == texts[0] and clean[5] == "_".join(["[REDACTED]"] * 20_000)
+
+
+def test_running_sums_and_maxima(spark):
+    rnd = random.Random(3)
+    values = [rnd.randrange(1000) for _ in range(1000)]
+    df = spark.createDataFrame([(values,), ([],)], "v array<long>").select(secrets.running(F.col("v")).alias("s"), secrets.running(F.col("v"), most=True).alias("m"))
+    got = df.collect()
+    assert got[0]["s"] == [sum(values[:i]) for i in range(1000)] and got[0]["m"] == [max([0, *values[:i]]) for i in range(1000)] and got[1]["s"] == got[1]["m"] == []
+
+
 def test_token_counts(spark, odd):
     vocabulary = {b"a", b"b", b"ab", b"abc", b"bc", b"abcd", b"cde", b"c", b"d", b"e", b" ", b" a", b" ab"}
     machine = tokencounts.LongestMatch(vocabulary, b" ")

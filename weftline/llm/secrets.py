@@ -19,20 +19,71 @@ KINDS = {
 #: Strings that may be secrets: long runs with a digit and a letter. Of such a run, the entropy in bits a window must reach, by its class of characters.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 CLASSES = {"[0-9a-fA-F-]+": 3.0, "[A-Za-z0-9]+": 3.6, "[A-Za-z0-9+/_=-]+": 3.8}
-#: Runs that look random and are no secrets: UUIDs, alphabets, paths of words, and what says that it is an example.
-ALLOW = ("(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$", "(?i)abcdefgh|01234567|example|placeholder|xxxxxx", "^[/_-]?([A-Za-z]{2,}[/_-])+[A-Za-z]*[0-9]{0,4}$", "^[0-9=_+/-]+$")
+#: Runs that look random and are no secrets: UUIDs, alphabets, paths of words, and what says that it is an example. What is
+#: repeated as a group is possessive, as Java would need stack for each repetition otherwise.
+ALLOW = ("(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$", "(?i)abcdefgh|01234567|example|placeholder|xxxxxx", "^[/_-]?(?:[A-Za-z]{2,}+[/_-])++[A-Za-z]*[0-9]{0,4}$", "^[0-9=_+/-]+$")
 SPAN = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
-def running(lengths: Column, block: int = 256) -> Column:
-    """Sums of all entries before each, for an array of longs. In blocks, so that appending costs little for long arrays."""
-    add = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"]).alias("all"))
+#: Characters of the stretches in which long texts are cut, and windows of the stretches in which the entropy of long runs is followed.
+SEGMENT, STEPS = 1024, 256
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, block: int = 256, most: bool = False) -> Column:
+    """Sums (with ``most``: maxima, 0 at least) of all entries before each, for an array of longs. In blocks, so that appending costs little for long arrays."""
+    join = (lambda a, b: F.greatest(a, b)) if most else (lambda a, b: a + b)
+    add = lambda a, x: F.struct(join(a["sum"], x).alias("sum"), F.array_append(a["all"], a["sum"]).alias("all"))
     zero = lambda s: F.struct(s.alias("sum"), F.array().cast("array<bigint>").alias("all"))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, block))
-    total = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)
-    starts = F.aggregate(F.transform(parts, total), zero(F.lit(0).cast("long")), add)["all"]
-    inner = F.zip_with(parts, starts, lambda p, s: F.aggregate(p, zero(s), add)["all"])
-    return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(F.array().cast("array<bigint>"))
+    total = lambda p: F.aggregate(p, F.lit(0).cast("long"), join)
+
+    def of(parts: Column) -> Column:
+        starts = F.aggregate(F.transform(parts, total), zero(F.lit(0).cast("long")), add)["all"]
+        return F.flatten(F.zip_with(parts, starts, lambda p, s: F.aggregate(p, zero(s), add)["all"]))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), of)).otherwise(F.array().cast("array<bigint>")))
+
+
+def before(sorted_: Column, below) -> Column:
+    """How many entries of an array are ``below``, which holds for its first entries and not for the others. By halving."""
+    n = F.size(sorted_)
+    zero = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def half(a: Column, _: Column) -> Column:
+        middle = F.shiftright(a["lo"] + a["hi"], 1)
+        return F.when(a["lo"] >= a["hi"], a).otherwise(F.when(below(F.get(sorted_, middle)), F.struct((middle + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle.alias("hi"))))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.log2(F.greatest(n, F.lit(1))).cast("int")), zero, half)["lo"]).otherwise(0)
+
+
+def cuts(spans: Column) -> Column:
+    """The parts of sorted spans that none before covers: structs (lo, hi, new: no span before touches it), in order and apart."""
+    at = running(F.transform(spans, lambda x: x["end"]), most=True)
+    parts = F.zip_with(spans, at, lambda x, at: F.when(x["end"] > at, F.struct(F.greatest(x["start"], at).alias("lo"), x["end"].alias("hi"), ((x["start"] >= at) | (at == 0)).alias("new"))))
+    return F.filter(parts, lambda c: c.isNotNull())
+
+
+def spliced(text: Column, cut: Column, fill) -> Column:
+    """``text`` with ``fill`` (of a cut, whether it begins here, and the length of its part here) in place of each cut. A long text is taken in stretches, each with its own cuts."""
+    stretches = F.when(F.length(text) <= SEGMENT, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)))
+
+    def one(s: Column, k: Column) -> Column:
+        base = (k * SEGMENT).cast("long")
+        lo = lambda i: F.greatest(F.get(cut, i)["lo"] - base, F.lit(0).cast("long"))
+        hi = lambda i: F.least(F.get(cut, i)["hi"] - base, F.length(s).cast("long"))
+        part = lambda a, b: s.substr((a + 1).cast("int"), (b - a).cast("int"))
+        first, end = before(cut, lambda c: c["hi"] <= base), before(cut, lambda c: c["lo"] < base + F.length(s))
+        left = lambda i, first: F.when(i > first, hi(i - 1)).otherwise(F.lit(0).cast("long"))
+        here = lambda i, first: F.concat(part(left(i, first), lo(i)), fill(F.get(cut, i), F.get(cut, i)["lo"] >= base, (hi(i) - lo(i)).cast("int")))
+        both = lambda r: F.when(r["end"] <= r["first"], s).otherwise(F.concat(F.array_join(F.transform(F.sequence(r["first"], r["end"] - 1), lambda i: here(i, r["first"])), ""), part(hi(r["end"] - 1), F.length(s))))
+        return let(F.struct(first.alias("first"), end.alias("end")), both)
+
+    return F.when(F.size(cut) > 0, F.array_join(F.transform(stretches, one), "")).otherwise(text)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -41,9 +92,9 @@ def matches(text: Column, pattern: str) -> Column:
     What lies between the matches, and the matches themselves, have the lengths that place them.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    before = running(F.transform(both, lambda x: (x["g"] + F.length(x["m"])).cast("long")))
-    return F.zip_with(both, before, lambda x, at: F.struct((at + x["g"]).alias("start"), x["m"].alias("found")))
+    both = let(found, lambda found: F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"))))
+    at = lambda both: running(F.transform(both, lambda x: (x["g"] + F.length(x["m"])).cast("long")))
+    return let(both, lambda both: F.zip_with(both, at(both), lambda x, at: F.struct((at + x["g"]).alias("start"), x["m"].alias("found"))))
 
 
 def _span(start: Column, end: Column, rank: int, kind: str) -> Column:
@@ -69,62 +120,60 @@ def bound_of(run: Column) -> Column:
     return bound
 
 
-def hot_range(run: Column, bound: Column, window: int = WINDOW) -> Column:
-    """From the first to the last window of a run whose entropy reaches ``bound``: struct (first, last), of starts from 0; null if none.
+def _hot(run: Column, bound: Column, window: int) -> Column:
+    """(first, last) of the windows of a short run whose entropy reaches ``bound``, nulls if none does.
 
-    With counts c of a window's characters, entropy is log2(window) - sum(c log2 c) / window. The sum is made once and then
-    carried on: a step takes out the leaving character's term and adds the entering one's, by their counts alone.
+    With counts c of a window's characters, entropy is log2(window) - sum(c log2 c) / window. Counts (twelve of five bits
+    in each of seven longs) and sum are carried on: the leaving character's count goes down by one, the entering one's up.
     """
-    term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-    first = F.substring(run, 1, window)
-    begin = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, c: a + F.get(term, count(first, c)))
-    is_hot = lambda s: F.round(math.log2(window) - s / window, 9) >= bound
+    term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    code = lambda c: F.struct(((F.ascii(c) - 43) / 12).cast("int").alias("word"), (F.pmod(F.ascii(c) - 43, F.lit(12)) * 5).cast("int").alias("shift"))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"])
+    count = lambda a, x: F.call_function("shiftright", F.get(a["counts"], x["word"]), x["shift"]).bitwiseAND(F.lit(31)).cast("int")
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0.0).alias("sum"), F.array_repeat(F.lit(0).cast("long"), 7).alias("counts"), none.alias("first"), none.alias("last"))
 
-    def state(s: Column, at: Column, first: Column, last: Column) -> Column:
-        return F.struct(s.alias("s"), F.when(is_hot(s) & first.isNull(), at).otherwise(first).alias("first"), F.when(is_hot(s), at).otherwise(last).alias("last"))
+    def step(codes: Column, a: Column, i: Column) -> Column:
+        enters, leaves = F.get(codes, i), F.get(codes, i - window)
+        out = F.coalesce(count(a, leaves), F.lit(0))
+        into = count(a, enters) - F.when(enters == leaves, 1).otherwise(0)
+        after = a["sum"] - F.get(term, out) + F.get(term, F.greatest(out - 1, F.lit(0))) + F.get(term, into + 1) - F.get(term, into)
+        counts = F.transform(a["counts"], lambda v, k: v + F.when(k == enters["word"], one(enters)).otherwise(0) - F.when(k == leaves["word"], one(leaves)).otherwise(0))
+        at = lambda s: F.when((i >= window - 1) & (F.round(math.log2(window) - s / window, 9) >= bound), i - (window - 1))
+        state = lambda s: let(at(s), lambda h: F.struct(s.alias("sum"), counts.alias("counts"), F.coalesce(a["first"], h).alias("first"), F.coalesce(h, a["last"]).alias("last")))
+        return let(after, state)
 
-    def step(a: Column, i: Column) -> Column:
-        leaves, enters, stays = run.substr(i, F.lit(1)), run.substr(i + window, F.lit(1)), run.substr(i + 1, F.lit(window - 1))
-        out, into = count(stays, leaves), count(stays, enters)
-        s = a["s"] - F.get(term, out + 1) + F.get(term, out) + F.get(term, into + 1) - F.get(term, into)
-        return state(s, i, a["first"], a["last"])
+    chars = F.transform(F.array_remove(F.split(run, ""), ""), code)
+    return let(chars, lambda codes: F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, lambda a, i: step(codes, a, i), lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last"))))
 
-    none = F.lit(None).cast("int")
-    more = F.when(F.length(run) > window, F.sequence(F.lit(1), F.length(run) - window)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(more, state(begin, F.lit(0), none, none), step)
-    return F.when(end["first"].isNotNull(), F.struct(end["first"].alias("first"), end["last"].alias("last")))
 
+def hot_range(run: Column, bound: Column, window: int = WINDOW) -> Column:
+    """From the first to the last window of a run whose entropy reaches ``bound``: struct (first, last), of starts from 0; null if none.
 
-def outside(m: Column, base: Column) -> Column:
-    """The stretches of a match that no base span touches and that a window fits in: an array of structs (lo, hi)."""
-    end = m["start"] + F.length(m["found"])
-    more = lambda a, to: F.when(to - a["at"] >= WINDOW, F.array_append(a["all"], F.struct(a["at"].alias("lo"), to.alias("hi")))).otherwise(a["all"])
-    return F.aggregate(
-        F.sort_array(F.filter(base, lambda b: (b["start"] < end) & (m["start"] < b["end"]))),
-        F.struct(m["start"].alias("at"), F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("all")),
-        lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), more(a, b["start"]).alias("all")),
-        lambda a: more(a, end),
-    )
+    A long run is cut into stretches of ``STEPS`` windows that overlap by what a window is longer than one character.
+    """
+    size = STEPS + window - 1
+    parts = F.when(F.length(run) <= size, F.array(run)).otherwise(F.regexp_extract_all(run, F.lit(f"(?=(.{{1,{size}}})).{{1,{STEPS}}}"), F.lit(1)))
+    found = F.filter(F.transform(parts, lambda p, k: let(_hot(p, bound, window), lambda h: F.struct((h["first"] + k * STEPS).alias("first"), (h["last"] + k * STEPS).alias("last")))), lambda h: h["first"].isNotNull())
+    return let(found, lambda f: F.when(F.size(f) > 0, F.struct(F.get(f, F.lit(0))["first"].alias("first"), F.element_at(f, -1)["last"].alias("last"))))
 
 
-def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW, base: Column | None = None) -> Column:
-    """Spans of hot windows, one a candidate run; with ``base``, one a stretch of a run that these spans leave."""
-    likely = lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]")
+def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW, masked: Column | None = None) -> Column:
+    """Spans of hot windows, one a candidate run; with ``masked``, the text with other spans blotted out, one a stretch of a run that is left.
 
-    def random(m: Column) -> Column:
-        on = likely(m)
+    What a run is, its class and whether it is suppressed are up to the whole run.
+    """
+    def bound(m: Column) -> Column:
+        on = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
         for pattern in allow:
-            on = on & ~m["found"].rlike(pattern)
-        return on
-
-    runs = F.filter(matches(text, CANDIDATE), random)
-    if base is None:
-        runs = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["found"].alias("found"), bound_of(m["found"]).alias("bound")))
-    else:
-        cut = lambda m, x: m["found"].substr((x["lo"] - m["start"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))
-        runs = F.flatten(F.transform(runs, lambda m: F.transform(outside(m, base), lambda x: F.struct(x["lo"].alias("start"), cut(m, x).alias("found"), bound_of(m["found"]).alias("bound")))))
-    ranges = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), hot_range(m["found"], m["bound"]).alias("hot")))
+            on = on & ~m.rlike(pattern)
+        return F.when(on, bound_of(m))
+
+    runs = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["found"].alias("found"), bound(m["found"]).alias("bound")))
+    if masked is not None:
+        own = lambda m, runs: F.get(runs, before(runs, lambda r: r["start"] <= m["start"]) - 1)["bound"]
+        runs = let(runs, lambda runs: F.when(masked == text, runs).otherwise(F.transform(matches(masked, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["found"].alias("found"), own(m, runs).alias("bound")))))
+    ranges = F.transform(F.filter(runs, lambda m: m["bound"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), hot_range(m["found"], m["bound"]).alias("hot")))
     spans = F.transform(F.filter(ranges, lambda r: r["hot"].isNotNull()), lambda r: _span(r["start"] + r["hot"]["first"], r["start"] + r["hot"]["last"] + WINDOW, len(KINDS), "entropy"))
     return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(SPAN))
 
@@ -138,29 +187,31 @@ def scan_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, text: str = "t
     With ``beside``, the base spans are cut out of a run first, and each stretch that is left has its span: a secret next
     to a base match in the same run is then found too.
 
-    Nulls: a null text is empty and has no spans. Long texts are scanned whole. Ties go by kind, as listed. Repeated rows
-    come back as often. An empty table gives no rows. All columns are kept; one named ``secrets`` is replaced.
+    Nulls: a null text is empty and has no spans. Long texts and runs are scanned whole, in time that grows with their
+    length. Ties go by kind, as listed. Repeated rows come back as often. An empty table gives no rows. All columns are
+    kept; one named ``secrets`` is replaced.
     """
     t = F.col("__text")
     df = docs.withColumn("__text", null_safe_text(text))
-    df = df.withColumn("__base", F.concat(*[base_spans(t, k) for k in KINDS])).withColumn("__more", entropy_spans(t, allow, F.col("__base") if beside else None))
-    clear = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.withColumn("secrets", F.sort_array(F.concat("__base", clear))).drop("__text", "__base", "__more")
+    df = df.withColumn("__base", F.sort_array(F.concat(*[base_spans(t, k) for k in KINDS]))).withColumn("__cut", cuts(F.col("__base")))
+    if beside:
+        df = df.withColumn("__masked", spliced(t, F.col("__cut"), lambda c, begins, n: F.repeat(F.lit("\0"), n)))
+        clear = entropy_spans(t, allow, F.col("__masked"))
+    else:
+        df = df.withColumn("__more", entropy_spans(t, allow))
+        clear = F.filter("__more", lambda m: before(F.col("__cut"), lambda c: c["hi"] <= m["start"]) >= before(F.col("__cut"), lambda c: c["lo"] < m["end"]))
+    return df.withColumn("secrets", F.sort_array(F.concat("__base", clear))).drop("__text", "__base", "__cut", "__masked", "__more")
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]", text: str = "text", beside: bool = False) -> DataFrame:
-    """``docs`` with the characters of every secret of ``scan_secrets`` replaced; spans that overlap get one mark. Texts without secrets stay as they are."""
-    df = scan_secrets(docs, text=text, beside=beside)
-    # a span's covered part begins at the furthest end so far; one inside the spans before has none
-    furthest = F.aggregate(
-        "secrets", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<lo:bigint,hi:bigint,new:boolean>>").alias("all")),
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(F.struct(x["end"].alias("at"), F.array_append(a["all"], F.struct(F.greatest(x["start"], a["at"]).alias("lo"), x["end"].alias("hi"), ((x["start"] >= a["at"]) | (a["at"] == 0)).alias("new"))).alias("all"))),
-    )["all"]
-    df = df.withColumn("__cut", furthest)
-    piece = lambda x, i: F.concat(F.col(text).substr((F.when(i > 0, F.get(F.col("__cut"), i - 1)["hi"]).otherwise(F.lit(0)) + 1).cast("int"), (x["lo"] - F.when(i > 0, F.get(F.col("__cut"), i - 1)["hi"]).otherwise(F.lit(0))).cast("int")), F.when(x["new"], F.lit(mark)).otherwise(F.lit("")))
-    tail = F.col(text).substr((F.get(F.col("__cut"), F.size("__cut") - 1)["hi"] + 1).cast("int"), F.length(text))
-    clean = F.concat(F.array_join(F.transform("__cut", piece), ""), tail)
-    return df.withColumn(text, F.when(F.size("__cut") > 0, clean).otherwise(F.col(text))).drop("__cut", "secrets")
+    """``docs`` with the characters of every secret of ``scan_secrets`` replaced; spans that overlap get one mark.
+
+    Texts without secrets, null and empty ones among them, stay as they are. Repeated rows come back as often. An empty
+    table gives no rows. All columns but one named ``secrets`` are kept.
+    """
+    df = scan_secrets(docs, text=text, beside=beside).withColumn("__cut", cuts(F.col("secrets")))
+    put = lambda c, begins, n: F.when(c["new"] & begins, F.lit(mark)).otherwise(F.lit(""))
+    return df.withColumn(text, spliced(F.col(text), F.col("__cut"), put)).drop("__cut", "secrets")
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
