@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +17,17 @@ M64 = (1 << 64) - 1
 _POLY = 0x9E3779B97F4A7C15 | 1
 _POLY_INV = pow(_POLY, -1, 1 << 64)
 #: Bytes of text that one vectorised pass takes; it bounds the memory of a pass, not the length of a text.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
+#: Rows of a batch that goes to a Python worker, where the session says nothing: Spark's own 10,000 long texts can be more than a worker holds.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where the session names none, as in tests, a new temporary folder."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where a session of one machine names none, as in tests, a new temporary folder; elsewhere an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -35,12 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for the session, unless it has set a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def null_safe_text(text: str = "text") -> F.Column:
