@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from weftline.errors import BadRequest, NotFound
 from weftline.functions import dates, text, urls, vectors
-from weftline.operators import authority, clustering, graph, similarity
+from weftline.operators import analytics, authority, clustering, graph, similarity, sites, store
 from weftline.sources import feeds, html
 
 
@@ -40,7 +42,9 @@ def test_urls(spark):
     path = lambda u: one(spark, urls.path(F.lit(u)))
     assert [path(u) for u in ("https://a.example", "https://a.example/x//", "https://a.example/ y", None)] == ["/", "/x", "/", "/"]
     assert one(spark, urls.is_homepage(F.lit("https://a.example/"))) and not one(spark, urls.is_homepage(F.lit("https://a.example/?q=1")))
-    assert not one(spark, urls.matches(F.lit("/x"), "("))
+    assert not one(spark, urls.matches(F.lit("/x"), "(")) and one(spark, urls.matches(F.lit("/x"), "x"))
+    # valid for one of Python and Java only
+    assert not one(spark, urls.matches(F.lit("/x"), "(?P<a>x)")) and not one(spark, urls.matches(F.lit("/x"), r"\p{L}"))
 
 
 def test_authority(spark):
@@ -117,10 +121,188 @@ def test_html_and_feeds(spark, tmp_path):
         assert feeds.read_brands(spark, str(store)).count() == n
 
 
+def test_long_repeats_end(spark):
+    words = F.lit("a-" * 1_000_000 + "a")
+    assert one(spark, text.tokens(words)) == ["a-" * 1_000_000 + "a"]
+    names = spark.createDataFrame([("By " + "Aa Bb " * 300_000,)], "raw string")
+    assert authority.signals(names, "raw").first()["bylines"] == 1
+
+
+def test_resolving_a_site(spark):
+    rows = spark.createDataFrame([(1, "a.example"), (2, "b.example")], "id long, domain string")
+    assert sites.resolve(rows, domain="b.example") == 2 and sites.resolve(rows, 1, "b.example") == 1
+    for error, args in ((BadRequest, {}), (NotFound, {"site_id": 9}), (NotFound, {"domain": "c.example"})):
+        with pytest.raises(error):
+            sites.resolve(rows, **args)
+
+
+def test_purge_says_what_a_dry_run_would_delete(spark):
+    rows = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", None)], "id long, domain string, post boolean")
+    left, told = sites.purge(rows, F.col("post"))
+    assert left.count() == 3 and {tuple(r) for r in told.collect()} == {("a", 1, 0), ("b", 0, 0)}
+    left, told = sites.purge(rows, F.col("post"), dry_run=False)
+    assert {r["id"] for r in left.collect()} == {1, 3} and {tuple(r) for r in told.collect()} == {("a", 1, 1), ("b", 0, 0)}
+
+
+def test_serialised_items(spark):
+    row = sites.serialised(spark.createDataFrame([(1, "u", "t", None)], "id long, url string, title string, schema_types array<string>")).first()
+    assert row["schema_types"] == [] and row["lastmod"] is None and row["word_count"] is None
+
+
+def test_brands(spark, tmp_path):
+    path = str(tmp_path / "brands")
+    none = feeds.read_brands(spark, path)
+    feeds.write_brands(feeds.with_brand(feeds.with_brand(none, key="a", name="A", categories=["x"]), key="b", name="B"), path)
+    have = feeds.read_brands(spark, path)
+    assert {(r["key"], r["name"]) for r in have.collect()} == {("a", "A"), ("b", "B")}
+    feeds.write_brands(feeds.updated_brand(feeds.with_brand(have, key="a", audience="all"), "b", name=None, site_url="https://b.example"), path)
+    rows = {r["key"]: r for r in feeds.read_brands(spark, path).collect()}
+    assert rows["a"]["name"] == "A" and rows["a"]["audience"] == "all" and rows["a"]["categories"] == ["x"] and rows["b"]["name"] == "B" and rows["b"]["site_url"] == "https://b.example"
+    feeds.write_brands(feeds.without_brand(feeds.read_brands(spark, path), "a"), path)
+    left = feeds.read_brands(spark, path)
+    assert [r["key"] for r in left.collect()] == ["b"]
+    for error, call in ((BadRequest, lambda: feeds.with_brand(left, name="x")), (BadRequest, lambda: feeds.with_brand(left, key="a b")), (NotFound, lambda: feeds.updated_brand(left, "z", name="Z")), (NotFound, lambda: feeds.without_brand(left, "z"))):
+        with pytest.raises(error):
+            call()
+    assert [r["key"] for r in feeds.brand_list(left, category="X").collect()] == []
+
+
+def test_snapshots_are_ingested_once(spark):
+    have = analytics.stub_snapshot(spark, 1, "gsc", "2024-01-15").select("site_id", "source", "captured_at", "clicks")
+    new = analytics.stub_snapshot(spark, 1, "ga4", "2024-01-15", notes={"by": "me"})
+    rows = analytics.ingested(analytics.ingested(have, new), new.unionByName(have, allowMissingColumns=True)).collect()
+    assert {(r["source"], r["clicks"], r["organic_sessions"], r["revenue"]) for r in rows} == {("gsc", 123, None, None), ("ga4", None, 789, 1234.56)} and len(rows) == 2
+    ga4 = next(r for r in rows if r["source"] == "ga4")
+    assert str(ga4["period_start"]) == "2024-01-08 00:00:00" and ga4["notes"] == {"by": "me"}
+    with pytest.raises(BadRequest):
+        analytics.stub_snapshot(spark, 1, "other", "2024-01-15")
+    both = spark.range(1).select(analytics.merged_notes(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m"), analytics.merged_notes(F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,string>")).alias("n")).first()
+    assert both["m"] == {"a": "1", "b": "3"} and both["n"] == {}
+
+
+def test_reembedding_scopes(spark):
+    rows = spark.createDataFrame([(1, "d", "u1", "t", None), (2, "d", "u2", None, []), (3, "e", "u3", "t", [1.0])], "id long, domain string, url string, title string, embedding array<double>")
+    done = lambda **k: {r["id"] for r in store.reembedded(rows, **k).filter("updated and size(embedding) = 64").collect()}
+    assert done() == {1, 2} and done(scope="all") == {1, 2, 3} and done(scope="single", url="u3") == {3} and done(scope="all", domain="e") == {3}
+    assert [r["embedding"] for r in store.reembedded(rows).filter("id = 3").collect()] == [[1.0]]
+    for bad in ({"scope": "some"}, {"scope": "single"}):
+        with pytest.raises(BadRequest):
+            store.reembedded(rows, **bad)
+
+
+def test_retrieval_index(spark):
+    docs = spark.createDataFrame([("doc-1", "https://ex.com/1", "Doc 1", "apples and oranges"), ("doc-2", "https://ex.com/2", "Doc 2", "bananas are yellow"), ("doc-3", "https://ex.com/3", "Doc 3", "grapes grow in clusters")], "id string, url string, title string, text string")
+    index = store.retrieval_upserted(store.retrieval_upserted(None, docs), docs.limit(1).withColumn("text", F.lit("yellow fruit")))
+    assert index.count() == 3
+    found = similarity.retrieve(index, "yellow fruit", 2).collect()
+    assert len(found) == 2 and found[0]["id"] == "doc-1" and found[0]["score"] == 1.0
+    assert similarity.retrieve(index, "fruit", 1).count() == 1 and similarity.retrieve(index, "fruit", 5, filters={"site_id": 999999}).count() == 0
+
+
+def test_embedders():
+    assert [vectors.embedder(*a)[1] for a in (("hash64",), ("hash",), ("hash32",), ("hash32", "16"), ("hash32", "x"), ("other9",), ("char8", 0))] == [64, 64, 32, 16, 64, 64, 1]
+
+
+def test_char_hash_equals_its_formula(spark):
+    def plain(t, dim):
+        acc = [0] * dim
+        for i, c in enumerate(t):
+            h = (ord(c) * 1315423911 + i * 2654435761) & 0xFFFFFFFF
+            acc[h % dim] += ((h >> 24) & 0xFF) - 128
+        n = sum(x * x for x in acc) ** 0.5 or 1
+        return [x / n for x in acc]
+
+    texts = ["probe", "", None, "é𝒳 longer text " * 50]
+    got = [r["e"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(vectors.char_hash(F.col("t"), 16).alias("e")).collect()]
+    assert all(abs(x - y) < 1e-6 for e, t in zip(got, texts, strict=True) for x, y in zip(e, plain(t or "", 16), strict=True))
+
+
+def test_vectors_of_any_length_count_whole(spark):
+    rows = [(i, [1.0] * 126 + ([5.0, 0.0] if i % 2 else [0.0, 5.0]), i % 2) for i in range(10)] + [(10, [1.0] * 126, 0)]
+    items = spark.createDataFrame(rows, "id long, embedding array<double>, cluster_id int")
+    assert clustering.centroids(items).first()["centroid"].__len__() == 128 and clustering.dimensions(items) == 128
+    got = {r["id"]: r["cluster"] for r in clustering.kmeans(items, 2, seed=1).collect()}
+    assert len({got[i] for i in range(0, 10, 2)}) == 1 and got[0] != got[1]
+    assert min(r["similarity"] for r in clustering.members(items.filter("id < 10")).collect()) > 0.99
+    again = {r["id"]: r["cluster"] for r in clustering.kmeans_restarts(items, 2, seeds=(1, 2, 3)).collect()}
+    assert again[0] != again[1] and clustering.kmeans_restarts(items.limit(0), 2).count() == 0
+
+
+def test_cluster_sizes_hold_empty_ones(spark):
+    rows = spark.createDataFrame([(0,), (2,), (2,), (None,)], "cluster_id int")
+    assert [tuple(r) for r in clustering.sizes(rows).collect()] == [(2, 2), (0, 1), (1, 0)] and clustering.sizes(rows.limit(0)).count() == 0
+
+
+def test_demo_graph(spark):
+    items, links = graph.demo(spark)
+    assert {tuple(r) for r in graph.link_edges(links, items).collect()} == {(1, 2), (2, 3), (2, 5), (3, 6), (4, 2), (5, 6)}
+    assert graph.without_demo(items, 1).count() == 0 and graph.without_demo(items, 2).count() == 6
+
+
+def test_sitemaps_are_walked_to_the_end(spark):
+    deep = [(f"m{i}", f"<sitemapindex><sitemap><loc>m{i + 1}</loc></sitemap></sitemapindex>") for i in range(20)] + [("m20", "<urlset><url><loc>last</loc></url></urlset>")]
+    assert [r["page_url"] for r in feeds.walk_sitemaps(spark.createDataFrame(deep, "url string, xml string"), "m0").collect()] == ["last"]
+
+
+def test_sinks(spark, tmp_path):
+    import datetime as dt
+    import json
+
+    rows = spark.createDataFrame([(1, "Item, 1", None)], "id long, title string, note string")
+    path = feeds.export_csv(rows, str(tmp_path), "a/b", dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert path.endswith("export_a-b_20240102_030405.csv") and spark.read.option("header", True).csv(path).first()["title"] == "Item, 1"
+    feeds.export_jsonl(rows, str(tmp_path / "out"))
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == {"id": 1, "title": "Item, 1", "note": None}
+
+
+def test_fetched_bytes(spark):
+    import gzip
+
+    rows = [("https://a/x.xml.gz", None, gzip.compress("é".encode())), ("https://a/x.xml.gz", None, b"plain"), ("u", "application/x-gzip", gzip.compress(b"z")), ("u", None, b"\xff"), ("u", None, None)]
+    df = spark.createDataFrame(rows, "url string, kind string, body binary")
+    assert [r[0] for r in df.select(feeds.decoded(F.col("url"), F.col("kind"), F.col("body"))).collect()] == ["é", "plain", "z", "\ufffd", None]
+    ok = spark.createDataFrame([("text/HTML", 10, 200), ("text/plain", 10, 200), ("text/html", 3_000_000, 200), ("text/html", 10, 404), (None, 10, 200), ("text/html", None, None)], "t string, n int, s int")
+    assert [r[0] for r in ok.select(feeds.acceptable(F.col("t"), F.col("n"), F.col("s"))).collect()] == [True, False, False, False, False, True]
+
+
+def test_external_links_without_the_own_host(spark):
+    page = F.lit('<a href="https://A.example/1">x</a><a class="c" href=\'http://b.example\'>y</a><a href="/r">z</a>')
+    assert one(spark, authority.external_links(page))["count"] == 2 and one(spark, authority.external_links(page, F.lit("https://a.example/")))["domains"] == ["b.example"]
+
+
+def test_partial_updates_keep_what_is_not_given(spark):
+    t = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, name string, note string")
+    s = spark.createDataFrame([(1, None, "y"), (3, "c", None)], "id long, name string, note string")
+    assert {tuple(r) for r in store.patched(t, s, "id").collect()} == {(1, "a", "y"), (2, "b", None), (3, "c", None)}
+    assert {tuple(r) for r in store.patched(t, s.select("id", "name"), "id", insert=False).collect()} == {(1, "a", "x"), (2, "b", None)}
+
+
+def test_corpus_terms_against_a_plain_model(spark):
+    import math
+    from collections import Counter
+
+    rnd = random.Random(5)
+    docs = [(i % 3, i, " ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "é2", "x"], k=rnd.randrange(1, 9)))) for i in range(30)]
+    words = {i: Counter(w for w in t.split() if len(w) > 1) for _, i, t in docs}
+    df = Counter(w for c in words.values() for w in c)
+    sums = Counter()
+    for c, i, _ in docs:
+        w = {t: n * (math.log((1 + 30) / (1 + df[t])) + 1) for t, n in words[i].items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        for t, x in w.items():
+            sums[c, t] += x / size / 10
+    want = {(c, n + 1, t) for c in range(3) for n, (t, _) in enumerate(sorted(((t, s) for (k, t), s in sums.items() if k == c), key=lambda x: (-round(x[1], 6), x[0]))[:3])}
+    got = clustering.corpus_terms(spark.createDataFrame(docs, "cluster_id int, id long, text string"), 3).collect()
+    assert {(r["cluster_id"], r["place"], r["term"]) for r in got} == want and all(abs(r["score"] - sums[r["cluster_id"], r["term"]]) < 1e-5 for r in got)
+
+
 def test_stream(spark, tmp_path):
-    from weftline.streaming.latest import latest_stream
+    from weftline.streaming.latest import latest, latest_stream
 
     rows = spark.createDataFrame([(1, 1, "view", "2024-01-01 00:00:00", 1.0), (2, 1, "view", "2024-01-02 00:00:00", 2.0)], "id long, site_id long, source string, captured_at string, revenue double").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
     latest_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+    spark.createDataFrame([(3, 1, "view", "2024-01-01 12:00:00", 3.0), (4, 2, "view", "2024-01-01 12:00:00", 3.0)], "id long, site_id long, source string, captured_at string, revenue double").withColumn("captured_at", F.col("captured_at").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+    latest_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {r["id"] for r in latest(spark, str(tmp_path / "out")).collect()} == {2, 4}

@@ -26,6 +26,17 @@ def bucket(score: Column) -> Column:
     return F.when(score.isNull(), "missing").when(score >= 0.85, "hot").when(score >= 0.60, "fresh").when(score >= 0.40, "warm").otherwise("stale")
 
 
+def day_bucket(day: Column, as_of: Column) -> Column:
+    """The bucket of a date's freshness; missing for a null date."""
+    return F.when(day.isNull(), "missing").otherwise(bucket(freshness(day, as_of)))
+
+
+def default_range(start: Column, end: Column, now: Column, days: int = 7) -> tuple[Column, Column]:
+    """start and end of a period: the end is now if it is not given, the start ``days`` days before the end."""
+    end = F.coalesce(end, now)
+    return F.coalesce(start, end - F.make_dt_interval(F.lit(days))), end
+
+
 def period(token: Column, now: Column) -> Column:
     """today, yesterday or NdaysAgo as that day's date; an ISO date as it is; else null."""
     n = F.regexp_extract(token, r"^(\d+)daysAgo$", 1)

@@ -13,7 +13,10 @@ STOPWORDS = (
     "com", "www", "http", "https",
     "guide", "tips", "playbook", "best", "practices", "strategy", "strategies", "framework", "intro", "introduction",
 )
-TOKEN = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
+#: Possessive: a repeated group would otherwise need stack for each repetition.
+TOKEN = r"[A-Za-z0-9]++(?:['-][A-Za-z0-9]++)*+"
+#: Runs of two letters, digits or underscores of any script and more.
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def stopwords(extra: str | None = None) -> list[str]:
@@ -57,6 +60,12 @@ def contains_all(text: Column, keywords: list[str | None]) -> Column:
     return out
 
 
+def terms(text: Column, stops: list[str] | None = None) -> Column:
+    """Lower-case words of two characters and more that are no stopwords (none if not given)."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(stops)) if stops else words
+
+
 def word_count(text: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,11 +24,15 @@ def is_homepage(url: Column) -> Column:
 
 
 def matches(text: Column, pattern: str | None) -> Column:
-    """Whether a pattern is found; an invalid or missing one is found nowhere."""
+    """Whether a pattern is found; one that is missing, or invalid for Python or for Java, is found nowhere."""
+    if not pattern:
+        return F.lit(False)
     try:
-        return text.rlike(re.compile(pattern).pattern) if pattern else F.lit(False)
-    except re.error:
+        re.compile(pattern)
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JJavaError, IllegalArgumentException):
         return F.lit(False)
+    return text.rlike(pattern)
 
 
 def site_url(url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,14 +44,39 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(unit(a), unit(b))
 
 
+def _char_sums(dim: int):
+    """A function of a text column: for each component the sum of what its characters add, by whole arrays of code points."""
+
+    def sums(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(t: str | None):
+            c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            h = (c * np.uint64(1315423911) + np.arange(len(c), dtype=np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+            return np.bincount((h % np.uint64(dim)).astype(np.int64), ((h >> np.uint64(24)) & np.uint64(255)).astype(float) - 128, dim)
+
+        return texts.map(one)
+
+    return F.pandas_udf(sums, VECTOR)
+
+
 def char_hash(text: Column, dim: int = 64) -> Column:
     """An embedding by characters: each adds a number between -128 and 127 to one component, both from a hash of the character and its place. Length one, 6 decimals."""
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    mixed = lambda c, i: (F.ascii(c).cast("long") * F.lit(1315423911).cast("long") + i.cast("long") * F.lit(2654435761).cast("long")).bitwiseAND(mask)
-    hashes = F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), ""), ""), mixed)
-    cell = lambda h: F.struct((h % dim).alias("d"), (F.shiftright(h, 24).bitwiseAND(F.lit(255).cast("long")) - 128).cast("double").alias("v"))
-    sums = lambda cells: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(cells, lambda p: p["d"] == d), F.lit(0.0), lambda t, p: t + p["v"]))
-    return let(F.transform(hashes, cell), lambda cells: let(sums(cells), lambda v: F.transform(unit(v), lambda x: F.round(x, 6))))
+    return F.transform(unit(_char_sums(dim)(text)), lambda x: F.round(x, 6))
+
+
+EMBEDDERS = {"char": char_hash, "hash": lambda text, dim=64: seeded_normal(dim)(text)}
+
+
+def embedder(name: str = "hash64", dim: int | str | None = None):
+    """(function of a text column, dimensions) by name: char or hash, with the dimensions behind it or as ``dim``, which comes first; else 64. An unknown name is hash64."""
+    found = re.fullmatch(r"(char|hash)(\d*)", name.strip().lower())
+    kind, behind = found.groups() if found else ("hash", "")
+    try:
+        n = max(1, int(dim)) if dim not in (None, "") else max(1, int(behind or 64))
+    except ValueError:
+        n = 64
+    return (lambda text: EMBEDDERS[kind](text, n)), n
 
 
 def seeded_normal(dim: int = 64):

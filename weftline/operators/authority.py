@@ -9,8 +9,9 @@ from weftline.functions import text as tx
 
 #: First words that begin no entity.
 ENTITY_STOPS = ("The", "A", "An", "And", "Or", "In", "On", "Of", "For", "With", "By")
+#: The patterns of entities, bylines and citations. What repeats without bound is possessive, as Java would need stack for each repetition.
 ENTITY = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b"
-BYLINE = r"\bBy\s+([A-Z][\w.-]+(?:\s+[A-Z][\w.-]+)*)"
+BYLINE = r"\bBy\s+([A-Z][\w.-]++(?:\s++[A-Z][\w.-]++)*+)"
 CITATION = r"\[(?:\d{1,3}|fn:\w+)\]"
 JSONLD = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 META_AUTHOR = r"""(?is)<meta[^>]*(?:name|property)=["'](?:author|article:author|twitter:creator)["'][^>]*content=["']([^"']+)["']"""
@@ -61,3 +62,25 @@ def signals(df: DataFrame, raw: str) -> DataFrame:
         (F.regexp_count("__t", F.lit(CITATION)) + F.regexp_count("__t", F.lit(r"https?://\S+"))).alias("citations"),
         links.alias("external_links"), schema.cast("int").alias("schema_present"), F.size(bylines(F.col("__t"), F.col("__h"))).alias("bylines"),
     )
+
+
+def external_links(html: Column, base_url: Column | None = None) -> Column:
+    """(count, domains) of the absolute links of anchors, the domains in order without repeats; with ``base_url``, without links to its own host."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href=["']\s*(https?://[^"'\s]+)"""), F.lit(1))
+    host = lambda u: F.lower(F.regexp_extract(u, r"^(?i:https?)://([^/?#]*)", 1))
+    if base_url is not None:
+        found = F.filter(found, lambda u: ~F.coalesce((host(u) == host(base_url)) & (host(base_url) != ""), F.lit(False)))
+    return F.struct(F.size(found).alias("count"), F.array_sort(F.array_distinct(F.transform(found, host))).alias("domains"))
+
+
+def score_batch(urls: DataFrame) -> DataFrame:
+    """Signals of a stand-in page for each url, as nothing is fetched."""
+    page = F.concat(F.lit("<html><body><p>Stub fetch for "), F.coalesce("url", F.lit("")), F.lit("</p></body></html>"))
+    return signals(urls.select("url", page.alias("html")), "html").drop("html")
+
+
+def scored_items(items: DataFrame, raw: str, at: Column) -> DataFrame:
+    """Items with the signals of a text or HTML column under the names of the items' own columns, and when they were scored."""
+    named = {"entity_coverage": "authority_entity_score", "citations": "authority_citation_count", "external_links": "authority_external_links", "bylines": "authority_author_bylines"}
+    done = signals(items.drop(*named.values(), "authority_schema_present", "authority_last_scored_at"), raw).withColumnsRenamed(named)
+    return done.withColumn("authority_schema_present", F.col("schema_present") == 1).drop("schema_present").withColumn("authority_last_scored_at", at)

@@ -20,30 +20,78 @@ def status(items: DataFrame) -> DataFrame:
     )
 
 
-def centroids(items: DataFrame, cluster: str = "cluster_id", dim: int = 64) -> DataFrame:
-    """cluster, size and centroid: the mean of the members' unit vectors, at length one. ``dim`` partial sums a cluster, no exploded rows."""
+def dimensions(items: DataFrame) -> int:
+    """The length of the longest embedding; 0 without any."""
+    return items.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
+def sizes(items: DataFrame, k: int | None = None) -> DataFrame:
+    """cluster_id and size of the clusters 0 to k - 1, empty ones too, largest first. Without k: up to the highest that has members."""
+    own = items.filter("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    k = k if k is not None else effective(own)
+    ids = items.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
+    return ids.join(own, "cluster_id", "left").select("cluster_id", F.coalesce("size", F.lit(0)).alias("size")).orderBy(F.col("size").desc(), "cluster_id")
+
+
+def effective(items: DataFrame) -> int:
+    """One more than the highest cluster that has members; gaps count."""
+    most = items.agg(F.max("cluster_id")).first()[0]
+    return 0 if most is None else most + 1
+
+
+def centroids(items: DataFrame, cluster: str = "cluster_id", dim: int | None = None) -> DataFrame:
+    """cluster, size and centroid: the mean of the members' unit vectors, at length one. Shorter vectors lack their last components, which count as 0.
+
+    There are ``dim`` partial sums a cluster (None: as many as the longest embedding has components), no exploded rows.
+    """
+    dim = dim or dimensions(items)
     u = items.filter(F.col("embedding").isNotNull() & F.col(cluster).isNotNull()).select(cluster, vectors.unit(F.col("embedding")).alias("u"))
     mean = u.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.coalesce(F.get("u", F.lit(i)), F.lit(0.0))) for i in range(dim)]).alias("mean"))
     return mean.select(cluster, "size", vectors.unit(F.col("mean")).alias("centroid"))
 
 
-def nearest(items: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
-    """Items with ``near``, the centre of least squared distance to their unit vector; ties to the smallest number. A few centres are literals of the plan."""
+def nearest(items: DataFrame, centres: list[tuple[int, list[float]]], far: str | None = None) -> DataFrame:
+    """Items with ``near``, the centre of least squared distance to their unit vector, and this distance in ``far``; ties to the smallest number. A few centres are literals of the plan."""
     d = lambda c: F.aggregate(F.zip_with("u", F.lit(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
     best = F.least(*[F.struct(d(c).alias("d"), F.lit(i).alias("c")) for i, c in centres]) if len(centres) > 1 else F.struct(F.lit(0.0).alias("d"), F.lit(centres[0][0]).alias("c"))
-    return items.withColumn("u", vectors.unit(F.col("embedding"))).withColumn("near", best["c"]).drop("u")
+    if far and len(centres) == 1:
+        best = F.struct(d(centres[0][1]).alias("d"), F.lit(centres[0][0]).alias("c"))
+    out = items.withColumn("u", vectors.unit(F.col("embedding"))).withColumn("__best", best).withColumn("near", F.col("__best.c"))
+    return (out.withColumn(far, F.col("__best.d")) if far else out).drop("u", "__best")
 
 
-def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim: int = 64) -> DataFrame:
-    """Lloyd's k-means of id and embedding: id, cluster. Deterministic for a seed.
+def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim: int | None = None) -> DataFrame:
+    """Lloyd's k-means of id and embedding: id, cluster. Deterministic for a seed. ``dim`` as for ``centroids``; shorter vectors have zeros at their end.
 
     The first centres are the unit vectors of k rows drawn by number in the order of id. A cluster that becomes empty keeps its
     centre. It ends when nothing changes, or after ``rounds``. Each round is one scan with k * dim partial sums.
     """
-    u = items.filter(F.col("embedding").isNotNull()).select("id", vectors.unit(F.col("embedding")).alias("embedding"))
+    centres, u = _lloyd(items, k, seed, rounds, dim)
+    if not centres:
+        return items.sparkSession.createDataFrame([], "id long, cluster int")
+    return nearest(u, list(enumerate(centres))).select("id", F.col("near").alias("cluster"))
+
+
+def kmeans_restarts(items: DataFrame, k: int = 8, seeds: tuple[int, ...] = tuple(range(42, 52)), rounds: int = 50, dim: int | None = None) -> DataFrame:
+    """The k-means of those seeds whose members are nearest to their centres, by the sum of squared distances; ties to the first."""
+    best = None
+    for seed in seeds:
+        centres, u = _lloyd(items, k, seed, rounds, dim)
+        if not centres:
+            return items.sparkSession.createDataFrame([], "id long, cluster int")
+        cost = nearest(u, list(enumerate(centres)), far="far").agg(F.sum("far")).first()[0]
+        if best is None or round(cost, 9) < best[0]:
+            best = round(cost, 9), centres, u
+    return nearest(best[2], list(enumerate(best[1]))).select("id", F.col("near").alias("cluster"))
+
+
+def _lloyd(items: DataFrame, k: int, seed: int, rounds: int, dim: int | None) -> tuple[list, DataFrame]:
+    """The last centres and the unit vectors; no centres if there are no vectors."""
+    dim = dim or dimensions(items)
+    u = items.filter(F.col("embedding").isNotNull()).select("id", vectors.padded(vectors.unit(F.col("embedding")), F.lit(dim)).alias("embedding"))
     n = u.count()
     if not n:
-        return items.sparkSession.createDataFrame([], "id long, cluster int")
+        return [], u
     k = max(1, min(k, n))
     drawn = random.Random(seed).sample(range(n), k)
     # the rows of k given places in the order of id, without one task that numbers all
@@ -67,11 +115,11 @@ def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim:
             break
         last = mark
         centres = [list(found[c]["mean"]) if c in found else old for c, old in enumerate(centres)]
-    return nearest(u, list(enumerate(centres))).select("id", F.col("near").alias("cluster"))
+    return centres, u
 
 
-def members(items: DataFrame, dim: int = 64) -> DataFrame:
-    """Items with similarity to their cluster's centroid (6 decimals) and place by it; ties by id. The few centroids are broadcast."""
+def members(items: DataFrame, dim: int | None = None) -> DataFrame:
+    """Items with similarity to their cluster's centroid (6 decimals) and place by it; ties by id."""
     on = items.filter(F.col("embedding").isNotNull() & F.col("cluster_id").isNotNull())
     c = centroids(on, dim=dim)
     sim = F.round(vectors.dot(vectors.unit(F.col("embedding")), F.col("centroid")), 6)
@@ -107,7 +155,7 @@ def tfidf(docs: DataFrame, min_df: int = 2, max_ratio: float = 0.8, most: int =
     terms = d.select("cluster_id", "id", F.posexplode(text.ngrams(text.tokens(F.col("text"), stops), most)).alias("pos", "term"))
     per = terms.groupBy("cluster_id", "id", "term").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"))
     agg = per.groupBy("cluster_id", "term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"), F.min(F.struct("id", "pos")).alias("first"))
-    s = agg.join(F.broadcast(n), "cluster_id").filter((F.col("df") >= min_df) & (F.col("df") <= max_ratio * F.col("docs")))
+    s = agg.join(n, "cluster_id").filter((F.col("df") >= min_df) & (F.col("df") <= max_ratio * F.col("docs")))
     return s.withColumn("score", F.round(F.col("tf") / F.col("docs") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1), 9))
 
 
@@ -135,3 +183,22 @@ def labels(scored: DataFrame, top: int = 6, step: int = 256) -> DataFrame:
         lo += step
     ranked.unpersist()
     return state
+
+
+def corpus_terms(docs: DataFrame, top: int = 5, features: int = 5000, stops: list[str] | None = None) -> DataFrame:
+    """The terms of the highest mean TF-IDF of each cluster, from (cluster_id, id, text): cluster_id, place, term, score (6 decimals).
+
+    The ``features`` most frequent terms of the corpus count, ties to the first by name. A document's weights tf * (ln((1 +
+    N) / (1 + df)) + 1) are at length one, and a cluster's score is their mean over its documents. Ties go by term.
+    """
+    d = docs.filter(F.col("cluster_id").isNotNull())
+    n = d.count()
+    per = d.select("cluster_id", "id", F.explode(text.terms(F.col("text"), stops)).alias("term")).groupBy("cluster_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = per.groupBy("term").agg(F.sum("tf").alias("all"), F.count(F.lit(1)).alias("df")).orderBy(F.col("all").desc(), "term").limit(features)
+    idf = F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1
+    w = per.join(known, "term").select("cluster_id", "id", "term", (F.col("tf") * idf).alias("w"))
+    size = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    of = d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("docs"))
+    mean = w.join(size, "id").groupBy("cluster_id", "term").agg(F.sum(F.col("w") / F.col("size")).alias("sum")).join(of, "cluster_id")
+    place = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.col("score").desc(), "term"))
+    return mean.withColumn("score", F.round(F.col("sum") / F.col("docs"), 6)).withColumn("place", place).filter(F.col("place") <= top).select("cluster_id", "place", "term", "score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import urls
+from weftline.plans.tables import dropped, written
 
 
 def link_edges(links: DataFrame, items: DataFrame) -> DataFrame:
@@ -24,36 +25,41 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
-    """id, pagerank after ``steps`` steps from an even start; what dangling nodes hold is spread evenly."""
-    n = nodes.count()
+    """id, pagerank after ``steps`` steps from an even start; what dangling nodes hold is spread evenly. Each step is a table, so plans stay as they are."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("r"))
-    links = edges.join(out, "src")
-    for step in range(steps):
-        sent = links.join(rank, links.src == rank.id).groupBy("dst").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
-        loose = rank.join(out, rank.id == out.src, "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose")).first()[0]
-        rank = rank.select("id").join(sent, F.col("id") == F.col("dst"), "left").select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("r"))
-        if step % 4 == 3 and rank.sparkSession.sparkContext.getCheckpointDir():
-            rank = rank.checkpoint()
+    links = written(edges.join(out, "src"), "links")
+    base = written(nodes.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", F.col("out").isNull().alias("loose")), "nodes")
+    n = base.count()
+    rank = written(base.select("id", "loose", F.lit(1.0 / max(n, 1)).alias("r")), "rank")
+    for _ in range(steps):
+        sent = links.join(rank.select("id", "r"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
+        loose = rank.filter("loose").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("held"))  # one row
+        new = base.join(sent, F.col("id") == F.col("dst"), "left").join(F.broadcast(loose))
+        new = written(new.select("id", "loose", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("held") / n)).alias("r")), "rank")
+        dropped(rank)
+        rank = new
+    dropped(links, base)
     return rank.select("id", F.round("r", 6).alias("pagerank"))
 
 
 def hits(nodes: DataFrame, edges: DataFrame, steps: int = 5) -> DataFrame:
-    """id, hub, authority after ``steps`` steps, each at length one."""
-    hub = nodes.select("id", F.lit(1.0).alias("h"))
+    """id, hub, authority after ``steps`` steps, each at length one. Each half of a step is a table."""
+    ids, links = written(nodes.select("id"), "nodes"), written(edges.select("src", "dst"), "links")
 
-    def norm(df: DataFrame, c: str) -> DataFrame:
-        total = df.agg(F.sqrt(F.sum(F.col(c) * F.col(c)))).first()[0] or 1.0
-        return df.withColumn(c, F.col(c) / total)
+    def half(score: DataFrame, given: str, by: str, to: str, made: str) -> DataFrame:
+        got = links.join(score, F.col(by) == F.col("id")).groupBy(to).agg(F.sum(given).alias("s"))
+        raw = written(ids.join(got, F.col("id") == F.col(to), "left").select("id", F.coalesce("s", F.lit(0.0)).alias("s")), "raw")
+        size = raw.agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size"))  # one row
+        out = written(raw.join(F.broadcast(size)).select("id", F.when(F.col("size") > 0, F.col("s") / F.col("size")).otherwise(F.col("s")).alias(made)), made)
+        dropped(raw)
+        return out
 
-    auth = hub.select("id", F.col("h").alias("a"))
+    hub, auth = ids.select("id", F.lit(1.0).alias("h")), ids.select("id", F.lit(1.0).alias("a"))
     for step in range(steps):
-        got = edges.join(hub, edges.src == hub.id).groupBy("dst").agg(F.sum("h").alias("a"))
-        auth = norm(nodes.select("id").join(got, F.col("id") == F.col("dst"), "left").select("id", F.coalesce("a", F.lit(0.0)).alias("a")), "a")
-        back = edges.join(auth, edges.dst == auth.id).groupBy("src").agg(F.sum("a").alias("h"))
-        hub = norm(nodes.select("id").join(back, F.col("id") == F.col("src"), "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h")), "h")
-        if step % 3 == 2 and nodes.sparkSession.sparkContext.getCheckpointDir():
-            hub, auth = hub.checkpoint(), auth.checkpoint()
+        before = (hub, auth) if step else ()
+        auth = half(hub, "h", "src", "dst", "a")
+        hub = half(auth, "a", "dst", "src", "h")
+        dropped(*before)
     return hub.join(auth, "id").select("id", F.round("h", 6).alias("hub"), F.round("a", 6).alias("authority"))
 
 
@@ -63,3 +69,19 @@ def export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst")).alias("json"))
     meta = nodes.agg(F.count(F.lit(1)).alias("nodes")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
     return n.union(e).union(meta.select(F.lit("meta").alias("kind"), F.to_json(F.struct("nodes", "edges")).alias("json")))
+
+
+def demo(spark: SparkSession, domain: str = "demo.local", site_id: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A small graph for trials: items (id, site_id, url, title) and links (from_url, href), the hrefs relative."""
+    pages = [("/intro", "Intro"), ("/pillar", "Pillar"), ("/posts/deep-dive", "Deep Dive"), ("/how-to", "How To"), ("/faq", "FAQ"), ("/resources", "Resources")]
+    links = [(0, "/pillar"), (1, "/posts/deep-dive"), (1, "/faq"), (2, "/resources"), (3, "/pillar"), (4, "/resources")]
+    items = spark.createDataFrame([(i + 1, site_id, f"https://{domain}{path}", title) for i, (path, title) in enumerate(pages)], "id long, site_id long, url string, title string")
+    return items, spark.createDataFrame([(f"https://{domain}{pages[i][0]}", href) for i, href in links], "from_url string, href string")
+
+
+def without_demo(items: DataFrame, site_id: int, hosts: tuple[str, ...] = ("example.com", "demo.local")) -> DataFrame:
+    """Items without those of a site whose url holds one of ``hosts``."""
+    of_demo = F.lit(False)
+    for host in hosts:
+        of_demo = of_demo | F.col("url").contains(host)
+    return items.filter(~((F.col("site_id") == site_id) & F.coalesce(of_demo, F.lit(False))))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.functions import urls, vectors
+from weftline.plans.tables import written
 
-#: Targets that are broadcast at a time, and sources of one product.
-TARGET_BLOCK, SOURCE_BLOCK = 16_384, 512
+#: Targets that are broadcast at a time, and bytes of their vectors; sources of one product.
+TARGET_BLOCK, TARGET_BYTES, SOURCE_BLOCK = 16_384, 1 << 25, 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -27,20 +28,22 @@ def link_suggestions(items: DataFrame, per_item: int = 5, min_sim: float = 0.45,
     at least ``min_sim``; with ``fallback``, an item that has none gets its best whatever they reach. Ties go to the
     smaller target id. Items have id, url and embedding (one length); without an embedding they take no part.
 
-    Targets go out in blocks of bounded size, and a partition of sources keeps its best per block, so all pairs are
-    scored but none is a row.
+    Targets go out in blocks of bounded rows and bytes, one after another, and a partition of sources keeps its best per
+    block, so all pairs are scored but none is a row.
     """
     on = items.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("id", "url", vectors.unit(F.col("embedding")).alias("u"), urls.path(F.col("url")).alias("path"), urls.is_homepage(F.col("url")).alias("home"))
     on = on.filter(~urls.matches(F.col("path"), exclude))
     targets = on.filter(~F.col("home")).select("id", "path", "u")
-    n = targets.count()
-    blocks = max(1, -(-n // TARGET_BLOCK) * (1 if n <= TARGET_BLOCK else 2))
+    n, dim = targets.agg(F.count(F.lit(1)), F.max(F.size("u"))).first()
+    most = max(1, min(TARGET_BLOCK, TARGET_BYTES // (8 * (dim or 1))))
+    blocks = max(1, -(-n // most) * (1 if n <= most else 2))
     out = None
     for b in range(blocks):
         got = targets.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow()
         if not got.num_rows:
             continue
         best = _best(on.select("id", "path", "u"), got, per_item)
+        best = written(best, "best") if blocks > 1 else best
         out = best if out is None else out.union(best)
     if out is None:
         return items.sparkSession.createDataFrame([], "source_id long, target_id long, source_url string, target_url string, similarity double")
@@ -85,9 +88,15 @@ def _best(sources: DataFrame, targets: pa.Table, k: int) -> DataFrame:
     return sources.mapInArrow(run, "source_id long, target_id long, similarity double")
 
 
-def retrieve(docs: DataFrame, query: str, k: int = 5, site: str | None = None, dim: int = 64) -> DataFrame:
-    """The ``k`` documents (id, url, title, text) nearest to a query by character-hash embeddings, of one site if given: with score (6 decimals)."""
+def retrieve(docs: DataFrame, query: str, k: int = 5, site: str | None = None, dim: int = 64, filters: dict | None = None) -> DataFrame:
+    """The ``k`` documents (id, url, title, text) nearest to a query by character-hash embeddings: with score (6 decimals).
+
+    ``docs`` may be an index that has embeddings. ``site`` is part of the url; ``filters`` are values of columns, and one
+    of a column that is not there matches nothing.
+    """
     q = F.lit(docs.sparkSession.range(1).select(vectors.char_hash(F.lit(query), dim)).first()[0])
-    score = F.round(vectors.cosine(vectors.char_hash(F.col("text"), dim), q), 6)
     some = docs.filter(F.col("url").contains(site)) if site else docs
-    return some.withColumn("score", score).orderBy(F.col("score").desc(), "id").limit(k)
+    for name, value in (filters or {}).items():
+        some = some.filter(F.col(name) == value if name in docs.columns else F.lit(False))
+    own = F.col("embedding") if "embedding" in docs.columns else vectors.char_hash(F.col("text"), dim)
+    return some.withColumn("score", F.round(vectors.cosine(own, q), 6)).orderBy(F.col("score").desc(), "id").limit(max(0, k))

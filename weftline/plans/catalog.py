@@ -13,22 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, name, domain: a row per source, numbered in order; there are few, and only their names are sorted."""
     own = table(spark, sf_dir, "documents").select(F.col("source").alias("domain")).distinct()
     return own.select(F.dense_rank().over(W.orderBy("domain")).cast("long").alias("id"), F.col("domain").alias("name"), "domain")
 
 
 def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as content: id, domain, url, title (the first line, 120 characters at most), content, embedding, cluster_id, updated_at."""
-    d = table(spark, sf_dir, "documents")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster_id"))
-    items = d.select(
+    """Documents as content: id, domain, url, title (the first line, 120 characters at most: a rule of these tables), content, updated_at."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("domain"), F.format_string("https://%s.example/%s/%d", "source", "lang", "doc_id").alias("url"),
         F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("text").alias("content"),
         (F.lit(BASE_DAY).cast("timestamp") + F.make_dt_interval((F.col("doc_id") % 400).cast("int"))).alias("updated_at"),
     )
-    return items.join(e, "id", "left")
+
+
+def embedded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``content_items`` with embedding and cluster_id, where there are any."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster_id"))
+    return content_items(spark, sf_dir).join(e, "id", "left")
 
 
 ITEMS_SQL = f"""items AS (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import dates, prompts, text, urls, vectors
-from weftline.operators import analytics, authority, clustering, graph, recommend, similarity, store
-from weftline.plans.catalog import ITEMS_SQL, LINKED_SQL, SNAPSHOTS_SQL, content_items, linked_items, sites, snapshots, table
+from weftline.operators import analytics, authority, clustering, graph, recommend, similarity, sites, store
+from weftline.plans.catalog import ITEMS_SQL, LINKED_SQL, SNAPSHOTS_SQL, content_items, embedded_items, linked_items, site_rows, snapshots, table
+from weftline.plans.tables import written
 from weftline.sources import feeds, html
 
 AS_OF = "2024-01-15"
@@ -75,12 +76,12 @@ def ga4_totals(spark, d):
 
 @query("SELECT dense_rank() OVER (ORDER BY source) AS id, source AS name, source AS domain FROM (SELECT DISTINCT source FROM documents)")
 def site_list(spark, d):
-    return sites(spark, d)
+    return site_rows(spark, d)
 
 
 @query(f"WITH {ITEMS_SQL}, s AS (SELECT dense_rank() OVER (ORDER BY source) AS site_id, source AS domain FROM (SELECT DISTINCT source FROM documents)) SELECT site_id, id, url FROM items JOIN s USING (domain) WHERE domain = 'src3'")
 def site_join(spark, d):
-    s = sites(spark, d).filter("domain = 'src3'").select(F.col("id").alias("site_id"), "domain")
+    s = site_rows(spark, d).filter("domain = 'src3'").select(F.col("id").alias("site_id"), "domain")
     return content_items(spark, d).join(s, "domain").select("site_id", "id", "url")
 
 
@@ -91,7 +92,7 @@ def item_by_id(spark, d):
 
 @query(f"""WITH {ITEMS_SQL} SELECT domain, count(*) AS items, count(embedding) AS embedded, count(cluster_id) AS clustered, count(DISTINCT cluster_id) AS clusters, max(len(embedding))::INT AS dim FROM items GROUP BY domain""")
 def cluster_status(spark, d):
-    return clustering.status(content_items(spark, d))
+    return clustering.status(embedded_items(spark, d))
 
 
 @query("SELECT max(len(embedding))::INT AS dim, count(*) AS vectors FROM embeddings WHERE len(embedding) > 0")
@@ -109,15 +110,53 @@ def content_search_page(spark, d):
     return content_items(spark, d).filter(F.col("title").ilike("%en%") | F.col("url").ilike("%en%")).select("id", "url", "title").orderBy(F.col("id").desc()).offset(20).limit(20)
 
 
-@query("SELECT doc_id AS id FROM documents WHERE text IS NULL OR text = '' OR n_chars < 100 ORDER BY doc_id DESC LIMIT 100")
+BARE_SQL = f"{ITEMS_SQL}, bare AS (SELECT * REPLACE (CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE title END AS title, CASE WHEN id % 11 = 0 THEN '' ELSE content END AS content) FROM items)"
+
+
+def _bare(spark, d):
+    """Items of which some have no title or no content yet."""
+    title = F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 7 == 1, F.lit(None)).otherwise(F.col("title"))
+    return content_items(spark, d).withColumn("title", title).withColumn("content", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("content")))
+
+
+@query(f"WITH {BARE_SQL} SELECT id FROM bare WHERE title IS NULL OR title = '' OR content IS NULL OR content = '' ORDER BY id DESC LIMIT 100")
 def pending_scrape(spark, d):
-    t = table(spark, d, "documents")
-    return t.filter(F.col("text").isNull() | (F.col("text") == "") | (F.col("n_chars") < 100)).select(F.col("doc_id").alias("id")).orderBy(F.col("id").desc()).limit(100)
+    return sites.pending(_bare(spark, d), 100).select("id")
+
+
+@query(f"WITH {BARE_SQL}, s AS (SELECT id, url, title, length(content)::INT AS word_count, CASE WHEN id % 2 = 0 THEN ['Article'] ELSE [] END AS schema_types, updated_at FROM bare) SELECT id, url, title, word_count, array_to_string(schema_types, ',') AS schema_types, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS lastmod FROM s")
+def items_serialised(spark, d):
+    rows = _bare(spark, d).withColumn("word_count", F.length("content")).withColumn("schema_types", F.when(F.col("id") % 2 == 0, F.array(F.lit("Article")))).withColumn("lastmod", F.col("updated_at"))
+    return sites.serialised(rows).select("id", "url", "title", "word_count", F.array_join("schema_types", ",").alias("schema_types"), "lastmod")
+
+
+@query(f"""WITH {ITEMS_SQL}, s AS (SELECT dense_rank() OVER (ORDER BY source) AS id, source AS domain FROM (SELECT DISTINCT source FROM documents)), {SNAPSHOTS_SQL}
+SELECT id, domain, (SELECT count(*) FROM items i WHERE i.domain = s.domain) AS items, (SELECT count(*) FROM snapshots n WHERE n.site_id = s.id) AS snapshots FROM s""")
+def site_holdings(spark, d):
+    return sites.holdings(site_rows(spark, d), content_items(spark, d), snapshots(spark, d))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT i.id FROM items i WHERE domain = 'src1' AND id % 2 = 0")
+def site_resolved(spark, d):
+    """Items of a site that is asked for by its domain and then by its id."""
+    rows = site_rows(spark, d)
+    by_id = sites.resolve(rows, site_id=sites.resolve(rows, domain="src1"))
+    return content_items(spark, d).join(rows.filter(F.col("id") == by_id).select("domain"), "domain").filter("id % 2 = 0").select("id")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT domain, count(*) FILTER (NOT (url LIKE '%/en/%')) AS found, count(*) FILTER (NOT (url LIKE '%/en/%')) AS deleted FROM items GROUP BY domain")
+def purge_counts(spark, d):
+    return sites.purge(content_items(spark, d), F.col("url").like("%/en/%"), dry_run=False)[1]
+
+
+@query(f"WITH {ITEMS_SQL} SELECT id FROM items WHERE url LIKE '%/en/%'")
+def purge_remaining(spark, d):
+    return sites.purge(content_items(spark, d), F.col("url").like("%/en/%"), dry_run=False)[0].select("id")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT domain, count(*) AS missing FROM items WHERE embedding IS NULL OR len(embedding) = 0 GROUP BY domain")
 def embedding_missing(spark, d):
-    return content_items(spark, d).filter(F.col("embedding").isNull() | (F.size("embedding") == 0)).groupBy("domain").agg(F.count(F.lit(1)).alias("missing"))
+    return embedded_items(spark, d).filter(F.col("embedding").isNull() | (F.size("embedding") == 0)).groupBy("domain").agg(F.count(F.lit(1)).alias("missing"))
 
 
 @query(r"SELECT page_id, regexp_replace(coalesce(url, ''), '^https?://[^/?#]*', '') AS raw, CASE WHEN regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') END AS path, regexp_matches(url, '^https?://[^/?#]*/?$') AS home FROM pages")
@@ -142,13 +181,20 @@ def freshness_scores(spark, d):
     return content_items(spark, d).select("id", F.round(dates.freshness(day, F.lit(AS_OF).cast("date")), 6).alias("score"))
 
 
-@query(f"{AGES_SQL} SELECT CASE WHEN score >= 0.85 THEN 'hot' WHEN score >= 0.60 THEN 'fresh' WHEN score >= 0.40 THEN 'warm' ELSE 'stale' END AS bucket, count(*) AS items, round(avg(n_chars), 3) AS avg_chars FROM s JOIN documents ON doc_id = id GROUP BY 1")
+@query(f"{AGES_SQL} SELECT CASE WHEN id % 13 = 0 THEN 'missing' WHEN score >= 0.85 THEN 'hot' WHEN score >= 0.60 THEN 'fresh' WHEN score >= 0.40 THEN 'warm' ELSE 'stale' END AS bucket, count(*) AS items, round(avg(n_chars), 3) AS avg_chars FROM s JOIN documents ON doc_id = id GROUP BY 1")
 def freshness_histogram(spark, d):
-    day = F.lit("2023-06-01").cast("date") + (F.col("doc_id") % 400).cast("int")
-    rows = table(spark, d, "documents").select(dates.bucket(dates.freshness(day, F.lit(AS_OF).cast("date"))).alias("bucket"), "n_chars")
+    day = F.when(F.col("doc_id") % 13 != 0, F.lit("2023-06-01").cast("date") + (F.col("doc_id") % 400).cast("int"))
+    rows = table(spark, d, "documents").select(dates.day_bucket(day, F.lit(AS_OF).cast("date")).alias("bucket"), "n_chars")
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("n_chars"), 3).alias("avg_chars"))
 
 
+@query(f"SELECT event_id AS id, coalesce(CASE WHEN event_id % 3 = 0 THEN ts END, coalesce(CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 1 DAY END, TIMESTAMP '{AS_OF}') - INTERVAL 7 DAYS) AS period_start, coalesce(CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 1 DAY END, TIMESTAMP '{AS_OF}') AS period_end FROM events")
+def default_ranges(spark, d):
+    e = table(spark, d, "events")
+    first, last = dates.default_range(F.when(F.col("event_id") % 3 == 0, F.col("ts")), F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.make_dt_interval(F.lit(1))), F.lit(AS_OF).cast("timestamp"))
+    return e.select(F.col("event_id").alias("id"), first.alias("period_start"), last.alias("period_end"))
+
+
 @query(f"SELECT t AS token, CASE t WHEN 'today' THEN DATE '{AS_OF}' WHEN 'yesterday' THEN DATE '{AS_OF}' - 1 WHEN '7daysAgo' THEN DATE '{AS_OF}' - 7 WHEN '2023-12-31' THEN DATE '2023-12-31' END AS day FROM (VALUES ('today'), ('yesterday'), ('7daysAgo'), ('2023-12-31'), ('soon')) v(t)")
 def period_tokens(spark, d):
     rows = spark.createDataFrame([(t,) for t in ("today", "yesterday", "7daysAgo", "2023-12-31", "soon")], "token string")
@@ -205,7 +251,7 @@ s AS (SELECT cluster_id, term, tf::BIGINT AS tf, df, f, round(tf::DOUBLE / docs
 
 
 def _titles(spark, d):
-    return content_items(spark, d).select("cluster_id", "id", F.col("title").alias("text"))
+    return embedded_items(spark, d).select("cluster_id", "id", F.col("title").alias("text"))
 
 
 @query(f"WITH {ITEMS_SQL}, {TERMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, f) AS place FROM s) SELECT cluster_id, place::INT AS place, term, tf, df, score FROM r WHERE place <= 10")
@@ -213,20 +259,51 @@ def tfidf_terms(spark, d):
     return clustering.top_terms(clustering.tfidf(_titles(spark, d)))
 
 
-@query()
+LABELS_SQL = """l AS (SELECT cluster_id, list([term] ORDER BY score DESC, f) AS t FROM s GROUP BY cluster_id)
+SELECT cluster_id, array_to_string(list_reduce(t, lambda acc, x: CASE WHEN len(acc) < 6 AND len(list_filter(acc, lambda y: contains(y, x[1]) OR contains(x[1], y))) = 0 THEN list_append(acc, x[1]) ELSE acc END), '|') AS labels FROM l"""
+
+
+@query(f"WITH {ITEMS_SQL}, {TERMS_SQL}, {LABELS_SQL}")
 def tfidf_labels(spark, d):
-    return clustering.labels(clustering.tfidf(_titles(spark, d)))
+    return clustering.labels(clustering.tfidf(_titles(spark, d))).select("cluster_id", F.array_join("labels", "|").alias("labels"))
+
+
+CORPUS_STOPS = ["the", "and", "of", "to", "in", "und", "der", "les", "que"]
+
+
+@query(f"""WITH {ITEMS_SQL}, d AS (SELECT cluster_id, id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({CORPUS_STOPS}, w)) AS w FROM items WHERE cluster_id IS NOT NULL),
+p AS (SELECT cluster_id, id, term, count(*) AS tf FROM (SELECT cluster_id, id, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT term, sum(tf) AS total, count(*) AS df FROM p GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+w AS (SELECT cluster_id, id, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (df + 1)) + 1) AS w FROM p JOIN k USING (term)),
+z AS (SELECT id, sqrt(sum(w * w)) AS z FROM w GROUP BY id), o AS (SELECT cluster_id, count(*) AS docs FROM d GROUP BY cluster_id),
+m AS (SELECT cluster_id, term, round(sum(w / z) / any_value(docs), 6) AS score FROM w JOIN z USING (id) JOIN o USING (cluster_id) GROUP BY cluster_id, term),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term)::INT AS place FROM m) SELECT cluster_id, place, term, score FROM r WHERE place <= 5""")
+def corpus_terms(spark, d):
+    docs = embedded_items(spark, d).select("cluster_id", "id", F.col("content").alias("text"))
+    return clustering.corpus_terms(docs, 5, 5000, CORPUS_STOPS)
 
 
 # --- vectors and clusters
 
 
 @query(f"""WITH {LINKED_SQL}, e AS (SELECT cluster_id, unnest(u) AS x, unnest(range(64)) AS i FROM linked), m AS (SELECT cluster_id, i, avg(x) AS x, count(*) AS size FROM e GROUP BY ALL),
-l AS (SELECT cluster_id, size, list(x ORDER BY i) AS m FROM m GROUP BY ALL)
-SELECT cluster_id, size, round(m[1] / sqrt(list_inner_product(m, m)), 6) AS c0, round(m[64] / sqrt(list_inner_product(m, m)), 6) AS c63 FROM l""")
+l AS (SELECT cluster_id, size, list(x ORDER BY i) AS m FROM m GROUP BY ALL), c AS (SELECT cluster_id, size, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM l)
+SELECT cluster_id, size, unnest(range(64))::INT AS component, round(unnest(c), 6) AS value FROM c""")
 def centroids(spark, d):
     c = clustering.centroids(linked_items(spark, d))
-    return c.select("cluster_id", "size", F.round(F.col("centroid")[0], 6).alias("c0"), F.round(F.col("centroid")[63], 6).alias("c63"))
+    return c.select("cluster_id", "size", F.posexplode("centroid").alias("component", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT vec_id AS id, len(embedding[1 : 60 + vec_id % 5])::INT AS given, 64::INT AS dim, round(list_sum(list_transform(list_resize(embedding[1 : 60 + vec_id % 5], 64, 0), lambda x, i: x::VARCHAR::DOUBLE * i)), 4) AS told FROM embeddings""")
+def embeddings_coerced(spark, d):
+    """Vectors of different lengths, as JSON text with an entry that is no number, read and padded to the longest."""
+    raw = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", F.lit(1), (60 + F.col("vec_id") % 5).cast("int")).alias("v"))
+    text_ = F.when(F.col("id") % 2 == 0, F.to_json("v")).otherwise(F.concat(F.lit('{"data":["x",'), F.substring(F.to_json("v"), 2, 2**31 - 1), F.lit("}")))
+    v = raw.select("id", vectors.numbers(text_).alias("v"))
+    v = written(v, "vectors")
+    dim = v.agg(F.max(F.size("v"))).first()[0]
+    at = F.aggregate(F.zip_with(vectors.padded(F.col("v"), F.lit(dim)), F.sequence(F.lit(1), F.lit(dim)), lambda x, i: x * i), F.lit(0.0), lambda t, x: t + x)
+    return v.select("id", F.size("v").alias("given"), F.lit(dim).alias("dim"), F.round(at, 4).alias("told"))
 
 
 CENTRES_SQL = f"""{LINKED_SQL}, e AS (SELECT cluster_id, unnest(u) AS x, unnest(range(64)) AS i FROM linked), m AS (SELECT cluster_id, i, avg(x) AS x, count(*) AS size FROM e GROUP BY ALL),
@@ -254,9 +331,11 @@ def cluster_samples(spark, d):
     return clustering.samples(linked_items(spark, d).withColumn("title", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("t"), "id"))))
 
 
-@query("SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY label")
+@query("SELECT c::INT AS cluster_id, count(label) AS size FROM range((SELECT max(label) + 3 FROM embeddings)) r(c) LEFT JOIN (SELECT label FROM embeddings WHERE label <> 2) e ON label = c GROUP BY c")
 def cluster_sizes(spark, d):
-    return linked_items(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    """Sizes of all clusters and two more, largest first; one in between has no members."""
+    items = linked_items(spark, d)
+    return clustering.sizes(items.filter("cluster_id <> 2"), clustering.effective(items) + 2)
 
 
 @query()
@@ -267,7 +346,7 @@ def kmeans_full(spark, d):
 @query()
 def cluster_topics_full(spark, d):
     """k-means of all embedded items, then labels of each cluster by its titles."""
-    items = content_items(spark, d).filter(F.col("embedding").isNotNull())
+    items = embedded_items(spark, d).filter(F.col("embedding").isNotNull())
     found = clustering.kmeans(items, k=8).select("id", F.col("cluster").alias("cluster_id"))
     docs = items.drop("cluster_id").join(found, "id").select("cluster_id", "id", clustering.label_text(F.col("title"), F.lit(None).cast("string"), F.col("url")).alias("text"))
     return clustering.labels(clustering.tfidf(docs))
@@ -307,16 +386,39 @@ def seeded_normal_embedding(spark, d):
     return table(spark, d, "pages").select("page_id", vectors.seeded_normal()("url").alias("embedding"))
 
 
-@query()
+@query(f"WITH t AS (SELECT 1 AS id, 'probe' AS t), {CHAR_SQL} SELECT 64::INT AS dim, round(sqrt(sum(pow(round(v / n, 6), 2))), 6) AS norm FROM b JOIN n USING (id)")
 def embedder_info(spark, d):
-    e = spark.range(1).select(vectors.char_hash(F.lit("probe")).alias("e"))
+    embed, dim = vectors.embedder("char64")
+    e = spark.range(1).select(embed(F.lit("probe")).alias("e")).filter(F.size("e") == dim)
     return e.select(F.size("e").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("e"), F.col("e"))), 6).alias("norm"))
 
 
-@query()
+FIND_SQL = "q AS (SELECT b, round(v / n, 6) AS x FROM b JOIN n USING (id) WHERE id = -1), v AS (SELECT id, b, round(CASE WHEN n > 0 THEN v / n ELSE v END, 6) AS x FROM b JOIN n USING (id) WHERE id >= 0), s AS (SELECT v.id, sum(v.x * coalesce(q.x, 0)) / sqrt(sum(v.x * v.x)) / (SELECT sqrt(sum(x * x)) FROM q) AS score FROM v LEFT JOIN q USING (b) GROUP BY v.id)"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT -1, 'the thing and the other'), {CHAR_SQL}, {FIND_SQL}
+SELECT id, round(score, 6) AS score FROM s WHERE id IN (SELECT doc_id FROM documents) ORDER BY round(score, 6) DESC, id LIMIT 20""")
 def retrieval_topk(spark, d):
+    docs = content_items(spark, d).select("id", "url", "title", F.col("content").alias("text"))
+    return similarity.retrieve(docs, "the thing and the other", 20).select("id", "score")
+
+
+@query(f"""WITH x AS (SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN 'bananas are yellow ' || item_id ELSE text END AS text FROM benchmark), t AS (SELECT id, text AS t FROM x UNION ALL SELECT -1, 'yellow fruit'), {CHAR_SQL}, {FIND_SQL}
+SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 10""")
+def retrieval_upserted(spark, d):
+    """An index of items, of which some are put in again with other texts, and what it finds."""
     docs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.format_string("https://bench.example/%d", "item_id").alias("url"), F.substring("text", 1, 40).alias("title"), "text")
-    return similarity.retrieve(docs, "the thing and the other", 5).select("id", "url", "score")
+    index = store.retrieval_upserted(None, docs)
+    again = docs.filter("id % 3 = 0").withColumn("text", F.concat(F.lit("bananas are yellow "), "id"))
+    return similarity.retrieve(store.retrieval_upserted(index, again), "yellow fruit", 10, filters={}).select("id", "score")
+
+
+@query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, coalesce(title, '') || ' ' || coalesce(url, '') AS t FROM items WHERE embedding IS NULL OR len(embedding) = 0), {CHAR_SQL},
+x AS (SELECT id, sum(round(CASE WHEN n > 0 THEN v / n ELSE v END, 6) * (b + 1)) AS told FROM b JOIN n USING (id) GROUP BY id)
+SELECT items.id, t.id IS NOT NULL AS updated, round(CASE WHEN t.id IS NOT NULL THEN told ELSE list_sum(list_transform(embedding, lambda e, i: e::DOUBLE * i)) END, 4) AS told FROM items LEFT JOIN t USING (id) LEFT JOIN x USING (id)""")
+def reembed_missing(spark, d):
+    told = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return store.reembedded(embedded_items(spark, d), "missing").select("id", "updated", F.round(told, 4).alias("told"))
 
 
 # --- recommendations and stores
@@ -377,16 +479,82 @@ def diff_update(spark, d):
     return store.changed(t, t.withColumn("cluster_id", F.when(F.col("id") % 10 != 0, (F.col("id") % 10).cast("int"))), "id", "cluster_id")
 
 
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN label WHEN vec_id % 10 = 0 THEN NULL ELSE (vec_id % 10)::INT END AS cluster_id, vec_id % 4 <> 0 AND label IS DISTINCT FROM CASE WHEN vec_id % 10 = 0 THEN NULL ELSE (vec_id % 10)::INT END AS changed FROM embeddings")
+def clusters_committed(spark, d):
+    """Items after new clusters are written to three of four."""
+    t = linked_items(spark, d).select("id", "cluster_id")
+    new = t.filter("id % 4 <> 0").withColumn("cluster_id", F.when(F.col("id") % 10 != 0, (F.col("id") % 10).cast("int")))
+    return store.assigned(t, new, "id", "cluster_id").select("id", "cluster_id", "changed")
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN NULL ELSE label END AS cluster_id, vec_id % 2 = 0 AND label IS NOT NULL AS changed FROM embeddings")
+def clusters_cleared(spark, d):
+    return store.cleared(linked_items(spark, d).select("id", "cluster_id"), "cluster_id", F.col("id") % 2 == 0)
+
+
 @query("SELECT label AS cluster_id, count(label) AS cleared FROM embeddings WHERE label IS NOT NULL GROUP BY label")
 def clear_clusters(spark, d):
-    return linked_items(spark, d).filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("cluster_id").alias("cleared"))
+    before = linked_items(spark, d).select("id", "cluster_id")
+    gone = store.cleared(before, "cluster_id").filter("changed").select("id")
+    return before.join(gone, "id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cleared"))
 
 
-@query("SELECT DISTINCT replace(p_brand, '#', '-') AS key, lower(p_brand) AS name FROM part WHERE contains(lower(p_brand), '1')")
-def brand_list(spark, d):
+@query(f"""WITH {SNAPSHOTS_SQL}, n AS (SELECT * FROM (VALUES (1, 'gsc', 123, 0.0269), (2, 'ga4', NULL, NULL)) v(site_id, source, clicks, ctr))
+SELECT site_id, source, count(*) AS snapshots, max(captured_at) AS latest, max(clicks)::INT AS clicks, max(ctr)::DOUBLE AS ctr FROM (SELECT site_id, source, captured_at, NULL AS clicks, NULL AS ctr FROM snapshots UNION ALL SELECT site_id, source, TIMESTAMP '{AS_OF}', clicks, ctr FROM n) GROUP BY site_id, source""")
+def snapshots_ingested(spark, d):
+    """Snapshots after those of two sources are put in twice, and one that is there already."""
+    have = snapshots(spark, d)
+    new = analytics.stub_snapshot(spark, 1, "gsc", AS_OF).union(analytics.stub_snapshot(spark, 2, "ga4", AS_OF))
+    once = analytics.ingested(have.dropDuplicates(["site_id", "captured_at", "source"]).select("site_id", "captured_at", "source").limit(0).unionByName(have.select("site_id", "captured_at", "source")), new)
+    twice = analytics.ingested(once, new.unionByName(once.limit(1), allowMissingColumns=True))
+    return twice.groupBy("site_id", "source").agg(F.count(F.lit(1)).alias("snapshots"), F.max("captured_at").alias("latest"), F.max("clicks").alias("clicks"), F.max("ctr").alias("ctr"))
+
+
+@query("""WITH u AS (SELECT page_id % 4 AS site_id, url FROM pages UNION ALL SELECT page_id % 4, url FROM pages WHERE page_id % 5 = 0), h AS (SELECT DISTINCT page_id % 4 AS site_id, url FROM pages WHERE page_id % 3 = 0)
+SELECT site_id, count(*) AS total, (count(DISTINCT url) FILTER (NOT (site_id, url) IN (SELECT (site_id, url) FROM h)))::BIGINT AS inserted, count(*) - (count(DISTINCT url) FILTER (NOT (site_id, url) IN (SELECT (site_id, url) FROM h)))::BIGINT AS skipped FROM u GROUP BY site_id""")
+def sitemap_ingested(spark, d):
+    """Urls of a sitemap, some of them twice, into a table that has every third."""
+    p = table(spark, d, "pages").select("page_id", (F.col("page_id") % 4).alias("site_id"), "url")
+    at = F.lit(AS_OF).cast("timestamp")
+    have = p.filter("page_id % 3 = 0").select("site_id", "url", at.alias("created_at"), at.alias("updated_at"))
+    return store.ingested_urls(have, p.union(p.filter("page_id % 5 = 0")).select("site_id", "url"), at)[1]
+
+
+@query()
+def pages_ingested(spark, d):
+    """Pages' titles and contents, as they are read, put into a table that has every second url."""
+    p = table(spark, d, "pages").select(F.lit(1).alias("site_id"), "page_id", "url", html.extract("html").alias("x")).select("site_id", "page_id", "url", "x.*")
+    at = F.lit("2023-01-01").cast("timestamp")
+    none = F.lit(None).cast("string")
+    have = p.filter("page_id % 2 = 0").select("site_id", "url", none.alias("title"), none.alias("meta_description"), none.alias("content"), at.alias("created_at"), at.alias("updated_at")).distinct()
+    done = store.upsert(have, p, ["site_id", "url"], ["title", "meta_description", "content"], F.lit(AS_OF).cast("timestamp"), F.lit(0))
+    return done.select("site_id", "url", "title", F.length("content").alias("content_len"), "created_at", "updated_at")
+
+
+BRANDS_SQL = "b AS (SELECT DISTINCT replace(p_brand, '#', '-') AS key, lower(p_brand) AS name, CASE WHEN contains(p_brand, '2') THEN 'Makers' ELSE 'Parts' END AS category FROM part)"
+
+
+def _brands(spark, d):
     key = F.replace("p_brand", F.lit("#"), F.lit("-"))
-    b = table(spark, d, "part").select(key.alias("key"), F.lower("p_brand").alias("name"), F.lit("").alias("audience"), F.array(F.lit("Parts")).alias("categories")).distinct()
-    return feeds.brand_list(b, "1", "parts").select("key", "name")
+    kind = F.when(F.col("p_brand").contains("2"), "Makers").otherwise("Parts")
+    none = F.lit(None)
+    rows = table(spark, d, "part").select(key.alias("key"), F.lower("p_brand").alias("name"), none.cast("string").alias("site_url"), F.lit("").alias("audience"), F.array(kind).alias("categories"), none.cast("array<string>").alias("default_keywords"))
+    return rows.distinct()
+
+
+@query(f"WITH {BRANDS_SQL} SELECT key, CASE WHEN key LIKE '%3' THEN 'renamed' ELSE name END AS name, CASE WHEN key LIKE '%4' THEN 'all' ELSE '' END AS audience FROM b WHERE key NOT LIKE '%5' UNION ALL SELECT 'new-brand', 'New', NULL")
+def brands_changed(spark, d):
+    """Brands after some are renamed, some get an audience, one is new and some are deleted."""
+    b = written(_brands(spark, d), "brands")
+    b = store.patched(b, b.filter("key like '%3'").select("key", F.lit("renamed").alias("name")), "key")
+    b = store.patched(b, b.filter("key like '%4'").select("key", F.lit("all").alias("audience"), F.lit(None).cast("string").alias("name")), "key", insert=False)
+    b = feeds.with_brand(feeds.with_brand(b, key="new-brand", name="Old"), key="new-brand", name="New")
+    return store.deleted(b, b.filter("key like '%5'"), "key").select("key", "name", "audience")
+
+
+@query(f"WITH {BRANDS_SQL} SELECT key, name FROM b WHERE contains(name, '1') AND category = 'Parts'")
+def brand_list(spark, d):
+    return feeds.brand_list(_brands(spark, d), "1", "parts").select("key", "name")
 
 
 # --- graph over the suggested links
@@ -396,7 +564,7 @@ EDGES_SQL = LINKS_SQL + ", edges AS (SELECT source_id AS src, target_id AS dst F
 
 def _graph(spark, d):
     e = similarity.link_suggestions(linked_items(spark, d), 3, -1.0, "^/c9/").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    return linked_items(spark, d).select("id"), e.persist()
+    return linked_items(spark, d).select("id"), written(e, "edges")
 
 
 @query(EDGES_SQL + " SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS degree_in, (SELECT count(*) FROM edges WHERE src = id) AS degree_out FROM nodes")
@@ -430,24 +598,42 @@ def hits_fixed_steps(spark, d):
     return graph.hits(*_graph(spark, d), steps=3)
 
 
-@query()
+@query(EDGES_SQL + " SELECT 'node' AS kind, to_json({'id': id})::VARCHAR AS json FROM nodes UNION ALL SELECT 'edge', to_json({'src': src, 'dst': dst})::VARCHAR FROM edges UNION ALL SELECT 'meta', to_json({'nodes': (SELECT count(*) FROM nodes), 'edges': (SELECT count(*) FROM edges)})::VARCHAR")
 def graph_export(spark, d):
     return graph.export(*_graph(spark, d))
 
 
-@query()
+@query("SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM (VALUES (-6, -5), (-5, -4), (-5, -2), (-4, -1), (-3, -5), (-2, -1)) v(src, dst)")
 def page_link_edges(spark, d):
+    """Edges of all pages and of the trial graph, whose ids come before them; the pages' own links lead to none of them."""
+    items, more = graph.demo(spark)
     p = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", "html")
-    links = p.select(F.col("url").alias("from_url"), F.explode(html.hrefs("html")).alias("href"))
-    return graph.link_edges(links, p)
+    links = p.select(F.col("url").alias("from_url"), F.explode(html.hrefs("html")).alias("href")).union(more)
+    return graph.link_edges(links, p.select("id", "url").union(items.select(F.col("id") - 7, "url")))
 
 
 # --- authority and pages
 
 
-@query(r"""SELECT doc_id, (len(regexp_extract_all(text, '\[(?:[0-9]{1,3}|fn:[0-9A-Za-z_]+)\]')) + len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\v]+')))::INT AS citations, 0 AS external_links, 0 AS schema_present FROM documents""")
+SIGNED_SQL = r"""t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'By Ann Lee. ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' See [1] and [fn:x], https://a.example/' || doc_id ELSE '' END AS text FROM documents)"""
+
+
+@query(rf"""WITH {SIGNED_SQL} SELECT doc_id, (len(regexp_extract_all(text, '\[(?:[0-9]{{1,3}}|fn:[0-9A-Za-z_]+)\]')) + len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\v]+')))::INT AS citations, 0 AS external_links, 0 AS schema_present FROM t""")
 def authority_text_signals(spark, d):
-    return authority.signals(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "citations", "external_links", "schema_present")
+    """Signals of documents, of which some have a byline, citations and a link."""
+    return authority.signals(_signed(spark, d), "text").select("doc_id", "citations", "external_links", "schema_present")
+
+
+def _signed(spark, d):
+    by = F.when(F.col("doc_id") % 3 == 0, "By Ann Lee. ").otherwise("")
+    see = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" See [1] and [fn:x], https://a.example/"), "doc_id")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat(by, F.coalesce("text", F.lit("")), see).alias("text"))
+
+
+@query()
+def authority_scored_items(spark, d):
+    """Items with the signals of their content in the items' own columns: coverage and bylines as well."""
+    return authority.scored_items(content_items(spark, d), "content", F.lit(AS_OF).cast("timestamp")).drop("content")
 
 
 @query()
@@ -455,10 +641,25 @@ def authority_page_signals(spark, d):
     return authority.signals(table(spark, d, "pages"), "html").drop("html", "url")
 
 
+@query("SELECT url, 0.0::DOUBLE AS entity_coverage, 1::INT AS citations, 0 AS external_links, 0 AS schema_present FROM pages")
+def authority_batch(spark, d):
+    """Signals of a stand-in page per url: its url is a citation."""
+    return authority.score_batch(table(spark, d, "pages")).select("url", F.lit(0.0).alias("entity_coverage"), "citations", "external_links", "schema_present")
+
+
+@query("SELECT page_id, (3 - (page_id % 2))::INT AS links, CASE WHEN page_id % 2 = 0 THEN 'a.example,b.example' ELSE 'b.example' END AS domains FROM pages")
+def external_links(spark, d):
+    """Absolute links of pages and their domains, without those to the page's own host if it is given."""
+    base = F.when(F.col("page_id") % 2 == 1, "https://a.example/x")
+    own = F.lit('<p><a href="https://a.example/1">x</a> <a class=z href="http://b.example">y</a> <a href="/rel">z</a><a href="https://B.example/2">y</a>')
+    found = authority.external_links(own, base)
+    return table(spark, d, "pages").select("page_id", found.alias("x")).select("page_id", F.col("x.count").alias("links"), F.array_join("x.domains", ",").alias("domains"))
+
+
 @query()
 def entities(spark, d):
-    e = table(spark, d, "benchmark").select("item_id", authority.entities(F.col("text")).alias("e"))
-    return e.select("item_id", F.size("e").alias("n"), F.array_join("e", "|").alias("entities"))
+    e = table(spark, d, "documents").select("doc_id", authority.entities(F.col("text")).alias("e"))
+    return e.select("doc_id", F.size("e").alias("n"), F.array_join("e", "|").alias("entities"))
 
 
 @query()
@@ -481,6 +682,40 @@ def article_links(spark, d):
     return table(spark, d, "pages").select("page_id", html.article_links("url", "html").alias("links"))
 
 
+@query("SELECT page_id, md5(html) AS digest FROM pages")
+def pages_decoded(spark, d):
+    """Pages as bytes, every second packed, and as text again."""
+    p = table(spark, d, "pages").withColumn("body", F.encode("html", "utf-8"))
+    packed = F.col("page_id") % 2 == 0
+    url, kind = F.when(packed, "https://a.example/p.gz").otherwise("https://a.example/p"), F.lit("text/html")
+    rows = p.withColumn("body", F.when(packed, feeds.zipped(F.col("body"))).otherwise(F.col("body")))
+    return rows.select("page_id", F.md5(feeds.decoded(url, kind, F.col("body"))).alias("digest"))
+
+
+@query("SELECT page_id FROM pages WHERE strlen(html) <= 6000 AND page_id % 3 > 0")
+def pages_acceptable(spark, d):
+    kind = F.when(F.col("page_id") % 3 > 0, "Text/HTML; charset=utf-8").otherwise("application/pdf")
+    return table(spark, d, "pages").filter(feeds.acceptable(kind, F.octet_length("html"), most=6000)).select("page_id")
+
+
+@query("""WITH r AS (SELECT ts::DATE AS day, user_id % 10 AS page, (event_type = 'click')::INT AS clicks, (event_type = 'view')::INT AS impressions FROM events)
+SELECT day, page, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions FROM r GROUP BY day, page ORDER BY clicks DESC, day, page LIMIT 50 OFFSET 25""")
+def search_rows(spark, d):
+    e, on = table(spark, d, "events"), F.col("event_type")
+    rows = e.select(F.to_date("ts").alias("day"), (F.col("user_id") % 10).alias("page"), (on == "click").cast("int").alias("clicks"), (on == "view").cast("int").alias("impressions"))
+    return feeds.search_rows(rows, ["day", "page"], 50, 25)
+
+
+@query("SELECT true AS accepted, 'Ingest complete: ' || least(n, 40) || ' items processed' AS message, least(n, 40)::BIGINT AS estimated_items FROM (SELECT count(*) AS n FROM pages)")
+def ingest_acknowledged(spark, d):
+    return feeds.ingest_acknowledgement(spark, table(spark, d, "pages").count(), 40)
+
+
+@query("SELECT url FROM pages ORDER BY url LIMIT 20")
+def sitemap_sample(spark, d):
+    return feeds.sitemap_sample(table(spark, d, "pages"), 20)
+
+
 # --- feeds, inventories, chunks
 
 SITEMAPS = [
@@ -508,7 +743,7 @@ def serp_normalised(spark, d):
         ("google", '{"items":[{"title":"One","link":"https://a.example","snippet":"s"},{"title":"Two","link":"https://b.example"}]}'),
         ("bing", '{"webPages":{"value":[{"name":"Three","url":"https://c.example","snippet":"t"}]}}'), ("bing", "{}"),
     ], "engine string, raw string")
-    both = rows.select(F.explode(F.when(F.col("engine") == "google", feeds.serp_items(F.col("raw"), "google")).otherwise(feeds.serp_items(F.col("raw"), "bing"))).alias("x"))
+    both = rows.select(F.explode(F.when(F.col("engine") == "google", feeds.serp_items(F.col("raw"), "google", 99)).otherwise(feeds.serp_items(F.col("raw"), "bing", 0))).alias("x"))
     return both.select("x.source", "x.title", "x.url", "x.snippet")
 
 

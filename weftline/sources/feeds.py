@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import gzip
+import re
 import xml.etree.ElementTree as ET
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.errors import BadRequest, NotFound
+from weftline.operators.store import patched
+from weftline.plans.tables import written
+
 
 def _sitemap_urls(xml: pd.Series) -> pd.DataFrame:
     """Page and child sitemap URLs of a sitemap, with or without a namespace; of malformed XML, none."""
@@ -37,12 +45,12 @@ def page_urls(sitemaps: DataFrame, entry: str, children: int = 50) -> DataFrame:
     return nested.union(own).groupBy("page_url").agg(F.min(F.struct("at", "pos")).alias("first")).select("first.at", "first.pos", "page_url")
 
 
-def walk_sitemaps(sitemaps: DataFrame, entry: str, limit: int | None = None, depth: int = 10) -> DataFrame:
-    """page_url of all sitemaps reachable from the entry, level by level; cycles end, and ``depth`` bounds the levels."""
-    read = sitemaps.select("url", sitemap_urls("xml").alias("s")).select("url", "s.urls", "s.sitemaps").persist()
+def walk_sitemaps(sitemaps: DataFrame, entry: str, limit: int | None = None) -> DataFrame:
+    """page_url of all sitemaps reachable from the entry, level by level until nothing new is found; cycles end."""
+    read = written(sitemaps.select("url", sitemap_urls("xml").alias("s")).select("url", "s.urls", "s.sitemaps"), "sitemaps")
     seen = front = read.sparkSession.createDataFrame([(entry,)], "url string")
-    for _ in range(depth):
-        front = read.join(front, "url", "left_semi").select(F.explode("sitemaps").alias("url")).distinct().join(seen, "url", "left_anti")
+    while True:
+        front = written(read.join(front, "url", "left_semi").select(F.explode("sitemaps").alias("url")).distinct().join(seen, "url", "left_anti"), "front")
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -53,13 +61,13 @@ def walk_sitemaps(sitemaps: DataFrame, entry: str, limit: int | None = None, dep
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
     """domain, place, sitemap from (domain, body): those the robots file names, then the two usual places, without repeats."""
     lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.lower(x).startswith("sitemap:"))
-    named = F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, 9, 1 << 20))), lambda x: x != "")
+    named = F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, 9, 2**31 - 1))), lambda x: x != "")
     usual = F.array(F.concat(F.lit("https://"), "domain", F.lit("/sitemap_index.xml")), F.concat(F.lit("https://"), "domain", F.lit("/sitemap.xml")))
     return robots.select("domain", F.posexplode(F.array_distinct(F.concat(named, usual))).alias("place", "sitemap"))
 
 
-def serp_items(raw: Column, engine: str) -> Column:
-    """A search engine's JSON as an array of (title, url, snippet, source)."""
+def serp_items(raw: Column, engine: str, num: int = 50) -> Column:
+    """A search engine's JSON as an array of (title, url, snippet, source), the first ``num``, which is clamped to 1..50."""
     if engine == "google":
         found = F.from_json(raw, "items array<struct<title:string,link:string,snippet:string>>")["items"]
         url = "link"
@@ -67,14 +75,19 @@ def serp_items(raw: Column, engine: str) -> Column:
         found = F.from_json(raw, "webPages struct<value:array<struct<name:string,url:string,snippet:string>>>")["webPages"]["value"]
         url = "url"
     title = "title" if engine == "google" else "name"
-    return F.transform(F.coalesce(found, F.array()), lambda x: F.struct(x[title].alias("title"), x[url].alias("url"), x["snippet"].alias("snippet"), F.lit(engine).alias("source")))
+    items = F.transform(F.coalesce(found, F.array()), lambda x: F.struct(x[title].alias("title"), x[url].alias("url"), x["snippet"].alias("snippet"), F.lit(engine).alias("source")))
+    return F.slice(items, 1, clamped(num, 1, 50))
+
+
+def clamped(value: int, low: int, high: int) -> int:
+    return max(low, min(value, high))
 
 
 BRANDS = "key string, name string, site_url string, audience string, categories array<string>, default_keywords array<string>"
 
 
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
-    """The brands of a JSON store: {"brands": [...]} or a bare list; nothing if it is missing, empty or corrupt."""
+    """The brands of a JSON store: {"brands": [...]}, a bare list, or lines as ``write_brands`` makes them; nothing if it is missing, empty or corrupt."""
     try:
         text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
         text.isEmpty()
@@ -84,7 +97,48 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], BRANDS)
     item = ", ".join(f.replace(" ", ":", 1) for f in BRANDS.split(", "))
     inner = F.from_json("t", f"brands array<struct<{item}>>")["brands"]
-    return text.select(F.explode(F.coalesce(F.when(F.col("t").startswith("["), F.from_json("t", f"array<struct<{item}>>")), inner)).alias("b")).filter("b is not null").select("b.*")
+    lines = F.transform(F.split("t", "\n"), lambda x: F.from_json(x, f"struct<{item}>"))
+    lines = F.filter(lines, lambda b: b["key"].isNotNull())
+    listed = F.when(F.col("t").startswith("["), F.from_json("t", f"array<struct<{item}>>"))
+    return text.select(F.explode(F.coalesce(listed, inner, lines, F.array())).alias("b")).filter("b is not null").select("b.*")
+
+
+def write_brands(brands: DataFrame, path: str) -> None:
+    """A store of brands, a JSON line each, instead of what ``path`` holds. It is written beside it and then put in its place, so the new brands may be read from the old ones."""
+    spark = brands.sparkSession
+    brands.write.mode("overwrite").json(f"{path}.new")
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot put the new brands at {path}")
+
+
+def valid_key(key: str | None) -> str:
+    """A brand's key, of letters, digits, dot, underscore and dash; another one: BadRequest."""
+    if not key or not re.fullmatch("[A-Za-z0-9._-]+", key):
+        raise BadRequest("a key is of letters, digits, dot, underscore or dash")
+    return key
+
+
+def with_brand(brands: DataFrame, **brand) -> DataFrame:
+    """Brands with one created, or, where its key is there, updated in the values that are given."""
+    valid_key(brand.get("key"))
+    return patched(brands, brands.sparkSession.createDataFrame([brand], ", ".join(f for f in BRANDS.split(", ") if f.split()[0] in brand)), "key")
+
+
+def updated_brand(brands: DataFrame, key: str, **values) -> DataFrame:
+    """Brands with the given values of one that is there; none such: NotFound. None is no value."""
+    if brands.filter(F.col("key") == valid_key(key)).isEmpty():
+        raise NotFound(f"brand {key}")
+    return with_brand(brands, key=key, **{k: v for k, v in values.items() if v is not None})
+
+
+def without_brand(brands: DataFrame, key: str) -> DataFrame:
+    """Brands without one that is there; none such: NotFound."""
+    if brands.filter(F.col("key") == valid_key(key)).isEmpty():
+        raise NotFound(f"brand {key}")
+    return brands.filter(~F.col("key").eqNullSafe(F.lit(key)))
 
 
 def brand_list(brands: DataFrame, q: str | None = None, category: str | None = None) -> DataFrame:
@@ -115,3 +169,69 @@ def chunks(items: DataFrame, words: int = 200) -> DataFrame:
     rows = at.select("id", F.posexplode(parts).alias("chunk_order", "p"))
     text = F.array_join("p", " ")
     return rows.select("id", "chunk_order", F.size("p").alias("token_count"), F.sha2(text, 256).alias("checksum"), text.alias("text"))
+
+
+#: Fixed value: a page of more bytes is not read.
+MAX_BYTES = 2_500_000
+
+
+def acceptable(content_type: Column, length: Column, status: Column | None = None, most: int = MAX_BYTES) -> Column:
+    """Whether a fetched page is to be read: HTML, not too long, no error."""
+    ok = F.lower(F.coalesce(content_type, F.lit(""))).contains("html") & (F.coalesce(length, F.lit(0)) <= most)
+    return ok if status is None else ok & (F.coalesce(status, F.lit(200)) < 400)
+
+
+def _decoded(url: pd.Series, content_type: pd.Series, body: pd.Series) -> pd.Series:
+    """Fetched bytes as text: those of .gz URLs and of gzip types are unpacked, if they can be; then UTF-8, with marks for what is none."""
+    def one(u, kind, raw):
+        if raw is None:
+            return None
+        if (u or "").lower().endswith(".gz") or "gzip" in (kind or ""):
+            try:
+                raw = gzip.decompress(raw)
+            except (OSError, EOFError, zlib.error):
+                pass
+        return bytes(raw).decode("utf-8", "replace")
+
+    return pd.Series([one(*x) for x in zip(url, content_type, body, strict=True)], dtype=object)
+
+
+def decoded(url: Column, content_type: Column, body: Column) -> Column:
+    return F.pandas_udf(_decoded, "string")(url, content_type, body)
+
+
+def _zipped(body: pd.Series) -> pd.Series:
+    return body.map(lambda b: None if b is None else gzip.compress(b, 1, mtime=0))
+
+
+def zipped(body: Column) -> Column:
+    return F.pandas_udf(_zipped, "binary")(body)
+
+
+def search_rows(rows: DataFrame, dimensions: list[str], row_limit: int = 25_000, start_row: int = 0) -> DataFrame:
+    """Clicks and impressions by dimensions, most clicks first, from ``start_row`` on, ``row_limit`` at most."""
+    sums = rows.groupBy(*dimensions).agg(F.sum("clicks").cast("long").alias("clicks"), F.sum("impressions").cast("long").alias("impressions"))
+    return sums.orderBy(F.col("clicks").desc(), *dimensions).offset(start_row).limit(row_limit)
+
+
+def ingest_acknowledgement(spark: SparkSession, found: int, limit: int | None = None) -> DataFrame:
+    """The answer to an ingest request: accepted, message, estimated_items, capped by a limit that is given."""
+    n = min(found, limit) if limit else found
+    return spark.range(1).select(F.lit(True).alias("accepted"), F.lit(f"Ingest complete: {n} items processed").alias("message"), F.lit(n).cast("long").alias("estimated_items"))
+
+
+def sitemap_sample(urls: DataFrame, limit: int = 20) -> DataFrame:
+    """The first urls of a sitemap in order, ``limit`` at most and never fewer than none."""
+    return urls.select("url").orderBy("url").limit(max(0, limit))
+
+
+def export_csv(rows: DataFrame, folder: str, domain: str, at: dt.datetime) -> str:
+    """Writes rows as CSV with a header to export_{domain}_{stamp} in a folder, and says where."""
+    path = f"{folder}/export_{domain.replace('/', '-')}_{at:%Y%m%d_%H%M%S}.csv"
+    rows.write.option("header", True).csv(path)
+    return path
+
+
+def export_jsonl(rows: DataFrame, path: str) -> None:
+    """Writes rows as JSON lines; null columns stay in, so that each line has all fields."""
+    rows.write.option("ignoreNullFields", False).json(path)
