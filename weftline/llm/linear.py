@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import NOT_SPACE, WORD_BYTES, mix, slices, text_buffers, word_hashes
+from .shared import NOT_SPACE, WORD_BYTES, mix, short_batches, slices, text_buffers, word_hashes
 
 _A, _B, _C, _S = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB))
 
@@ -77,10 +78,11 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def trained(rows: DataFrame, features, bits: int = 20, epochs: int = 3, alpha: float = 0.6, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def trained(rows: DataFrame, features, bits: int = 20, epochs: int = 3, alpha: float = 0.6, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, label=None) -> tuple[np.ndarray, np.ndarray]:
     """The weights that are not zero, as feature numbers (the bias is 1 << bits) and values, from rows (text, label) in their order.
 
-    ``rows`` must be bounded: one task learns them one after another. What comes to the driver is at most 2**bits + 1 weights.
+    With ``label``, labels are what this function says of texts' bytes and bounds, and rows have a text only. ``rows`` must be
+    bounded: one task learns them one after another. What comes to the driver is at most 2**bits + 1 weights.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,8 @@ def trained(rows: DataFrame, features, bits: int = 20, epochs: int = 3, alpha: f
             both = np.unique(o << bits | f)
             cut = np.searchsorted(both >> bits, np.arange(part.num_rows + 1))
             low = (both & ((1 << bits) - 1)).astype(np.int32)
-            seen += [(low[a:b], y) for a, b, y in zip(cut[:-1], cut[1:], part.column(1).to_pylist(), strict=True)]
+            given = label(data, off).tolist() if label else part.column(1).to_pylist()
+            seen += [(low[a:b], y) for a, b, y in zip(cut[:-1], cut[1:], given, strict=True)]
         for _ in range(epochs):
             for f, y in seen:
                 model.learn(f, y)
@@ -99,27 +102,34 @@ def trained(rows: DataFrame, features, bits: int = 20, epochs: int = 3, alpha: f
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["at", "w"])
 
-    got = rows.select("text", F.col("label").cast("double")).mapInArrow(run, "at long, w double").toArrow()
+    short_batches(rows.sparkSession)
+    got = rows.select("text", *([] if label else [F.col("label").cast("double")])).mapInArrow(run, "at long, w double").toArrow()
     at, w = got.column("at").to_numpy(), got.column("w").to_numpy()
     order = np.argsort(at)
     return at[order], w[order]
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], features, bits: int = 20, keep: str = "doc_id long") -> DataFrame:
-    """The columns named in ``keep`` (all before ``text``, which comes last) and ``score``, the probability of label 1 by the whole text."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], features, bits: int = 20, text: str = "text", keep_text: bool = False, also=None, kinds: str = "") -> DataFrame:
+    """The columns of ``docs``, ``text`` only with ``keep_text``, and ``score``, the probability of label 1 by the whole text.
+
+    ``also`` makes more columns, which ``kinds`` declares, of texts' bytes and bounds. A text goes to a worker once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32)))
+    rest = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros((1 << bits) + 1, np.float32)
         w[shared.value[0]] = shared.value[1]
         bias = float(w[-1])
-        for part in slices(batches, "text"):
-            data, off = text_buffers(part.column("text"))
+        for part in slices(batches, text):
+            data, off = text_buffers(part.column(text))
             f, o = features(data, off, bits)
             on = np.flatnonzero(w[f])
             both = np.unique(o[on] << bits | f[on])
             s = np.bincount(both >> bits, w[both & ((1 << bits) - 1)], part.num_rows) + bias
-            rest = [c for c in range(part.num_columns) if part.schema.names[c] != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=[*(part.schema.names[c] for c in rest), "score"])
+            more = also(data, off) if also else {}
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30)))), *more.values()], names=[*rest, "score", *more])
 
-    return docs.mapInArrow(run, f"{keep}, score double")
+    short_batches(docs.sparkSession)
+    fields = [StructField(f.name, f.dataType) for f in docs.schema.fields if f.name in rest] + [StructField("score", DoubleType())]
+    return docs.mapInArrow(run, StructType(fields + (StructType.fromDDL(kinds).fields if kinds else [])))

@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import M64, NOT_SPACE, dropped, mix, null_safe_text, short_batches, slices, text_buffers, word_hashes, written
+from weftline.plans.tables import dropped, written
+
+from .shared import M64, NOT_SPACE, mix, null_safe_text, release, short_batches, slices, text_buffers, word_hashes
 
 #: Longs of a bitmap; pivots of a bucket.
 LONGS, PIVOTS = 16, 3
@@ -188,6 +190,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int, margin: float)
                 na, nb = (t.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in (4, 5))
                 j = joint_estimate(ra, rb, na, nb)
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(j)], names=["a", "b", "j"]).filter(pa.array(j >= least))
+        release()
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("regs").alias(f"reg{c}"), F.col("n").alias(f"n{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "rega", "regb", "na", "nb").mapInArrow(run, "a long, b long, j double")

@@ -1,10 +1,8 @@
-"""Helpers that the operators of this subpackage share: tables that cut lineage, and vectorised word hashing."""
+"""Helpers that the operators of this subpackage share: batches of texts, and vectorised word hashing."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,33 +20,6 @@ PASS_BYTES = 1 << 19
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where a session of one machine names none, as in tests, a new temporary folder; elsewhere an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and no executor's loss takes it away."""
-    path = f"{shared_dir(df.sparkSession)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made, once nothing reads them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def short_batches(spark: SparkSession) -> None:
     """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for the session, unless it has set a number of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -148,8 +119,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+def release() -> None:
+    """Gives back what a worker holds and does not use: it stays for other tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int | str, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices of about ``most`` bytes of text, so that a batch's size does not decide the memory that a pass takes."""
+    """Each batch in slices of about ``most`` bytes of text, so that a batch's size does not decide the memory that a pass takes; after the last, memory is released."""
     for batch in batches:
         _, off = text_buffers(batch.column(text))
         lo = 0
@@ -157,3 +135,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | str, most: int = PASS_
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import null_safe_text, slices
+from .shared import null_safe_text, short_batches, slices
 
 _automata: dict = {}
 
@@ -117,6 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "
             get = known.__getitem__
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(map(len, words), pa.int64()), pa.array((sum(map(get, w)) for w in words), pa.int64())], names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
     return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
 

@@ -39,12 +39,12 @@ def toxicity(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
 
 
 def toxic_flags(docs: DataFrame, model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """``docs`` with score and predicted, by ``text``; all columns are kept, and of clashing names the new ones stay."""
-    own = docs.drop("score", "predicted")
-    keep = ", ".join(f"`{f.name if f.name != text else '__own'}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    rows = own.select(*[F.col(f"`{c}`").alias(c if c != text else "__own") for c in own.columns], null_safe_text(text).alias("text"))
-    back = scored(rows, model, gram_features, keep=keep).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
-    return back.withColumnRenamed("__own", text)
+    """``docs`` with score and predicted, by its string column ``text``; all columns are kept, and of clashing names the new ones stay.
+
+    Nulls: a null text is scored as an empty one and stays null. Repeated rows come back as often. An empty table gives no rows.
+    """
+    back = scored(docs.drop("score", "predicted"), model, gram_features, text=text, keep_text=True)
+    return back.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
