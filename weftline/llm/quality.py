@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import scored, shape_features, trained
-from .shared import NOT_SPACE, null_safe_text, slices, text_buffers, word_hashes
+from .shared import NOT_SPACE, null_safe_text, short_batches, slices, text_buffers, word_hashes
 
 #: The most documents on which the scorer is fitted: those of the smallest hash of text and doc_id.
 TRAIN_ROWS = 12_000
@@ -69,19 +69,24 @@ def shares(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     ))
 
 
-def votes(docs: DataFrame, keep: str = "doc_id long") -> DataFrame:
-    """The columns of ``docs`` that ``keep`` declares, all but ``text``, and ``votes``, a character per labeller."""
+def votes_of(data: np.ndarray, off: np.ndarray) -> list[str]:
+    """The labellers' votes on each text, a character per labeller."""
+    bad, good = np.array(list(LABELLERS.values())).T
+    x = shares(data, off)
+    v = np.where(x[:, :-1] > bad, ord("0"), np.where(x[:, :-1] < good, ord("1"), ord("-"))).astype(np.uint8)
+    v[x[:, -1] < LEAST_WORDS] = ord("-")
+    return [bytes(r).decode() for r in v]
+
+
+def votes(texts: DataFrame) -> DataFrame:
+    """``votes`` of each text of a table of one column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good = np.array(list(LABELLERS.values())).T
-        for part in slices(batches, "text"):
-            x = shares(*text_buffers(part.column("text")))
-            v = np.where(x[:, :-1] > bad, ord("0"), np.where(x[:, :-1] < good, ord("1"), ord("-"))).astype(np.uint8)
-            v[x[:, -1] < LEAST_WORDS] = ord("-")
-            rest = [c for c in range(part.num_columns) if part.schema.names[c] != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([bytes(r).decode() for r in v], pa.string())], names=[*(part.schema.names[c] for c in rest), "votes"])
+        for part in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(votes_of(*text_buffers(part.column(0))), pa.string())], names=["votes"])
 
-    return docs.mapInArrow(run, f"{keep}, votes string")
+    short_batches(texts.sparkSession)
+    return texts.mapInArrow(run, "votes string")
 
 
 def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: int = 100) -> np.ndarray:
@@ -116,18 +121,21 @@ def quality(docs: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5, doc
     gives no rows. Other columns are ignored.
     """
     rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
-    seen = votes(rows_in).groupBy("votes").count().orderBy("votes").toArrow()
+    seen = votes(rows_in.select("text")).groupBy("votes").count().orderBy("votes").toArrow()
     patterns, counts = seen.column("votes").to_pylist(), seen.column("count").to_numpy().astype(float)
     weak = dict(zip(patterns, expectation_maximisation(patterns, counts).tolist(), strict=True)) if patterns else {}
+    posterior = lambda found: np.array([weak.get(v, 0.5) for v in found])
     # a share of the hash's range that holds about that many rows, so that no more than these meet in the task that learns
     share = int(min(1.0, 1.1 * rows / max(counts.sum(), 1)) * (1 << 32))
     few = rows_in.withColumn("h", F.xxhash64("text", "doc_id")).filter(F.shiftrightunsigned("h", 32) < share).orderBy(F.shiftrightunsigned("h", 32), "h", "doc_id").limit(rows)
-    learn = votes(few.select("h", "doc_id", F.col("text").alias("own"), "text"), "h long, doc_id long, own string")
-    label = F.element_at(F.create_map(*[F.lit(x) for kv in weak.items() for x in kv]), F.col("votes")) if weak else F.lit(0.5)
-    model = trained(learn.orderBy("h", "doc_id").select(F.col("own").alias("text"), label.alias("label")), shape_features, BITS, epochs=2, l1=1.0)
-    score = scored(rows_in.select("doc_id", F.col("text").alias("own"), "text"), model, shape_features, BITS, "doc_id long, own string")
-    score = votes(score.select("doc_id", "score", F.col("own").alias("text")), "doc_id long, score double")
-    return score.select("doc_id", "votes", label.alias("weak"), "score", (F.col("score") >= threshold).alias("keep"))
+    model = trained(few.select("text"), shape_features, BITS, epochs=2, l1=1.0, label=lambda data, off: posterior(votes_of(data, off)))
+
+    def told(data: np.ndarray, off: np.ndarray) -> dict:
+        found = votes_of(data, off)
+        return {"votes": pa.array(found, pa.string()), "weak": pa.array(posterior(found))}
+
+    score = scored(rows_in, model, shape_features, BITS, also=told, kinds="votes string, weak double")
+    return score.select("doc_id", "votes", "weak", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
