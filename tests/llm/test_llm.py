@@ -66,7 +66,13 @@ def test_packing_encodes_as_the_tokenizer_does():
     rnd = random.Random(1)
     parts = ["a", "b,", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "é", "<|endoftext|>", "\0", "1", "日本", "!", "...", ",", "\r\n", "\x85", "x."]
     texts = ["".join(rnd.choices(parts, k=rnd.randrange(14))) for _ in range(4000)]
-    assert packing.encoder(None)(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts += [f"x{chr(c)}y {chr(c)} 1{chr(c)}\n{chr(c)}z{chr(c)}{chr(c)} '{chr(c)}" for c in [*range(1, 0x3000), *range(0x3000, 0x30000, 37)] if not 0xD800 <= c < 0xE000]
+    texts += ["x" * 300_000, " " * 50_000, "1" * 50_000, "".join(rnd.choices("abcé日", k=30_000))]
+    assert list(map(packing.encoder(None), texts)) == [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    whole = "".join(rnd.choices([" ", "  ", "a", "bc", "\n", "é", ","], k=3000))
+    cut = list(packing.stretches(whole, 100))
+    assert "".join(cut) == whole and len(cut) > 10
+    assert b"".join(map(packing.encoder(None), cut)) == packing.encoder(None)(whole)
 
 
 def test_karmarkar_karp():
@@ -127,6 +133,31 @@ def test_decontamination(spark, odd):
     assert decontamination.decontaminate(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_judges_repeated_rows_and_long_texts(spark):
+    item = words(22, 61)
+    texts = [(1, f"{words(9, 62)} {item}"), (1, f"{words(9, 62)} {item}"), (1, words(30, 63)), (None, item), (2, f"{words(30_000, 64)} {item} {words(30_000, 65)}"), (3, " ".join([item] * 200))]
+    bench = spark.createDataFrame([(7, item), (7, item), (8, words(18, 66))], "item_id long, text string")
+    got = decontamination.decontaminate(docs_of(spark, texts), bench)
+    assert sorted(((r["doc_id"] or 0, r["item_id"], r["pos"], r["similarity"]) for r in got.collect())) == sorted([(d, 7, p, 1.0) for d, p in ((0, 0), (1, 9), (1, 9), (2, 30_000), (3, 0))] * 2)
+
+
+def test_fingerprints_within_the_radius_all_meet(spark):
+    """And of random pairs few do."""
+    rnd = random.Random(11)
+    items = [rnd.getrandbits(64) for _ in range(300)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    near = [x ^ sum(1 << b for b in rnd.sample(range(64), decontamination.RADIUS)) for x in items]
+    profile = spark.createDataFrame([(i, 20, signed(x)) for i, x in enumerate(items)], "item long, size int, fp long")
+    window = spark.createDataFrame([(20, signed(x)) for x in near] + [(21, signed(items[0]))], "size int, fp long")
+    got = {(r["fp"], r["item"]) for r in decontamination.candidates(window, profile, 300, decontamination.RADIUS).collect()}
+    want = {(signed(y), i) for y in near for i, x in enumerate(items) if (x ^ y).bit_count() <= decontamination.RADIUS}
+    assert got == want and len(want) >= 300
+    masks = [set(decontamination._neighbours(w, decontamination.RADIUS // len(decontamination.BLOCKS))) for w in decontamination.BLOCKS]
+    at = [sum(decontamination.BLOCKS[:b]) for b in range(len(masks))]
+    meet = [any(((x ^ y) >> lo) & ((1 << w) - 1) in m for lo, w, m in zip(at, decontamination.BLOCKS, masks, strict=True)) for x, y in zip(items, items[1:], strict=False)]
+    assert sum(meet) < 0.35 * len(meet)
+
+
 def test_decontamination_splits_at_signs_of_any_script(spark):
     signs = ["\uff0c", "\uff1a", "\uff01", "\u060c", "\u0964", "\u20ac", "\u2192", "\u2713", "\u2502", "\U0001f600", "\u00d7", "\u00f7", "_", "\u2014"]
     items = {0: words(20, 70), 1: " ".join(f"сло{i}во" for i in range(20)), 2: " ".join(f"語{i}" for i in range(20))}
@@ -277,21 +308,48 @@ def test_token_counts(spark, odd):
     assert tokencounts.token_counts(odd.limit(0)).count() == 0
 
 
-def test_warc(spark):
-    rows = [(i // 3, f"https://a.example/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(700)] + [(None, None, None), (1, "u", "same"), (1, "u", "same")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, volume string")
-    index = warc.volumes(pages).persist()
-    got = sorted(index.collect(), key=lambda r: (r["volume"], r["leaf"]))
-    assert [(r["volume"], r["leaf"]) for r in got] == [(i // 256, i % 256) for i in range(len(rows))]
+def warc_pages(spark):
+    rows = [(i // 3, f"https://a.example/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(900)] + [(None, None, None), (1, "u", "same"), (1, "u", "same"), (2, "long", "x" * 300_000), (3, "", "")]
+    return rows, spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, volume string")
+
+
+def test_warc_index(spark):
+    rows, pages = warc_pages(spark)
+    got = sorted(warc.volumes(pages).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r["volume"], r["leaf"]) for r in got] == [(i, i // 256, i % 256) for i in range(len(rows) - 1)]
+    assert [r["page_id"] for r in got] == sorted((r[0] for r in dict.fromkeys(rows)), key=lambda x: -1 if x is None else x) and sum(r["copies"] for r in got) == len(rows)
     for a, b in zip(got[:-1], got[1:], strict=True):
-        assert b["start"] == (a["start"] + a["length"] if a["volume"] == b["volume"] else 0)
-    hit = (F.col("leaf") == 17) & (F.col("volume") == 1)
-    other = index.withColumn("sha256", F.when(hit, F.lit("0")).otherwise(F.col("sha256"))).filter(~((F.col("leaf") == 200) & (F.col("volume") == 0)))
-    assert {tuple(r) for r in warc.audit(index, other).collect()} == {(1, 17, "corrupt"), (0, 200, "missing")}
-    assert warc.audit(index, index).count() == 0 and warc.fixity(index, index).filter("status = 'ok'").count() == len(rows)
+        assert b["start"] == (a["start"] + a["length"] * a["copies"] if a["volume"] == b["volume"] else 0)
     assert warc.volumes(pages.limit(0)).count() == 0
 
 
+def test_warc_audit_finds_each_difference_once(spark):
+    rows, pages = warc_pages(spark)
+    index = warc.volumes(pages).persist()
+    same = warc.records(pages)
+    assert warc.audit(index, same).count() == 0 and warc.fixity(index, same).filter("status = 'ok'").count() == len(rows) - 1
+    replica = [r for r in rows if r[1] != "https://a.example/601"]  # one missing
+    replica.remove((1, "u", "same"))  # one copy of two
+    replica = [(*r[:2], r[2] + "!") if r[1] == "https://a.example/42" else r for r in replica]  # one corrupt
+    replica += [(d, "new", str(n)) for d, n in ((9999, 1), (-7, 2), (9999, 3))] + [(None, "null", "extra")]  # extra ones at the ends and among nulls
+    other = warc.records(spark.createDataFrame(replica, "page_id long, url string, html string"))
+    by = {r["sha256"]: r for r in index.collect()}
+    found = [(r["page_id"], r["status"], r["copies"], r["sha256"] in by) for r in warc.audit(index, other).collect()]
+    want = [(200, "missing", 1, True), (1, "missing", 1, True), (14, "corrupt", 1, True), (9999, "extra", 1, False), (9999, "extra", 1, False), (-7, "extra", 1, False), (None, "extra", 1, False)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    told = warc.fixity(index, other).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in told} == {"ok": len(rows) - 4, "missing": 2, "corrupt": 1, "extra": 4}
+    assert warc.audit(index, same.limit(0)).count() == len(rows) - 1
+    assert {r["status"] for r in warc.audit(warc.volumes(pages.limit(0)), same).collect()} == {"extra"}
+
+
+def test_warc_places_records_over_many_partitions(spark):
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    index = warc.volumes(pages).persist()
+    got = warc.placed(warc.records(pages).repartition(7), index).join(index.select("sha256", "rank"), "sha256")
+    assert got.count() == 5000 and got.filter("slot <> floor(rank / 16)").count() == 0
+
+
 def test_quality(spark, odd):
     rnd = random.Random(9)
     texts = {}
@@ -324,6 +382,15 @@ def test_chat_reads_back(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_long_texts_and_many_turns(spark):
+    long = "</s><|turn|>[INST] é " * 15_000
+    rows = [(1, i, "user" if i % 3 else "assistant", f"t{i} <|end|>") for i in range(3000)] + [(2, 0, "assistant", long), (2, 1, "assistant", long), (3, 0, None, None)]
+    out = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("turns", chat.read_chats(F.col("formatted"))).collect()}
+    for c in (1, 2, 3):
+        own = [(ro or "", t or "") for d, _, ro, t in rows if d == c]
+        assert [(t["role"], t["text"]) for t in out[c]["turns"]] == own and len(out[c]["loss"]) == sum(ro == "assistant" for ro, _ in own)
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rnd.choice([-0.5, 0.25, 0.0, 0.1], 6 + i % 2)]) for i in range(120)]
@@ -340,6 +407,20 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), ask).count() == 0 and topk.top_k(df, ask.limit(0)).count() == 0
 
 
+def test_top_k_asks_each_row(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i // 3 * 10 if i < 30 else i, [float(x) for x in rnd.choice([-0.5, 0.25, 0.1], 5)]) for i in range(80)]
+    df = spark.createDataFrame(rows + rows[:4] + [(None, [1.0]), (20, None)], "vec_id long, embedding array<float>")
+    good = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows + rows[:4]]
+    want = []
+    for at, (q, a) in enumerate(good):
+        if q % 20 == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(good) if n != at)[:5]
+            want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    for block in (3, 1000):
+        assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, block=block).collect()) == sorted(want)
+
+
 def test_ftrl_leaves_noise_at_zero():
     model = linear.Ftrl(10, 0.6, 1.0, 3.0, 1.0)
     rnd = random.Random(1)
