@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import null_safe_text, written
+from weftline.plans.tables import written
+
+from .shared import null_safe_text
 
 #: Bits of a fingerprint's blocks, and how far two fingerprints are compared: of six blocks, one differs by 2 bits at most
 #: if all differ by 17. An index over more rows than this is joined by shuffle, not broadcast.
@@ -147,14 +149,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent
     Nulls and empty texts hold nothing, and an item without words is held by nothing. A text of fewer than ``words`` words
     is one shingle, so an item of fewer words is held by texts that consist of it. Repeated documents each come back;
     repeated item texts come back under each item_id. Ties between windows go to the first. Empty tables give no rows. A
-    column named in ``row``, a long that tells the rows of ``docs`` apart, comes along; others are ignored.
+    column named in ``row``, which tells the rows of ``docs`` apart, comes along as a string; others are ignored.
     """
     profile, vocabulary, n, rare = _profiles(benchmark.select(F.col(item_id).cast("long").alias("item_id"), null_safe_text(item_text).alias("text")), words)
     # as many rows as there are lengths of items
     least = [(r["size"], r["least"]) for r in profile.groupBy("size").agg(F.min("weight").alias("least")).orderBy("size").collect()]
     if not least:
         return docs.limit(0).select(*([row] if row else []), F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("pos"), F.lit(0.0).alias("similarity"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"), (F.col(row).cast("long") if row else F.monotonically_increasing_id()).alias("row"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).cast("string").alias("row"))
     near = F.broadcast if vocabulary.count() <= BROADCAST_ROWS else (lambda df: df)
     hits = written(_shingles(rows, ["doc_id", "row"], words).join(near(vocabulary), "sh").select("doc_id", "row", "n", "pos", "sh", "wt", "sizes"), "hits")
     window = written(_windows(hits, least, words, percent, rare).withColumn("fp", fingerprint(F.col("set"))), "windows")
