@@ -615,13 +615,25 @@ def page_link_edges(spark, d):
 # --- authority and pages
 
 
+def _entities_sql(rows: str) -> str:
+    """The entities of a table's texts. Java's word boundaries count letters beyond ASCII, DuckDB's do not, so the Latin ones become _ here, which both count."""
+    return rf"""m AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏ]', '_', 'g'), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,3}})\b', 1) AS l FROM {rows}),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS pos FROM m),
+f AS (SELECT doc_id, lower(x) AS k, min(pos) AS pos, arg_min(x, pos) AS x FROM e WHERE NOT list_contains({list(authority.ENTITY_STOPS)}, regexp_extract(x, '^[A-Za-z]+')) GROUP BY doc_id, lower(x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f)"""
+
+
 SIGNED_SQL = r"""t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'By Ann Lee. ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' See [1] and [fn:x], https://a.example/' || doc_id ELSE '' END AS text FROM documents)"""
 
 
-@query(rf"""WITH {SIGNED_SQL} SELECT doc_id, (len(regexp_extract_all(text, '\[(?:[0-9]{{1,3}}|fn:[0-9A-Za-z_]+)\]')) + len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\v]+')))::INT AS citations, 0 AS external_links, 0 AS schema_present FROM t""")
+@query(rf"""WITH {SIGNED_SQL}, {_entities_sql('t')}, c AS (SELECT doc_id, count(*) AS n FROM r WHERE n <= 200 GROUP BY doc_id),
+w AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS z, regexp_extract_all(text, '\bBy\s+([A-Z][0-9A-Za-z_.-]+(?:\s+[A-Z][0-9A-Za-z_.-]+)*)', 1) AS b FROM t)
+SELECT doc_id, round(least(coalesce(n, 0) / greatest(greatest(CASE WHEN z = '' THEN 0 ELSE length(z) - length(replace(z, ' ', '')) + 1 END, 1) / 300.0::DOUBLE, 1e-6::DOUBLE) / 12, 1.0::DOUBLE), 3) AS entity_coverage,
+  (len(regexp_extract_all(text, '\[(?:[0-9]{{1,3}}|fn:[0-9A-Za-z_]+)\]')) + len(regexp_extract_all(text, 'https?://[^ \t\n\r\f\v]+')))::INT AS citations, 0 AS external_links, 0 AS schema_present,
+  len(list_distinct(list_transform(b, lambda x: lower(trim(x)))))::INT AS bylines FROM w LEFT JOIN c USING (doc_id)""")
 def authority_text_signals(spark, d):
     """Signals of documents, of which some have a byline, citations and a link."""
-    return authority.signals(_signed(spark, d), "text").select("doc_id", "citations", "external_links", "schema_present")
+    return authority.signals(_signed(spark, d), "text").drop("text")
 
 
 def _signed(spark, d):
@@ -656,7 +668,7 @@ def external_links(spark, d):
     return table(spark, d, "pages").select("page_id", found.alias("x")).select("page_id", F.col("x.count").alias("links"), F.array_join("x.domains", ",").alias("domains"))
 
 
-@query()
+@query(f"WITH {_entities_sql('documents')} SELECT d.doc_id, count(r.x)::INT AS n, coalesce(string_agg(r.x, '|' ORDER BY r.pos), '') AS entities FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND r.n <= 200 GROUP BY d.doc_id")
 def entities(spark, d):
     e = table(spark, d, "documents").select("doc_id", authority.entities(F.col("text")).alias("e"))
     return e.select("doc_id", F.size("e").alias("n"), F.array_join("e", "|").alias("entities"))
@@ -774,7 +786,15 @@ def serp_cache_keys(spark, d):
     return table(spark, d, "benchmark").select("item_id", prompts.fingerprint(F.lit("bing"), F.col("text"), F.lit("en-US")).alias("cache_key"))
 
 
-@query()
+def _prompt_sql(template: str) -> str:
+    values = {"topic": "coalesce(p_name, '')", "audience": "coalesce(p_type, '')", "points": "coalesce('- ' || trim(p_brand), '')", "keywords": "concat_ws(', ', p_brand, p_type)"}
+    out = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{_prompt_sql(t)} AS {k}" for k, t in prompts.TEMPLATES.items()) + " FROM part")
 def prompts_rendered(spark, d):
     b = table(spark, d, "part").select("p_partkey", *[prompts.render(k, F.col("p_name"), F.col("p_type"), F.array("p_brand", F.lit("")), F.array("p_brand", "p_type")).alias(k) for k in prompts.TEMPLATES])
     return b
