@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.functions.vectors import let
 
 #: First words that begin no entity.
 ENTITY_STOPS = ("The", "A", "An", "And", "Or", "In", "On", "Of", "For", "With", "By")
@@ -22,16 +23,16 @@ def is_html(raw: Column) -> Column:
     return raw.contains("</") | low.contains("<html") | low.contains("<body")
 
 
-def first_by_case(found: Column) -> Column:
-    """The entries whose lower case no entry before has. By position of the first one, so in linear time."""
-    lower = F.transform(found, F.lower)
-    return F.transform(F.array_distinct(lower), lambda k: F.element_at(found, F.array_position(lower, k).cast("int")))
+def first_by_case(found: Column, most: int = 2**31 - 1) -> Column:
+    """The entries whose lower case no entry before has, ``most`` at most."""
+    pick = lambda found, lower: F.transform(F.slice(F.array_distinct(lower), 1, most), lambda k: F.element_at(found, F.array_position(lower, k).cast("int")))
+    return let(found, lambda found: let(F.transform(found, F.lower), lambda lower: pick(found, lower)))
 
 
 def entities(text: Column, most: int = 200) -> Column:
     """Runs of one to four capitalised words that do not begin with a stop, without repeats, ``most`` at most."""
     runs = F.filter(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), lambda e: ~F.regexp_extract(e, "^[A-Za-z]+", 0).isin(*ENTITY_STOPS))
-    return F.slice(first_by_case(runs), 1, most)
+    return first_by_case(runs, most)
 
 
 def bylines(text: Column, html: Column) -> Column:

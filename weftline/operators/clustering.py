@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.functions import text, vectors
+from weftline.plans.tables import written
 
 
 def status(items: DataFrame) -> DataFrame:
@@ -50,14 +51,41 @@ def centroids(items: DataFrame, cluster: str = "cluster_id", dim: int | None = N
     return mean.select(cluster, "size", vectors.unit(F.col("mean")).alias("centroid"))
 
 
-def nearest(items: DataFrame, centres: list[tuple[int, list[float]]], far: str | None = None) -> DataFrame:
-    """Items with ``near``, the centre of least squared distance to their unit vector, and this distance in ``far``; ties to the smallest number. A few centres are literals of the plan."""
+def nearest(items: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
+    """Items with ``near``, the centre of least squared distance to their unit vector; ties to the smallest number. A few centres are literals of the plan."""
     d = lambda c: F.aggregate(F.zip_with("u", F.lit(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
     best = F.least(*[F.struct(d(c).alias("d"), F.lit(i).alias("c")) for i, c in centres]) if len(centres) > 1 else F.struct(F.lit(0.0).alias("d"), F.lit(centres[0][0]).alias("c"))
-    if far and len(centres) == 1:
-        best = F.struct(d(centres[0][1]).alias("d"), F.lit(centres[0][0]).alias("c"))
-    out = items.withColumn("u", vectors.unit(F.col("embedding"))).withColumn("__best", best).withColumn("near", F.col("__best.c"))
-    return (out.withColumn(far, F.col("__best.d")) if far else out).drop("u", "__best")
+    return items.withColumn("u", vectors.unit(F.col("embedding"))).withColumn("near", best["c"]).drop("u")
+
+
+def _assigned(u: DataFrame, centres: list[list[float]], sums: bool = False) -> DataFrame:
+    """id and cluster of vectors by the centre of least squared distance, ties to the smallest number, by whole matrices of
+    Arrow batches; with ``sums``, per batch and cluster n, mark (a sum that tells assignments apart), far (of distances) and the sum of the vectors."""
+    import numpy as np
+    import pyarrow as pa
+
+    shared = u.sparkSession.sparkContext.broadcast(np.array(centres))
+
+    def run(batches):
+        c = shared.value
+        for batch in batches:
+            ids, x = batch.column(0), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            far = np.empty((len(x), len(c)))
+            for i, centre in enumerate(c):
+                far[:, i] = ((x - centre) ** 2).sum(axis=1)
+            near = far.argmin(axis=1)
+            if not sums:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(near, pa.int32())], names=["id", "cluster"])
+                continue
+            h = (ids.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (near.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            mark = (h * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64)
+            own = [near == i for i in range(len(c))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(range(len(c)), pa.int32()), pa.array([int(o.sum()) for o in own]), pa.array([int(mark[o].sum()) for o in own]), pa.array([float(far[o, i].sum()) for i, o in enumerate(own)]),
+                pa.array([x[o].sum(axis=0) for o in own], pa.list_(pa.float64())),
+            ], names=["cluster", "n", "mark", "far", "sum"])
+
+    return u.mapInArrow(run, "cluster int, n long, mark long, far double, sum array<double>" if sums else "id long, cluster int")
 
 
 def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim: int | None = None) -> DataFrame:
@@ -66,32 +94,32 @@ def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim:
     The first centres are the unit vectors of k rows drawn by number in the order of id. A cluster that becomes empty keeps its
     centre. It ends when nothing changes, or after ``rounds``. Each round is one scan with k * dim partial sums.
     """
-    centres, u = _lloyd(items, k, seed, rounds, dim)
+    centres, u, _ = _lloyd(items, k, seed, rounds, dim)
     if not centres:
         return items.sparkSession.createDataFrame([], "id long, cluster int")
-    return nearest(u, list(enumerate(centres))).select("id", F.col("near").alias("cluster"))
+    return _assigned(u, centres)
 
 
 def kmeans_restarts(items: DataFrame, k: int = 8, seeds: tuple[int, ...] = tuple(range(42, 52)), rounds: int = 50, dim: int | None = None) -> DataFrame:
     """The k-means of those seeds whose members are nearest to their centres, by the sum of squared distances; ties to the first."""
     best = None
     for seed in seeds:
-        centres, u = _lloyd(items, k, seed, rounds, dim)
+        centres, u, cost = _lloyd(items, k, seed, rounds, dim)
         if not centres:
             return items.sparkSession.createDataFrame([], "id long, cluster int")
-        cost = nearest(u, list(enumerate(centres)), far="far").agg(F.sum("far")).first()[0]
         if best is None or round(cost, 9) < best[0]:
             best = round(cost, 9), centres, u
-    return nearest(best[2], list(enumerate(best[1]))).select("id", F.col("near").alias("cluster"))
+    return _assigned(best[2], best[1])
 
 
-def _lloyd(items: DataFrame, k: int, seed: int, rounds: int, dim: int | None) -> tuple[list, DataFrame]:
-    """The last centres and the unit vectors; no centres if there are no vectors."""
+def _lloyd(items: DataFrame, k: int, seed: int, rounds: int, dim: int | None) -> tuple[list, DataFrame, float]:
+    """The last centres, the table of unit vectors and the sum of squared distances to the centres before the last; no centres if there are no vectors."""
     dim = dim or dimensions(items)
-    u = items.filter(F.col("embedding").isNotNull()).select("id", vectors.padded(vectors.unit(F.col("embedding")), F.lit(dim)).alias("embedding"))
+    whole = vectors.padded(F.slice(vectors.unit(F.col("embedding")), 1, max(1, dim)), F.lit(dim))
+    u = written(items.filter(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), whole.alias("embedding")), "vectors")
     n = u.count()
     if not n:
-        return [], u
+        return [], u, 0.0
     k = max(1, min(k, n))
     drawn = random.Random(seed).sample(range(n), k)
     # the rows of k given places in the order of id, without one task that numbers all
@@ -106,16 +134,17 @@ def _lloyd(items: DataFrame, k: int, seed: int, rounds: int, dim: int | None) ->
     parts.unpersist()
     rows = {ids[r["id"]]: r["embedding"] for r in u.filter(F.col("id").isin(list(ids))).collect()}
     centres = [list(rows[at]) for at in drawn]
-    last = None
+    last, cost = None, 0.0
     for _ in range(rounds):
-        sums = nearest(u, list(enumerate(centres))).groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(dim)]).alias("mean"), F.sum(F.xxhash64("id", "near") % 1_000_003).alias("mark"))
-        found = {r["near"]: r for r in sums.collect()}
+        sums = _assigned(u, centres, sums=True).groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.sum("far").alias("far"), F.array(*[F.sum(F.get("sum", F.lit(i))) for i in range(dim)]).alias("sum"))
+        found = {r["cluster"]: r for r in sums.filter("n > 0").collect()}  # a row per cluster
+        cost = sum(r["far"] for r in found.values())
         mark = sorted((c, r["n"], r["mark"]) for c, r in found.items())
         if mark == last:
             break
         last = mark
-        centres = [list(found[c]["mean"]) if c in found else old for c, old in enumerate(centres)]
-    return centres, u
+        centres = [[x / found[c]["n"] for x in found[c]["sum"]] if c in found else old for c, old in enumerate(centres)]
+    return centres, u, cost
 
 
 def members(items: DataFrame, dim: int | None = None) -> DataFrame:
