@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = automaton(vocabulary)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, 1 << 21):
             words = [t.split() for t in part.column(1).to_pylist()]
             new = set().union(*words).difference(known)
             if len(known) + len(new) > 400_000:
