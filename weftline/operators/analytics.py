@@ -35,10 +35,11 @@ def traffic_totals(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sum("sessions").cast("long").alias("sessions"), F.sum("conversions").cast("long").alias("conversions"), F.round(F.sum("revenue"), 2).alias("revenue"), F.count(F.lit(1)).alias("rows"))
 
 
+#: What a snapshot holds where no live source is asked.
 STUBS = {
     "gsc": {"clicks": 123, "impressions": 4567, "ctr": round(123 / 4567, 4), "average_position": 18.7},
     "ga4": {"organic_sessions": 789, "conversions": 17, "revenue": 1234.56},
-}  #: Fixed values: what a snapshot holds where no live source is asked.
+}
 SNAPSHOT = "site_id long, source string, captured_at timestamp, period_start timestamp, period_end timestamp, clicks int, impressions int, ctr double, average_position double, organic_sessions int, conversions int, revenue double, notes map<string,string>"
 
 

@@ -71,12 +71,15 @@ def export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.union(e).union(meta.select(F.lit("meta").alias("kind"), F.to_json(F.struct("nodes", "edges")).alias("json")))
 
 
+#: The pages of the trial graph, and its links as (page, relative href).
+DEMO_PAGES = (("/intro", "Intro"), ("/pillar", "Pillar"), ("/posts/deep-dive", "Deep Dive"), ("/how-to", "How To"), ("/faq", "FAQ"), ("/resources", "Resources"))
+DEMO_LINKS = ((0, "/pillar"), (1, "/posts/deep-dive"), (1, "/faq"), (2, "/resources"), (3, "/pillar"), (4, "/resources"))
+
+
 def demo(spark: SparkSession, domain: str = "demo.local", site_id: int = 1) -> tuple[DataFrame, DataFrame]:
     """A small graph for trials: items (id, site_id, url, title) and links (from_url, href), the hrefs relative."""
-    pages = [("/intro", "Intro"), ("/pillar", "Pillar"), ("/posts/deep-dive", "Deep Dive"), ("/how-to", "How To"), ("/faq", "FAQ"), ("/resources", "Resources")]
-    links = [(0, "/pillar"), (1, "/posts/deep-dive"), (1, "/faq"), (2, "/resources"), (3, "/pillar"), (4, "/resources")]
-    items = spark.createDataFrame([(i + 1, site_id, f"https://{domain}{path}", title) for i, (path, title) in enumerate(pages)], "id long, site_id long, url string, title string")
-    return items, spark.createDataFrame([(f"https://{domain}{pages[i][0]}", href) for i, href in links], "from_url string, href string")
+    items = spark.createDataFrame([(i + 1, site_id, f"https://{domain}{path}", title) for i, (path, title) in enumerate(DEMO_PAGES)], "id long, site_id long, url string, title string")
+    return items, spark.createDataFrame([(f"https://{domain}{DEMO_PAGES[i][0]}", href) for i, href in DEMO_LINKS], "from_url string, href string")
 
 
 def without_demo(items: DataFrame, site_id: int, hosts: tuple[str, ...] = ("example.com", "demo.local")) -> DataFrame:
