@@ -1,8 +1,8 @@
 """Runs (maximal periodic stretches) of words, by the linear tandem-repeat method of Gusfield and Stoye.
 
 Of a sequence of word numbers: the blocks of its Lempel-Ziv factorisation give squares that cover the leftmost occurrence
-of every kind of square; walks along suffix links of its suffix tree complete the vocabulary of squares; the occurrences
-of primitively rooted ones, which are leaves below their places in the tree, merge into runs where they follow each other.
+of every kind of square; walks along suffix links of its suffix tree complete the vocabulary of primitively rooted ones;
+their occurrences, which are leaves below their places in the tree, merge into runs where they follow each other.
 
 Python workers see whole texts, one at a time. Only stretches of a text that can hold a run come to the tree: all words of
 a run of ``LEAST`` words are in repeated groups of ``LEAST // 2`` words that lie near enough to each other.
@@ -90,22 +90,45 @@ def _each(lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + 1
 
 
+def _primitive(f: Factors, at: np.ndarray, period: np.ndarray) -> np.ndarray:
+    """Whether the squares of ``period`` at ``at`` have roots that are no powers."""
+    least = np.arange(int(period.max(initial=1)) + 1)
+    for p in range(2, int(len(least) ** 0.5) + 1):
+        if least[p] == p:
+            some = least[p * p :: p]
+            some[some == np.arange(p * p, len(least), p)] = p
+    good, rest = np.ones(len(at), bool), period.copy()
+    while (on := np.flatnonzero(rest > 1)).size:
+        p = least[rest[on]]
+        d = period[on] // p
+        good[on] &= f.ahead(at[on], at[on] + d) < 2 * period[on] - d
+        while (more := rest[on] % p == 0).any():
+            rest[on] = np.where(more, rest[on] // p, rest[on])
+    return good
+
+
 def covering_squares(f: Factors, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of squares of which every kind of square has one at the start of its leftmost occurrence or before it in the same run."""
+    """Start and length of squares of which every kind has one at the start of its leftmost occurrence or before it in the same run. Powers of shorter roots are left out, as are then their rotations."""
     h, h1 = bounds[:-1], bounds[1:]
     h2 = np.append(bounds[2:], f.n)
+    name = f.levels[0]
     own, k = _each(h, np.where(h1 < f.n, h1 - h, 0))  # begins in a block, and goes on in the next
-    at = h1[own]
+    on = name[h1[own]] == name[h1[own] - k]
+    k, at = k[on], h1[own[on]]
     q = at - k
     ahead, back = f.ahead(at, q), f.back(at - 1, q - 1)
-    good = (ahead + back >= k) & (ahead > 0)
+    good = ahead + back >= k
     starts, lengths = [np.maximum(q - back, q - k + 1)[good]], [2 * k[good]]
     own, k = _each(h, np.where(h > 0, np.minimum(h2 - h, f.n - 1 - h), 0))  # begins before a block, and has its middle in it
+    on = (name[h[own]] == name[h[own] + k]) & (name[h[own] - 1] == name[h[own] + k - 1])
+    own, k = own[on], k[on]
     at = h[own]
     ahead, back = f.ahead(at, at + k), f.back(at - 1, at + k - 1)
     start = np.maximum(at - back, at - k + 1)
-    good = (ahead + back >= k) & (ahead > 0) & (back > 0) & (start + k <= h1[own])
-    return np.concatenate([*starts, start[good]]), np.concatenate([*lengths, 2 * k[good]])
+    good = (ahead + back >= k) & (start + k <= h1[own])
+    start, length = np.concatenate([*starts, start[good]]), np.concatenate([*lengths, 2 * k[good]])
+    good = _primitive(f, start, length // 2)
+    return start[good], length[good]
 
 
 class Tree:
@@ -192,23 +215,6 @@ class Tree:
         return np.array(nodes, np.int64), np.array(lengths, np.int64)
 
 
-def _primitive(f: Factors, at: np.ndarray, period: np.ndarray) -> np.ndarray:
-    """Whether the squares of ``period`` at ``at`` have roots that are no powers."""
-    least = np.arange(int(period.max(initial=1)) + 1)
-    for p in range(2, int(len(least) ** 0.5) + 1):
-        if least[p] == p:
-            some = least[p * p :: p]
-            some[some == np.arange(p * p, len(least), p)] = p
-    good, rest = np.ones(len(at), bool), period.copy()
-    while (on := np.flatnonzero(rest > 1)).size:
-        p = least[rest[on]]
-        d = period[on] // p
-        good[on] &= f.ahead(at[on], at[on] + d) < 2 * period[on] - d
-        while (more := rest[on] % p == 0).any():
-            rest[on] = np.where(more, rest[on] // p, rest[on])
-    return good
-
-
 def runs(s: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start, length, period) of the runs of a sequence of small numbers, of ``least`` members or more, by start, then period."""
     if len(s) < 2:
@@ -220,8 +226,6 @@ def runs(s: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     if not len(nodes):
         return []
     left, right, period = np.array(tree.left)[nodes], np.array(tree.right)[nodes], lengths // 2
-    good = _primitive(f, order[left], period)
-    left, right, period = left[good], right[good], period[good]
     own, k = _each(left, right - left + 1)
     all_ = np.sort(period[own] * (f.n + 1) + order[left[own] + k - 1])
     first = np.flatnonzero(np.diff(all_, prepend=-2) != 1)
@@ -246,6 +250,9 @@ def likely(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
         g = x[: len(x) - size + 1] * _ODD[0]
         for j in range(1, size):
             g = g + x[j : len(x) - size + 1 + j] * _ODD[j]
+        in_order = np.sort(g)
+        if not (in_order[1:] == in_order[:-1]).any():
+            continue
         o = np.argsort(g, kind="stable")
         near = np.flatnonzero((g[o[1:]] == g[o[:-1]]) & (o[1:] - o[:-1] <= (hi - lo) // 2))
         if not len(near):
