@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, neardup, packing, quality, repeats, resampling, secrets, tokencounts, topk, toxicity, warc
+from . import chat, decontamination, lm, neardup, packing, quality, repeats, resampling, secrets, tokencounts, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_chat_format": chat.op9_chat_format,
         "op10_topk": topk.op10_topk,
+        "op11_lm_scoring": lm.op11_lm_scoring,
         "op12_periodic_runs": repeats.op12_periodic_runs,
         "op13_resampling": resampling.op13_resampling,
     }
