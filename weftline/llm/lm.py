@@ -137,7 +137,7 @@ def encoded(rows: DataFrame, words: Vocabulary) -> DataFrame:
             own = np.repeat(np.arange(docs), n)
             ids = np.zeros(len(key) + docs, "<u2")
             ids[np.arange(len(key)) + own] = outcome[at]
-            sums = [np.bincount(own, x[at], docs) for x in ((hit & (count > 0)).astype(float), base, within)]
+            sums = [np.bincount(own, x[at], docs).astype(float) for x in ((hit & (count > 0)).astype(float), base, within)]
             far = np.flatnonzero(~hit[at])
             o = far[np.lexsort((at[far], own[far]))]
             new = np.flatnonzero(np.diff(own[o], prepend=-1).astype(bool) | np.diff(at[o], prepend=-1).astype(bool))
