@@ -92,6 +92,50 @@ def test_kmeans_equals_a_plain_model(spark):
     assert [r["cluster"] for r in got.orderBy("id").collect()] == near
 
 
+ODD_VECTORS = [(1, "[1, 0, \"x\"]"), (1, '{"data": [0, 1]}'), (None, "[0, 1, 0.5, null]"), (4, "[]"), (5, None), (6, "oops"), (7, "[1e-3, 1]"), (8, "[0, 0]"), (9, "[1, 0.1]"), (9, "[1, 0.1]")]
+
+
+def test_vectors_are_coerced_and_rows_are_their_own(spark):
+    t = clustering.Vectors(spark.createDataFrame(ODD_VECTORS, "id long, embedding string"))
+    rows = t.df.orderBy("row").collect()
+    assert (t.n, t.dim) == (7, 3) and [r["row"] for r in rows] == list(range(7)) and [r["id"] for r in rows] == [1, 1, 7, 8, 9, 9, None]
+    assert all(len(r["u"]) == 3 for r in rows) and rows[3]["u"] == [0, 0, 0] and abs(sum(x * x for x in rows[6]["u"]) - 1) < 1e-9
+    nan = float("nan")
+    arrays = spark.createDataFrame([(1, [1.0, None, 0.0]), (2, [nan, 1.0]), (3, [None, nan]), (4, [float("inf"), 2.0, 2.0])], "id long, embedding array<double>")
+    assert [(r["id"], [round(x, 4) for x in r["u"]]) for r in clustering.Vectors(arrays).df.orderBy("row").collect()] == [(1, [1, 0]), (2, [1, 0]), (4, [0.7071, 0.7071])]
+    assert clustering.Vectors(arrays.limit(0)).n == 0
+
+
+def test_clusters_and_links_of_odd_vectors(spark):
+    """Null components, mixed lengths, repeated and null ids."""
+    rows = [(i % 10, [1.0, None, float(i % 2), 0.0] if i % 3 else [float(i % 2), 1.0]) for i in range(40)] + [(None, [0.0, 1.0])]
+    items = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = clustering.kmeans(items, 3, seed=1).collect()
+    assert len(got) == 41 and len({r["cluster"] for r in got}) == 3 and sum(r["id"] is None for r in got) == 1
+    linked = items.withColumn("url", F.concat(F.lit("https://a.example/"), F.monotonically_increasing_id().cast("string"))).persist()
+    links = similarity.link_suggestions(linked, 3, 0.1).collect()
+    assert len(links) == 41 * 3 and all(0.1 <= r["similarity"] <= 1 and r["source_url"] != r["target_url"] for r in links)
+    assert similarity.link_suggestions(spark.createDataFrame([(i, None if i == 2 else f"https://a.example/{i}", e) for i, e in ODD_VECTORS], "id long, url string, embedding string"), 2, 0.5).count() > 0
+
+
+def test_restarts_spread_their_first_centres(spark):
+    rnd = random.Random(3)
+    middles = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    items = spark.createDataFrame([(i, [x + rnd.gauss(0, 0.02) for x in middles[i % 8]]) for i in range(400)], "id long, embedding array<double>")
+    got = {r["id"]: r["cluster"] for r in clustering.kmeans_restarts(items, 8, seeds=(1, 2, 3)).collect()}
+    assert len(got) == 400 and all(len({got[i] for i in range(m, 400, 8)}) == 1 for m in range(8)) and len(set(got.values())) == 8
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, embedding array<double>")
+    assert {r["cluster"] for r in clustering.kmeans_restarts(same, 4, seeds=(1,)).collect()} == {0}
+
+
+def test_sums_are_added_by_tasks_where_they_are_many(spark, monkeypatch):
+    rnd = random.Random(4)
+    items = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(200)], "id long, embedding array<double>").repartition(20)
+    want = {r["id"]: r["cluster"] for r in clustering.kmeans(items, 5).collect()}
+    monkeypatch.setattr(clustering, "SUMS_BYTES", 1)
+    assert {r["id"]: r["cluster"] for r in clustering.kmeans(items, 5).collect()} == want
+
+
 def test_labels_hold_no_substrings(spark):
     words = ["alpha beta", "alpha", "beta gamma", "gamma delta", "delta"]
     docs = spark.createDataFrame([(0, i, f"{words[i % 5]} {words[(i + 2) % 5]} other{i % 3}") for i in range(20)], "cluster_id int, id long, text string")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 VECTOR = "array<double>"
 
@@ -23,6 +24,16 @@ def numbers(raw: Column) -> Column:
     return F.when(F.size(v) > 0, v)
 
 
+def coerced(df: DataFrame, name: str = "embedding") -> Column:
+    """The numbers of an embedding column: an array, a struct with ``data``, or JSON text. Entries that are no finite numbers are dropped; null if none is left."""
+    kind, raw = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, StructType):
+        kind, raw = kind["data"].dataType, raw["data"]
+    v = numbers(raw) if isinstance(kind, StringType) else F.transform(raw, lambda x: x.try_cast("double"))
+    v = F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(F.size(v) > 0, v)
+
+
 def padded(v: Column, dim: Column) -> Column:
     """A vector with zeros up to ``dim`` components."""
     return F.concat(v, F.array_repeat(F.lit(0.0), F.greatest(dim - F.size(v), F.lit(0))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.functions import text, vectors
-from weftline.plans.tables import written
+from weftline.plans.tables import numbered
 
 
 def status(items: DataFrame) -> DataFrame:
@@ -58,93 +58,230 @@ def nearest(items: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFra
     return items.withColumn("u", vectors.unit(F.col("embedding"))).withColumn("near", best["c"]).drop("u")
 
 
-def _assigned(u: DataFrame, centres: list[list[float]], sums: bool = False) -> DataFrame:
-    """id and cluster of vectors by the centre of least squared distance, ties to the smallest number, by whole matrices of
-    Arrow batches; with ``sums``, per batch and cluster n, mark (a sum that tells assignments apart), far (of distances) and the sum of the vectors."""
+class Vectors:
+    """A table of unit vectors: row (a number of its own, in the order of id), id, the columns kept, and ``u``.
+
+    Every operator on vectors takes its items through it. Embeddings may be arrays, structs with ``data`` or JSON text;
+    entries that are no finite numbers are dropped, and items without any entry are left out. Shorter vectors have zeros
+    at their end, up to ``dim`` components (None: as many as the longest has); longer ones are cut. Ids may repeat or be null.
+    """
+
+    def __init__(self, items: DataFrame, dim: int | None = None, keep: tuple[str, ...] = ()) -> None:
+        v = vectors.coerced(items)
+        some = items.select(F.col("id").cast("long").alias("id"), *keep, vectors.unit(F.slice(v, 1, dim) if dim else v).alias("u")).filter("u is not null")
+        order = [F.col("id").asc_nulls_last(), *keep, F.xxhash64("u")]
+        table, self.n, found = numbered(some, order, "vectors", dim=F.size("u"))
+        self.dim = dim or found["dim"] or 0
+        self.df = table.withColumn("u", vectors.padded(F.col("u"), F.lit(self.dim)))
+
+    def at(self, rows: list[int]):
+        """The vectors of a few rows, as a matrix in their order."""
+        import numpy as np
+
+        got = {r["row"]: r["u"] for r in self.df.filter(F.col("row").isin(sorted(set(rows)))).select("row", "u").collect()}
+        return np.array([got[r] for r in rows]).reshape(len(rows), self.dim)
+
+
+def _matrix(column):
+    import numpy as np
+
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _nearest(x, centres):
+    """Squared distances to each centre. A centre at a time, so that equal distances are equal numbers."""
+    import numpy as np
+
+    far = np.empty((len(x), len(centres)))
+    for i, c in enumerate(centres):
+        far[:, i] = ((x - c) ** 2).sum(axis=1)
+    return far
+
+
+def _assigned(t: Vectors, centres) -> DataFrame:
+    """id and cluster of vectors by the centre of least squared distance, ties to the smallest number, by whole matrices of Arrow batches."""
+    import pyarrow as pa
+
+    shared = t.df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_nearest(_matrix(batch.column(1)), shared.value).argmin(axis=1), pa.int32())], names=["id", "cluster"])
+
+    return t.df.select("id", "u").mapInArrow(run, "id long, cluster int")
+
+
+#: Bytes of partial sums that come to the driver as they are; more are added up by tasks first.
+SUMS_BYTES = 1 << 26
+
+
+def _sums(held: DataFrame, centres):
+    """For sets of centres (sets, k, dim): n, mark, far and sum of the members of each centre, in one pass for all sets.
+
+    ``mark`` is a 64-bit sum that tells assignments apart, ``far`` that of squared distances. A task sends one row.
+    """
     import numpy as np
     import pyarrow as pa
 
-    shared = u.sparkSession.sparkContext.broadcast(np.array(centres))
+    sets, k, dim = centres.shape
+    context = held.sparkSession.sparkContext
+    shared, tasks = context.broadcast(centres), 2 * context.defaultParallelism
 
     def run(batches):
-        c = shared.value
+        n, mark, far, total = np.zeros((sets, k), np.int64), np.zeros((sets, k), np.uint64), np.zeros((sets, k)), np.zeros((sets, k, dim))
         for batch in batches:
-            ids, x = batch.column(0), np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            far = np.empty((len(x), len(c)))
-            for i, centre in enumerate(c):
-                far[:, i] = ((x - centre) ** 2).sum(axis=1)
-            near = far.argmin(axis=1)
-            if not sums:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(near, pa.int32())], names=["id", "cluster"])
-                continue
-            h = (ids.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (near.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            mark = (h * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64)
-            own = [near == i for i in range(len(c))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(len(c)), pa.int32()), pa.array([int(o.sum()) for o in own]), pa.array([int(mark[o].sum()) for o in own]), pa.array([float(far[o, i].sum()) for i, o in enumerate(own)]),
-                pa.array([x[o].sum(axis=0) for o in own], pa.list_(pa.float64())),
-            ], names=["cluster", "n", "mark", "far", "sum"])
-
-    return u.mapInArrow(run, "cluster int, n long, mark long, far double, sum array<double>" if sums else "id long, cluster int")
+            x = _matrix(batch.column(1))
+            h = (batch.column(0).to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            for s, c in enumerate(shared.value):
+                d = _nearest(x, c)
+                near = d.argmin(axis=1)
+                for i in np.unique(near):
+                    own = near == i
+                    n[s, i] += own.sum()
+                    mark[s, i] += (h[own] * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)
+                    far[s, i] += d[own, i].sum()
+                    total[s, i] += x[own].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (n, mark, far, total)], names=["n", "mark", "far", "sum"])
+
+    def add(batches):
+        found = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                one = _arrays(r, sets, k, dim)
+                found = one if found is None else tuple(a + b for a, b in zip(found, one, strict=True))
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], names=["n", "mark", "far", "sum"])
+
+    kinds = "n binary, mark binary, far binary, sum binary"
+    parts = held.coalesce(tasks).mapInArrow(run, kinds)
+    while tasks * 8 * sets * k * (dim + 3) > SUMS_BYTES and tasks > 8:
+        tasks = -(-tasks // 8)
+        parts = parts.repartition(tasks).mapInArrow(add, kinds)
+    return tuple(sum(x) for x in zip(*(_arrays(r, sets, k, dim) for r in parts.collect()), strict=True))
+
+
+def _arrays(r, sets: int, k: int, dim: int):
+    import numpy as np
+
+    return tuple(np.frombuffer(r[c], kind).reshape(shape) for c, kind, shape in (("n", np.int64, (sets, k)), ("mark", np.uint64, (sets, k)), ("far", np.float64, (sets, k)), ("sum", np.float64, (sets, k, dim))))
+
+
+def _lloyd(held: DataFrame, centres, rounds: int):
+    """The last centres of each set and the sums of squared distances to those before them. A set ends when a round moves no row; sets share their passes."""
+    import numpy as np
+
+    centres, cost, last = centres.copy(), np.zeros(len(centres)), {}
+    on = list(range(len(centres)))
+    for _ in range(rounds):
+        n, mark, far, total = _sums(held, centres[on])
+        going = []
+        for at, s in enumerate(on):
+            cost[s] = far[at].sum()
+            now = (n[at].tobytes(), mark[at].tobytes())
+            if last.get(s) != now:
+                last[s] = now
+                some = n[at] > 0
+                centres[s][some] = total[at][some] / n[at][some, None]
+                going.append(s)
+        on = going
+        if not on:
+            break
+    return centres, cost
 
 
 def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim: int | None = None) -> DataFrame:
-    """Lloyd's k-means of id and embedding: id, cluster. Deterministic for a seed. ``dim`` as for ``centroids``; shorter vectors have zeros at their end.
+    """Lloyd's k-means of id and embedding: id, cluster, a row for each item that has a vector (``Vectors``). Deterministic for a seed.
 
     The first centres are the unit vectors of k rows drawn by number in the order of id. A cluster that becomes empty keeps its
-    centre. It ends when nothing changes, or after ``rounds``. Each round is one scan with k * dim partial sums.
+    centre. It ends when nothing changes, or after ``rounds``. Each round is one pass over vectors that are held in memory; a task sends k sums.
     """
-    centres, u, _ = _lloyd(items, k, seed, rounds, dim)
-    if not centres:
+    t = Vectors(items, dim)
+    if not t.n:
         return items.sparkSession.createDataFrame([], "id long, cluster int")
-    return _assigned(u, centres)
+    drawn = random.Random(seed).sample(range(t.n), max(1, min(k, t.n)))
+    held = t.df.select("row", "u").persist()
+    centres, _ = _lloyd(held, t.at(drawn)[None], rounds)
+    held.unpersist()
+    return _assigned(t, centres[0])
 
 
-def kmeans_restarts(items: DataFrame, k: int = 8, seeds: tuple[int, ...] = tuple(range(42, 52)), rounds: int = 50, dim: int | None = None) -> DataFrame:
-    """The k-means of those seeds whose members are nearest to their centres, by the sum of squared distances; ties to the first."""
-    best = None
-    for seed in seeds:
-        centres, u, cost = _lloyd(items, k, seed, rounds, dim)
-        if not centres:
-            return items.sparkSession.createDataFrame([], "id long, cluster int")
-        if best is None or round(cost, 9) < best[0]:
-            best = round(cost, 9), centres, u
-    return _assigned(best[2], best[1])
+def kmeans_restarts(items: DataFrame, k: int = 8, seeds: tuple[int, ...] = tuple(range(42, 52)), rounds: int = 50, dim: int | None = None, passes: int = 4) -> DataFrame:
+    """The k-means of those seeds whose members are nearest to their centres, by the sum of squared distances; ties to the first.
 
+    The first centres are drawn by k-means||: in each of ``passes`` rounds 2k rows, the likelier the farther they are from
+    those drawn so far; then k of these, weighted by the rows nearest to them. All seeds go through the same passes.
+    """
+    t = Vectors(items, dim)
+    if not t.n:
+        return items.sparkSession.createDataFrame([], "id long, cluster int")
+    held = t.df.select("row", "u").persist()
+    centres, cost = _lloyd(held, _spread(t, held, max(1, min(k, t.n)), seeds, passes), rounds)
+    held.unpersist()
+    return _assigned(t, centres[int(cost.round(9).argmin())])
 
-def _lloyd(items: DataFrame, k: int, seed: int, rounds: int, dim: int | None) -> tuple[list, DataFrame, float]:
-    """The last centres, the table of unit vectors and the sum of squared distances to the centres before the last; no centres if there are no vectors."""
-    dim = dim or dimensions(items)
-    whole = vectors.padded(F.slice(vectors.unit(F.col("embedding")), 1, max(1, dim)), F.lit(dim))
-    u = written(items.filter(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), whole.alias("embedding")), "vectors")
-    n = u.count()
-    if not n:
-        return [], u, 0.0
-    k = max(1, min(k, n))
-    drawn = random.Random(seed).sample(range(n), k)
-    # the rows of k given places in the order of id, without one task that numbers all
-    parts = u.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.monotonically_increasing_id())
-    parts = parts.persist()
-    before, start = {}, 0
-    for r in parts.groupBy(F.shiftright("p", 33).alias("part")).count().orderBy("part").collect():
-        before[r["part"]] = (start, r["count"])
-        start += r["count"]
-    wanted = {(part << 33) + at - lo: at for part, (lo, c) in before.items() for at in drawn if lo <= at < lo + c}
-    ids = {r["id"]: wanted[r["p"]] for r in parts.filter(F.col("p").isin(list(wanted))).collect()}
-    parts.unpersist()
-    rows = {ids[r["id"]]: r["embedding"] for r in u.filter(F.col("id").isin(list(ids))).collect()}
-    centres = [list(rows[at]) for at in drawn]
-    last, cost = None, 0.0
-    for _ in range(rounds):
-        sums = _assigned(u, centres, sums=True).groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.sum("far").alias("far"), F.array(*[F.sum(F.get("sum", F.lit(i))) for i in range(dim)]).alias("sum"))
-        found = {r["cluster"]: r for r in sums.filter("n > 0").collect()}  # a row per cluster
-        cost = sum(r["far"] for r in found.values())
-        mark = sorted((c, r["n"], r["mark"]) for c, r in found.items())
-        if mark == last:
-            break
-        last = mark
-        centres = [[x / found[c]["n"] for x in found[c]["sum"]] if c in found else old for c, old in enumerate(centres)]
-    return centres, u, cost
+
+def _spread(t: Vectors, held: DataFrame, k: int, seeds: tuple[int, ...], passes: int):
+    """First centres (seeds, k, dim) by k-means||."""
+    import numpy as np
+    import pyarrow as pa
+
+    some = [t.at([random.Random(seed).randrange(t.n)]) for seed in seeds]
+    kinds = "set int, key double, u array<double>"
+
+    def best(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["set", "key", "u"])
+
+    for step in range(passes):
+        shared = held.sparkSession.sparkContext.broadcast(some)
+
+        def draw(batches, shared=shared, step=step):
+            found = [[] for _ in seeds]
+            for batch in batches:
+                rows, x = batch.column(0).to_numpy().astype(np.uint64), _matrix(batch.column(1))
+                for s, c in enumerate(shared.value):
+                    d = np.maximum((x * x).sum(axis=1) - (2 * x @ c.T - (c * c).sum(axis=1)).max(axis=1), 0)
+                    h = (rows * np.uint64(len(seeds) * passes) + np.uint64(s * passes + step + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                    key = -np.log(((h ^ h >> np.uint64(32)) >> np.uint64(11)).astype(float) / 2**53 + 2**-54) / np.maximum(d, 1e-300)
+                    for i in np.argsort(key)[: 2 * k]:
+                        if d[i] > 1e-12:
+                            found[s].append((s, float(key[i]), x[i].tolist()))
+                    found[s] = sorted(found[s])[: 2 * k]
+            yield best([r for own in found for r in own])
+
+        def least(batches):
+            found = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    found.setdefault(r["set"], []).append((r["set"], r["key"], r["u"]))
+                found = {s: sorted(own)[: 2 * k] for s, own in found.items()}
+            yield best([r for own in found.values() for r in own])
+
+        drawn = held.mapInArrow(draw, kinds).repartition("set").mapInArrow(least, kinds).orderBy("set", "key").collect()  # 2k rows a seed
+        some = [np.concatenate([c, *(np.array([r["u"]]) for r in drawn if r["set"] == s)]) for s, c in enumerate(some)]
+    most = max(map(len, some))
+    weight, *_ = _sums(held, np.stack([np.concatenate([c, np.repeat(c[:1], most - len(c), axis=0)]) for c in some]))
+    return np.stack([_seeded(c, w[: len(c)], k, seed) for c, w, seed in zip(some, weight, seeds, strict=True)])
+
+
+def _seeded(points, weight, k: int, seed: int):
+    """k of a few weighted points by k-means++, moved to the means of the points nearest to them a few times."""
+    import numpy as np
+
+    rnd = np.random.RandomState(seed)
+    chosen = [points[rnd.choice(len(points), p=weight / weight.sum())]]
+    while len(chosen) < k:
+        far = _nearest(points, chosen).min(axis=1) * weight
+        chosen.append(points[rnd.choice(len(points), p=far / far.sum()) if far.sum() > 0 else rnd.randint(len(points))])
+    centres = np.array(chosen)
+    for _ in range(10):
+        near = _nearest(points, centres).argmin(axis=1)
+        for i in range(k):
+            own = (near == i) & (weight > 0)
+            if own.any():
+                centres[i] = np.average(points[own], axis=0, weights=weight[own])
+    return centres
 
 
 def members(items: DataFrame, dim: int | None = None) -> DataFrame:

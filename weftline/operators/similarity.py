@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.functions import urls, vectors
+from weftline.operators.clustering import Vectors
 from weftline.plans.tables import written
 
 #: Targets that are broadcast at a time, and bytes of their vectors; sources of one product.
@@ -26,40 +27,46 @@ def link_suggestions(items: DataFrame, per_item: int = 5, min_sim: float = 0.45,
 
     Pairs of one path, homepages as targets and paths that ``exclude`` finds are left out. At most ``per_item`` targets of
     at least ``min_sim``; with ``fallback``, an item that has none gets its best whatever they reach. Ties go to the
-    smaller target id. Items have id, url and embedding (one length); without an embedding they take no part.
+    smaller target id. Items have id, url and embedding, as ``clustering.Vectors`` takes them; those without a vector take no
+    part, a null url counts as an empty one, and items that share an id are items of their own.
 
     Targets go out in blocks of bounded rows and bytes, one after another, and a partition of sources keeps its best per
     block, so all pairs are scored but none is a row.
     """
-    on = items.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("id", "url", vectors.unit(F.col("embedding")).alias("u"), urls.path(F.col("url")).alias("path"), urls.is_homepage(F.col("url")).alias("home"))
+    on = Vectors(items, keep=("url",)).df.withColumn("at", F.coalesce("url", F.lit(""))).withColumns({"path": urls.path(F.col("at")), "home": urls.is_homepage(F.col("at"))}).drop("at")
     on = on.filter(~urls.matches(F.col("path"), exclude))
-    targets = on.filter(~F.col("home")).select("id", "path", "u")
+    targets = on.filter(~F.col("home")).select("row", "path", "u")
     n, dim = targets.agg(F.count(F.lit(1)), F.max(F.size("u"))).first()
     most = max(1, min(TARGET_BLOCK, TARGET_BYTES // (8 * (dim or 1))))
     blocks = max(1, -(-n // most) * (1 if n <= most else 2))
     out = None
     for b in range(blocks):
-        got = targets.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow()
+        got = targets.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).orderBy("row").toArrow()
         if not got.num_rows:
             continue
-        best = _best(on.select("id", "path", "u"), got, per_item)
+        best = _best(on.select("row", "path", "u"), got, per_item)
         best = written(best, "best") if blocks > 1 else best
         out = best if out is None else out.union(best)
     if out is None:
         return items.sparkSession.createDataFrame([], "source_id long, target_id long, source_url string, target_url string, similarity double")
-    place = F.row_number().over(W.partitionBy("source_id").orderBy(F.col("similarity").desc(), "target_id"))
-    top = out.withColumn("place", place).filter(F.col("place") <= per_item)
+    return _chosen(out, on.select("row", "id", "url"), per_item, min_sim, fallback)
+
+
+def _chosen(pairs: DataFrame, names: DataFrame, per_item: int, min_sim: float, fallback: bool) -> DataFrame:
+    """The best pairs (source, target, similarity) of each source by the rules of ``link_suggestions``, with ids and urls of their rows."""
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.col("similarity").desc(), "target"))
+    top = pairs.withColumn("place", place).filter(F.col("place") <= per_item)
     if fallback:
-        top = top.withColumn("most", F.max("similarity").over(W.partitionBy("source_id"))).filter((F.col("similarity") >= min_sim) | (F.col("most") < min_sim))
+        top = top.withColumn("most", F.max("similarity").over(W.partitionBy("source"))).filter((F.col("similarity") >= min_sim) | (F.col("most") < min_sim))
     else:
         top = top.filter(F.col("similarity") >= min_sim)
-    names = items.select("id", "url")
-    top = top.join(names.withColumnsRenamed({"id": "source_id", "url": "source_url"}), "source_id").join(names.withColumnsRenamed({"id": "target_id", "url": "target_url"}), "target_id")
+    for side in ("source", "target"):
+        top = top.join(names.withColumnsRenamed({"row": side, "id": f"{side}_id", "url": f"{side}_url"}), side)
     return top.select("source_id", "target_id", "source_url", "target_url", "similarity")
 
 
 def _best(sources: DataFrame, targets: pa.Table, k: int) -> DataFrame:
-    ids = targets.column("id").to_numpy()
+    ids = targets.column("row").to_numpy()
     paths = targets.column("path").to_numpy(zero_copy_only=False)
     shared = sources.sparkSession.sparkContext.broadcast((ids, paths, np.ascontiguousarray(_matrix(targets.column("u").combine_chunks()).T)))
 
@@ -83,9 +90,9 @@ def _best(sources: DataFrame, targets: pa.Table, k: int) -> DataFrame:
                     rows.append(np.full(len(some), i))
                     cols.append(some)
                 r, c = np.concatenate(rows), np.concatenate(cols)
-                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(ids[c]), pa.array(sims[r, c])], names=["source_id", "target_id", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(ids[c]), pa.array(sims[r, c])], names=["source", "target", "similarity"])
 
-    return sources.mapInArrow(run, "source_id long, target_id long, similarity double")
+    return sources.mapInArrow(run, "source long, target long, similarity double")
 
 
 def retrieve(docs: DataFrame, query: str, k: int = 5, site: str | None = None, dim: int = 64, filters: dict | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[Column], name: str, **most: Column) -> tuple[DataFrame, int, dict]:
+    """``df``, written in the order of ``by`` with ``row`` from 0 on, its rows' number, and the greatest values of ``most``.
+
+    Ranges are sorted each by itself and counted, so no task numbers all rows; rows that ``by`` does not tell apart are numbered all the same.
+    """
+    at = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__p", 33)
+    before, rows, found = [], 0, dict.fromkeys(most)
+    for r in at.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), *(F.max(c).alias(k) for k, c in most.items())).orderBy("__part").collect():  # a row a range
+        before.append((r["__part"], rows))
+        rows += r["__n"]
+        found = {k: r[k] if v is None else v if r[k] is None else max(v, r[k]) for k, v in found.items()}
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__part long, __before long"))
+    at = at.withColumn("__part", part.cast("long")).join(starts, "__part")
+    return at.withColumn("row", F.col("__before") + F.col("__p").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__part", "__before"), rows, found
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made, once nothing reads them any more."""
     for df in tables:
