@@ -190,16 +190,16 @@ def _lloyd(held: DataFrame, centres, rounds: int):
     return centres, cost
 
 
-def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim: int | None = None) -> DataFrame:
+def kmeans(items: DataFrame, k: int = 8, seed: int = 42, rounds: int = 50, dim: int | None = None, start: list[int] | None = None) -> DataFrame:
     """Lloyd's k-means of id and embedding: id, cluster, a row for each item that has a vector (``Vectors``). Deterministic for a seed.
 
-    The first centres are the unit vectors of k rows drawn by number in the order of id. A cluster that becomes empty keeps its
+    The first centres are the unit vectors of k rows drawn by number in the order of id, or of the numbers ``start``. A cluster that becomes empty keeps its
     centre. It ends when nothing changes, or after ``rounds``. Each round is one pass over vectors that are held in memory; a task sends k sums.
     """
     t = Vectors(items, dim)
     if not t.n:
         return items.sparkSession.createDataFrame([], "id long, cluster int")
-    drawn = random.Random(seed).sample(range(t.n), max(1, min(k, t.n)))
+    drawn = [r for r in start if r < t.n] if start else random.Random(seed).sample(range(t.n), max(1, min(k, t.n)))
     held = t.df.select("row", "u").persist()
     centres, _ = _lloyd(held, t.at(drawn)[None], rounds)
     held.unpersist()

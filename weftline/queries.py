@@ -343,6 +343,33 @@ def kmeans_full(spark, d):
     return clustering.kmeans(linked_items(spark, d))
 
 
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Unit vectors by place, the first k as centres, and in turn the nearest centre of each and the mean of each centre's own."""
+    parts = [
+        "u AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS row, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)",
+        f"c0 AS (SELECT row::INT AS cluster, u AS c FROM u WHERE row < {k})",
+    ]
+    for i in range(1, rounds + 1):
+        parts += [
+            f"a{i} AS (SELECT id, any_value(u) AS u, arg_min(cluster, (list_distance(u, c), cluster)) AS cluster FROM u, c{i - 1} GROUP BY id)",
+            f"e{i} AS (SELECT cluster, i, avg(u[i]) AS m FROM a{i}, unnest(range(1, len(u) + 1)) AS r(i) GROUP BY ALL)",
+            f"c{i} AS (SELECT cluster, coalesce(m, c) AS c FROM c{i - 1} LEFT JOIN (SELECT cluster, list(m ORDER BY i) AS m FROM e{i} GROUP BY cluster) USING (cluster))",
+        ]
+    return f"WITH {', '.join(parts)} SELECT id, arg_min(cluster, (list_distance(u, c), cluster)) AS cluster FROM u, c{rounds} GROUP BY id"
+
+
+@query(_kmeans_sql(6, 3))
+def kmeans_fixed_steps(spark, d):
+    """Three rounds from the first six vectors on."""
+    return clustering.kmeans(linked_items(spark, d), rounds=3, start=list(range(6)))
+
+
+@query()
+def kmeans_restarts_full(spark, d):
+    """The best of ten k-means that begin with spread centres."""
+    return clustering.kmeans_restarts(linked_items(spark, d))
+
+
 @query()
 def cluster_topics_full(spark, d):
     """k-means of all embedded items, then labels of each cluster by its titles."""
