@@ -165,6 +165,39 @@ def test_html_and_feeds(spark, tmp_path):
         assert feeds.read_brands(spark, str(store)).count() == n
 
 
+LD = '<script type="application/ld+json">%s</script>'
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (LD % '{"author":{"name":" Ann Lee "}}', ["Ann Lee"]),
+    (LD % '{"author":[{"name":"Ann Lee"}]}', ["Ann Lee"]),
+    (LD % '{"author":[{"name":"Ann Lee"},{"name":"Bo Ek"},{"name":7},{"x":1},"Cy",{"name":"ANN LEE"}]}', ["Ann Lee", "Bo Ek"]),
+    (LD % '[{"author":{"name":"Ann Lee"}},3,{"author":[{"name":"Bo Ek"}]}]', ["Ann Lee", "Bo Ek"]),
+    (LD % '{"author":"Ann Lee"}' + LD % "{broken" + LD % '{"author":{"name":"Bo Ek"}}', ["Bo Ek"]),
+    ('<meta content="Ann" name="author"><meta name=author content=Bo><META CONTENT=\'Cy\' PROPERTY=\'article:author\'><meta name="twitter:creator" content="@dd>d"><meta name="other" content="no">', ["Ann", "Bo", "@dd>d", "Cy"]),
+    ("<p>By Ann Lee. by nobody</p>", ["Ann Lee."]),
+    ("", []),
+])
+def test_bylines(spark, page, want):
+    assert one(spark, authority.bylines(authority.html_text(F.lit(page)), F.lit(page))) == want
+
+
+def test_json_ld_is_there_or_not(spark):
+    rows = spark.createDataFrame([(1, LD % "{}</p>"[:2]), (2, LD % ""), (3, LD % "{broken"), (4, "<p>x</p><a class='y' href=' https://b.example/z'>z</a>")], "id long, raw string")
+    got = {r["id"]: (r["schema_present"], r["external_links"]) for r in authority.signals(rows, "raw").collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (0, 0), 4: (0, 1)}
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<header><p>lead</p></header><p>body</p><footer><p>foot</p></footer>", "lead body foot"),
+    ("<nav><p>one<p>two</nav><article><p>three <aside>four</aside> five</p></article><aside>six</aside>", "one two three four five"),
+    ("<script>'<p>no</p>'</script><style><p>no</p></style><template><p>no</p></template><noscript><p>yes</p></noscript><p>x<script>no</script>y", "yes x y"),
+])
+def test_competitors_paragraphs(spark, page, want):
+    got = spark.createDataFrame([(page,)], "html string").select(html.extract_competitor("html").alias("x")).first()["x"]
+    assert got["content"] == want and got["word_count"] == len(want.split())
+
+
 def test_long_repeats_end(spark):
     words = F.lit("a-" * 1_000_000 + "a")
     assert one(spark, text.tokens(words)) == ["a-" * 1_000_000 + "a"]

@@ -15,7 +15,10 @@ ENTITY = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b"
 BYLINE = r"\bBy\s+([A-Z][\w.-]++(?:\s++[A-Z][\w.-]++)*+)"
 CITATION = r"\[(?:\d{1,3}|fn:\w+)\]"
 JSONLD = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-META_AUTHOR = r"""(?is)<meta[^>]*(?:name|property)=["'](?:author|article:author|twitter:creator)["'][^>]*content=["']([^"']+)["']"""
+META = r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+#: The meta tags that name authors, and where their names stand, in this order.
+META_AUTHORS = ("author", "article:author", "twitter:creator")
+META_KEYS = ("name", "property")
 
 
 def is_html(raw: Column) -> Column:
@@ -35,14 +38,40 @@ def entities(text: Column, most: int = 200) -> Column:
     return first_by_case(runs, most)
 
 
+def jsonld(html: Column) -> Column:
+    """The JSON-LD blocks of a page as variants: null where a block is no JSON, an empty object where it is empty."""
+    blocks = F.regexp_extract_all(html, F.lit(JSONLD), F.lit(1))
+    return F.transform(blocks, lambda b: F.try_parse_json(F.when(b == "", "{}").otherwise(b)))
+
+
+def _listed(v: Column) -> Column:
+    """A variant's entries if it is a list, else itself."""
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+
+
+def _authors(block: Column) -> Column:
+    """Names of the authors of a block, of the objects of a list of blocks, and of lists of authors. A name counts if it is text."""
+    author = lambda b: F.try_variant_get(b, "$.author", "variant")
+    name = lambda a: F.try_variant_get(a, "$.name", "variant")
+    people = F.flatten(F.transform(F.filter(F.transform(_listed(block), author), lambda a: a.isNotNull()), _listed))
+    names = F.filter(F.transform(people, name), lambda n: n.isNotNull() & (F.schema_of_variant(n) == "STRING"))
+    return F.transform(names, lambda n: F.try_variant_get(n, "$", "string"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, in either quotes or none; empty where it is missing."""
+    one = lambda i: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i)
+    return F.concat(one(1), one(2), one(3))
+
+
 def bylines(text: Column, html: Column) -> Column:
     """Authors by JSON-LD names, meta tags and visible "By Name", without repeats."""
-    blocks = F.regexp_extract_all(html, F.lit(JSONLD), F.lit(1))
-    names = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.array_compact(F.array(F.get_json_object(b, "$.author.name"))), F.array().cast("array<string>"))))
-    listed = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$.author[*].name"), "array<string>"), F.array().cast("array<string>"))))
-    meta = F.regexp_extract_all(html, F.lit(META_AUTHOR), F.lit(1))
+    names = F.flatten(F.transform(F.filter(jsonld(html), lambda v: v.isNotNull()), _authors))
+    tags = F.regexp_extract_all(html, F.lit(META), F.lit(0))
+    told = lambda key, value: F.transform(F.filter(tags, lambda t: _attribute(t, key) == value), lambda t: _attribute(t, "content"))
+    meta = [told(key, value) for key in META_KEYS for value in META_AUTHORS]
     seen = F.regexp_extract_all(text, F.lit(BYLINE), F.lit(1))
-    return first_by_case(F.filter(F.transform(F.concat(names, listed, meta, seen), lambda a: F.trim(a)), lambda a: a != ""))
+    return first_by_case(F.filter(F.transform(F.concat(names, *meta, seen), lambda a: F.trim(a)), lambda a: a != ""))
 
 
 def html_text(html: Column) -> Column:
@@ -56,8 +85,8 @@ def signals(df: DataFrame, raw: str) -> DataFrame:
     d = df.withColumn("__h", F.when(is_html(r), r).otherwise(F.lit(""))).withColumn("__t", F.when(is_html(r), html_text(r)).otherwise(r))
     words = F.greatest(tx.word_count(F.col("__t")), F.lit(1))
     coverage = F.least(F.size(entities(F.col("__t"))) / F.greatest(words / 300, F.lit(1e-6)) / 12, F.lit(1.0))
-    links = F.regexp_count(F.col("__h"), F.lit(r"""(?i)<a\s[^>]*href=["']https?://"""))
-    schema = F.exists(F.regexp_extract_all("__h", F.lit(JSONLD), F.lit(1)), lambda b: F.get_json_object(b, "$").isNotNull())
+    links = external_links(F.col("__h"))["count"]
+    schema = F.exists(jsonld(F.col("__h")), lambda v: v.isNotNull())
     return d.select(
         *df.columns, F.round(coverage, 3).alias("entity_coverage"),
         (F.regexp_count("__t", F.lit(CITATION)) + F.regexp_count("__t", F.lit(r"https?://\S+"))).alias("citations"),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Elements that hold no content, and paths that are no articles.
 SKIP = ("script", "style", "noscript", "template", "nav", "footer", "aside", "header")
+#: Elements of which no text shows.
+HIDDEN = ("script", "style", "template")
 NO_ARTICLE = ("/tag/", "/category/", "/cart", "/account", "/login", "/search")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Where a page may say when it was published, the most telling first.
@@ -29,6 +31,7 @@ class Page(HTMLParser):
         self.text = {k: [] for k in ("article", "main", "body", "all")}
         self.paragraphs = {k: [] for k in ("article", "main", "body", "all")}
         self.done, self.p = set(), None
+        self.every, self.any = [], None  # paragraphs wherever they are, and the one that is open, with what is skipped around it
 
     def _roots(self) -> list[str]:
         return ["all", *(k for k, d in self.depth.items() if d and k not in self.done)]
@@ -40,6 +43,11 @@ class Page(HTMLParser):
                 self.paragraphs[root].append(t)
         self.p = None
 
+    def _end_any(self) -> None:
+        if self.any is not None:
+            self.every.append(" ".join(x for x in (s.strip() for s in self.any[1]) if x))
+        self.any = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in reversed(attrs)}
         if tag == "meta":
@@ -52,9 +60,12 @@ class Page(HTMLParser):
             self.skip.append(tag)
         elif tag == "title" and self.title is None:
             self.in_title, self.title = True, ""
-        elif tag == "p" and not self.skip:
-            self._end_p()
-            self.p = (self._roots(), [])
+        elif tag == "p" and not any(x in HIDDEN for x in self.skip):
+            self._end_any()
+            self.any = (len(self.skip), [])
+            if not self.skip:
+                self._end_p()
+                self.p = (self._roots(), [])
         if tag in self.depth and not self.skip:
             self.depth[tag] += 1
 
@@ -62,12 +73,16 @@ class Page(HTMLParser):
         if tag in self.skip:
             while self.skip.pop() != tag:
                 pass
+            if self.any is not None and len(self.skip) < self.any[0]:
+                self._end_any()
         elif tag == "title":
             self.in_title = False
         elif tag == "p":
             self._end_p()
+            self._end_any()
         elif tag in self.depth and self.depth[tag]:
             self._end_p()
+            self._end_any()
             self.depth[tag] -= 1
             if not self.depth[tag]:
                 self.done.add(tag)
@@ -75,7 +90,10 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
-        elif not self.skip:
+            return
+        if self.any is not None and not any(x in HIDDEN for x in self.skip):
+            self.any[1].append(data)
+        if not self.skip:
             for root in self._roots():
                 self.text[root].append(data)
             if self.p is not None:
@@ -90,6 +108,7 @@ def read(html: str | None) -> Page:
     page.feed(html or "")
     page.close()
     page._end_p()
+    page._end_any()
     return page
 
 
@@ -112,10 +131,10 @@ def _extract(html: pd.Series) -> pd.DataFrame:
 
 
 def _extract_competitor(html: pd.Series) -> pd.DataFrame:
-    """title or og:title; all paragraphs; their words."""
+    """title or og:title; all paragraphs, those of headers, footers, menus and asides too; their words."""
     def one(h):
         p = read(h)
-        text = _clean(" ".join(p.paragraphs["all"]))
+        text = _clean(" ".join(p.every))
         return _clean(p.title or p.meta(("property", "og:title"))), text, len(text.split())
 
     return pd.DataFrame([one(h) for h in html], columns=["title", "content", "word_count"])
