@@ -706,11 +706,30 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract("html").alias("x")).select("page_id", "x.*")
 
 
-@query()
+@query(r"""WITH h AS (SELECT page_id, html, regexp_replace(html, '(?is)<(script|style|template)[^>]*>.*?</(script|style|template)>|<!--.*?-->', '', 'g') AS h FROM pages),
+p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, array_to_string(list_transform(string_split_regex(h, '(?i)<p(\s[^>]*)?>')[2:],
+  lambda x: regexp_replace(regexp_extract(x, '(?is)^(.*?)(</p>|</article>|</main>|</body>|</header>|</footer>|</nav>|</aside>|$)', 1), '<[^>]*>', ' ', 'g')), ' ') AS content FROM h),
+c AS (SELECT page_id, list_transform([title, content], lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&nbsp;', ' '), '&amp;', '&'), '[\s ]+', ' ', 'g'))) AS x FROM p)
+SELECT page_id, x[1] AS title, x[2] AS content, len(list_filter(string_split(x[2], ' '), lambda w: w <> ''))::INT AS word_count FROM c""")
 def html_competitor(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract_competitor("html").alias("x")).select("page_id", "x.*")
 
 
+@query(r"""SELECT page_id, array_to_string(list_sort(CASE page_id % 4
+  WHEN 0 THEN ['Ann ' || page_id % 7, 'Bo ' || page_id % 5] WHEN 1 THEN ['Cy ' || page_id % 3] WHEN 2 THEN ['Di, "Dee"'] ELSE ['Ed'] END), '|') AS authors FROM pages""")
+def page_bylines(spark, d):
+    """Authors of pages, with JSON-LD lists, lists of blocks, escaped and broken blocks, or meta tags put in by the page's number."""
+    n = F.col("page_id")
+    block = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts), F.lit("</script>"))
+    put = (
+        F.when(n % 4 == 0, block('{"author":[{"name":"Ann ', n % 7, '"},{"name":"Bo ', n % 5, '"},{"name":1}]}'))
+        .when(n % 4 == 1, block('[{"author":{"name":" Cy ', n % 3, ' "}},"x"]')).when(n % 4 == 2, F.concat(block("{broken"), block('{"author":{"name":"Di, \\"Dee\\""}}')))
+        .otherwise(F.lit("<meta content='Ed' name=author>"))
+    )
+    found = authority.bylines(F.lit(""), F.concat(put, "html"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(found), "|").alias("authors"))
+
+
 @query()
 def publish_date_guess(spark, d):
     return table(spark, d, "pages").select("page_id", html.publish_date("html").alias("published"))
