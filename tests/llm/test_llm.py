@@ -350,6 +350,33 @@ def test_warc_places_records_over_many_partitions(spark):
     assert got.count() == 5000 and got.filter("slot <> floor(rank / 16)").count() == 0
 
 
+def test_warc_descends_from_one_root_to_what_differs(spark):
+    pages = spark.range(10_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    index = warc.volumes(pages).persist()
+    place = lambda df: warc.placed(warc.records(df), index)
+    ours = warc.tree(place(pages), 624)
+    assert [x.count() for x in ours] == [625, 40, 3, 1]
+    assert [x.count() for x in warc.descend(ours, warc.tree(place(pages.repartition(3)), 624))] == [0, 0, 0, 0]
+    byte = pages.withColumn("html", F.when(F.col("page_id") == 7777, "7778").otherwise(F.col("html")))
+    assert [x.count() for x in warc.descend(ours, warc.tree(place(byte), 624))] == [1, 1, 1, 1]
+    changed = byte.filter("page_id <> 20").union(spark.range(40).select(F.lit(5000), F.lit("new"), F.col("id").cast("string")))
+    assert [x.count() for x in warc.descend(ours, warc.tree(place(changed), 624))] == [1, 2, 3, 3]
+    found = {(r["page_id"], r["status"]): r["n"] for r in warc.audit(index, warc.records(changed)).groupBy("page_id", "status").agg(F.sum("copies").alias("n")).collect()}
+    assert found == {(20, "missing"): 1, (7777, "corrupt"): 1, (5000, "extra"): 40}
+
+
+def test_warc_slots_hash_order_and_places(spark):
+    """The same lengths and digests under other ids or in other copies are another slot."""
+    rows = [(1, "a" * 64, 10, 1, 0), (2, "b" * 64, 12, 1, 0), (None, "c" * 64, 5, 2, 0)]
+    kinds = "page_id long, sha256 string, length long, copies long, slot long"
+    told = lambda rows: warc.tree(spark.createDataFrame(rows, kinds), 0)[0].collect()
+    first = told(rows)
+    assert told(rows[::-1]) == first and [r["bytes"] for r in first] == [32]
+    for other in ([(2, *rows[0][1:]), (1, *rows[1][1:]), rows[2]], [*rows[:2], (None, "c" * 64, 10, 1, 0)], [*rows[:2], (0, *rows[2][1:])], rows[:2]):
+        assert told(other)[0]["hash"] != first[0]["hash"]
+    assert told([]) == []
+
+
 def test_quality(spark, odd):
     rnd = random.Random(9)
     texts = {}

@@ -19,8 +19,8 @@ from weftline.plans.tables import dropped, written
 
 from .shared import short_batches
 
-#: Children of a tree's node, records of a volume, and levels of a tree above the records: slots, volumes, shelves.
-FAN, VOLUME, LEVELS = 16, 256, 3
+#: Children of a tree's node, records of a volume.
+FAN, VOLUME = 16, 256
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -45,7 +45,10 @@ def ranked(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, sha256, length in bytes and copies of the distinct WARC records of pages. Texts do not move, and copies are counted before they do."""
+    """page_id, sha256, length in bytes and copies of the distinct WARC records of pages. Texts do not move, and copies are counted before they do.
+
+    A null url or html is empty, a null page_id is kept; repeated rows are copies. An empty table gives no rows. Other columns are ignored.
+    """
     text = record(F.col(page_id).cast("long"), F.col(url), F.col(html))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), text.alias("r")).select("page_id", F.sha2("r", 256).alias("sha256"), F.octet_length("r").cast("long").alias("length"))
     return rows.groupBy("page_id", "sha256", "length").agg(F.count(F.lit(1)).alias("copies"))
@@ -70,6 +73,7 @@ def volumes(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 def placed(found: DataFrame, index: DataFrame) -> DataFrame:
     """``found`` (as ``records`` gives it) with ``slot``: the last one of the index whose first record is not behind; 0 before all.
 
+    Nulls sort first, as in the index; an empty index has slot 0 alone, and an empty ``found`` gives no rows. Repeated rows stay.
     Both are sorted together by range, and each partition carries the slot on; what begins a partition takes the last slot
     of those before.
     """
@@ -94,45 +98,56 @@ def placed(found: DataFrame, index: DataFrame) -> DataFrame:
     return at.select("page_id", "sha256", "length", "copies", F.greatest("slot", "before").alias("slot"))
 
 
-def tree(placed: DataFrame) -> list[DataFrame]:
-    """The levels of a Merkle tree above the records, slots first: node, hash, bytes.
+def tree(placed: DataFrame, last: int) -> list[DataFrame]:
+    """The levels of a Merkle tree over the records of slots 0 to ``last``, slots first and one root at the end: node, hash, bytes. Each is written.
 
-    The records of a slot are distinct and in the order of their keys, so their digests (of key, length and copies)
-    combine by exclusive or, partly before they are shuffled, however many a replica has there. Another node hashes its
-    children's hashes and numbers of bytes in order, and with these their offset ranges.
+    A slot hashes its records in order, each with its place in bytes, counted from the slot's first so that what one slot
+    lacks moves no other. An index has ``FAN`` records in a slot at most; a replica's slot of more equals none of its, so
+    only their number and bytes are hashed, and they never meet in a row. Another node hashes its children's hashes and
+    numbers of bytes in order, and with these their offset ranges. A null page_id counts as the mark of none.
     """
-    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "sha256", "length", "copies"), 256)
-    half = lambda lo: F.bit_xor(F.xxhash64(F.lit(lo), digest))
-    level = placed.groupBy(F.col("slot").alias("node")).agg(half(0).alias("x"), half(1).alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.col("length") * F.col("copies")).alias("bytes"))
-    level = level.select("node", F.sha2(F.concat_ws(":", "x", "y", "n", "bytes"), 256).alias("hash"), "bytes")
-    out = [level]
-    for _ in range(1, LEVELS):
+    size = F.col("length") * F.col("copies")
+    count = placed.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    full = count.filter(F.col("n") > FAN).select("slot", F.sha2(F.concat_ws(":", F.lit("more"), "n", "bytes"), 256).alias("hash"), "bytes")
+    some = placed.join(full.select("slot"), "slot", "left_anti").groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("page_id", "sha256", "length", "copies"))).alias("c"), F.sum(size).alias("bytes"))
+    start = lambda c, i: F.aggregate(F.slice(c, 1, i), F.lit(0).cast("long"), lambda t, x: t + x["length"] * x["copies"])
+    told = F.transform("c", lambda x, i: F.concat_ws(":", start(F.col("c"), i), x["length"], x["copies"], x["sha256"], F.coalesce(x["page_id"].cast("string"), F.lit("-"))))
+    some = some.select("slot", F.sha2(F.array_join(told, ","), 256).alias("hash"), "bytes")
+    out = [written(some.union(full).withColumnRenamed("slot", "node"), "slots")]
+    while last > 0:
+        last //= FAN
         children = F.sort_array(F.collect_list(F.struct("node", "hash", "bytes")))
-        level = level.groupBy(F.floor(F.col("node") / FAN).alias("up")).agg(children.alias("c"), F.sum("bytes").alias("bytes"))
-        told = F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["hash"], c["bytes"])), ",")
-        level = level.select(F.col("up").alias("node"), F.sha2(told, 256).alias("hash"), "bytes")
-        out.append(level)
+        up = out[-1].groupBy(F.floor(F.col("node") / FAN).alias("up")).agg(children.alias("c"), F.sum("bytes").alias("bytes"))
+        told = F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["node"], c["hash"], c["bytes"])), ",")
+        out.append(written(up.select(F.col("up").alias("node"), F.sha2(told, 256).alias("hash"), "bytes"), "nodes"))
     return out
 
 
+def descend(ours: list[DataFrame], theirs: list[DataFrame]) -> list[DataFrame]:
+    """The nodes (``up``) that differ between two trees, the roots first and slots last. A node is compared only if the one above it differs; each level is written."""
+    opened: list[DataFrame] = []
+    for own, other in reversed(list(zip(ours, theirs, strict=True))):
+        if opened:
+            own, other = (x.join(opened[-1], F.floor(x["node"] / FAN) == opened[-1]["up"], "left_semi") for x in (own, other))
+        both = own.alias("a").join(other.alias("b"), "node", "full").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
+        opened.append(written(both.select(F.col("node").alias("up")), "mismatches"))
+    return opened
+
+
 def audit(index: DataFrame, replica: DataFrame) -> DataFrame:
     """Where the records of a replica (as ``records`` gives them) differ from an index: page_id, sha256, length, copies, slot and status.
 
-    Roots are compared first. Below a node, its children are compared only if it differs, and records only in slots that
+    The one root is compared first. Below a node, its children are compared only if it differs, and records only in slots that
     differ. Status: missing, where the replica lacks a record; corrupt, where it has others under the page_id instead;
     extra, of the replica's other records. ``copies`` is how many of them. Where one page_id has several such records,
     all that are lacking are corrupt if any other is there.
     """
     ours = index.select("page_id", "sha256", "length", "copies", F.floor(F.col("rank") / FAN).alias("slot"))
     theirs = placed(replica, index)
-    open_ = None
-    for own, other in reversed(list(zip(tree(ours), tree(theirs), strict=True))):
-        if open_ is not None:
-            own, other = (x.join(open_, F.floor(x["node"] / FAN) == open_["up"], "left_semi") for x in (own, other))
-        both = own.alias("a").join(other.alias("b"), "node", "full").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
-        before, open_ = open_, written(both.select(F.col("node").alias("up")), "mismatches")
-        if before is not None:
-            dropped(before)
+    last = ours.agg(F.max("slot")).first()[0] or 0
+    trees = tree(ours, last), tree(theirs, last)
+    *above, open_ = descend(*trees)
+    dropped(*above, *trees[0], *trees[1])
     own, other = (x.join(open_, x["slot"] == open_["up"], "left_semi").alias(c) for x, c in ((ours, "a"), (theirs, "b")))
     same = F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.sha256") == F.col("b.sha256")) & (F.col("a.length") == F.col("b.length")) & (F.col("a.slot") == F.col("b.slot"))
     more = F.coalesce("a.copies", F.lit(0)) - F.coalesce("b.copies", F.lit(0))
