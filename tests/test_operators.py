@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import BadRequest, NotFound
 from weftline.functions import dates, text, urls, vectors
-from weftline.operators import analytics, authority, clustering, graph, similarity, sites, store
+from weftline.operators import analytics, authority, cells, clustering, graph, similarity, sites, store
 from weftline.sources import feeds, html
 
 
@@ -75,6 +75,34 @@ def test_links_keep_their_invariants(spark):
     assert similarity.link_suggestions(items.limit(0), 3).count() == 0
 
 
+def pairs_of(df):
+    return {(r["source_url"], r["target_url"]): r["similarity"] for r in df.collect()}
+
+
+def test_links_by_cells_against_all_pairs(spark):
+    rnd = random.Random(6)
+    middles = [[rnd.gauss(0, 1) for _ in range(12)] for _ in range(15)]
+    vectors_ = [[x + rnd.gauss(0, 0.5) for x in middles[i % 15]] for i in range(900)] + [[1.0] * 12] * 300  # a quarter are copies
+    rows = [(i, f"https://a.example/{i % 1100}" if i else "https://a.example/", v) for i, v in enumerate(vectors_)]
+    items = spark.createDataFrame(rows, "id long, url string, embedding array<double>").persist()
+    exact = pairs_of(similarity.link_suggestions(items, 4, 0.3))
+    found = pairs_of(cells.link_suggestions_indexed(items, 4, 0.3, cells=24, probes=6))
+    assert sum(k in found for k in exact) >= 0.9 * len(exact) and max(found.values()) <= 1
+    assert pairs_of(cells.link_suggestions_indexed(items, 4, 0.3, cells=5, probes=5)) == exact  # all cells are asked: nothing is missed
+    for fallback in (False, True):
+        some = items.filter("id % 7 = 0")
+        assert pairs_of(cells.link_suggestions_indexed(some, 2, 0.8, "/1.$", fallback, cells=3, probes=3)) == pairs_of(similarity.link_suggestions(some, 2, 0.8, "/1.$", fallback))
+    assert cells.link_suggestions_indexed(items.limit(0)).count() == 0
+
+
+def test_cells_in_pieces_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(cells, "FOUND", 7)
+    monkeypatch.setattr(cells, "ASKING", 11)
+    rnd = random.Random(7)
+    items = spark.createDataFrame([(i, f"https://a.example/{i}", [rnd.gauss(0, 1) for _ in range(5)]) for i in range(120)], "id long, url string, embedding array<double>")
+    assert pairs_of(cells.link_suggestions_indexed(items, 3, 0.1, cells=2, probes=2)) == pairs_of(similarity.link_suggestions(items, 3, 0.1))
+
+
 def test_kmeans_equals_a_plain_model(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(i % 3, 0.3), rnd.gauss(0, 0.3), rnd.gauss(-(i % 3), 0.3)]) for i in range(40)]

@@ -49,10 +49,10 @@ def link_suggestions(items: DataFrame, per_item: int = 5, min_sim: float = 0.45,
         out = best if out is None else out.union(best)
     if out is None:
         return items.sparkSession.createDataFrame([], "source_id long, target_id long, source_url string, target_url string, similarity double")
-    return _chosen(out, on.select("row", "id", "url"), per_item, min_sim, fallback)
+    return chosen(out, on.select("row", "id", "url"), per_item, min_sim, fallback)
 
 
-def _chosen(pairs: DataFrame, names: DataFrame, per_item: int, min_sim: float, fallback: bool) -> DataFrame:
+def chosen(pairs: DataFrame, names: DataFrame, per_item: int, min_sim: float, fallback: bool) -> DataFrame:
     """The best pairs (source, target, similarity) of each source by the rules of ``link_suggestions``, with ids and urls of their rows."""
     place = F.row_number().over(W.partitionBy("source").orderBy(F.col("similarity").desc(), "target"))
     top = pairs.withColumn("place", place).filter(F.col("place") <= per_item)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import dates, prompts, text, urls, vectors
-from weftline.operators import analytics, authority, clustering, graph, recommend, similarity, sites, store
+from weftline.operators import analytics, authority, cells, clustering, graph, recommend, similarity, sites, store
 from weftline.plans.catalog import ITEMS_SQL, LINKED_SQL, SNAPSHOTS_SQL, content_items, embedded_items, linked_items, site_rows, snapshots, table
 from weftline.plans.tables import written
 from weftline.sources import feeds, html
@@ -394,6 +394,12 @@ def internal_links_fallback(spark, d):
     return similarity.link_suggestions(linked_items(spark, d), 5, 0.45, "^/c9/", fallback=True)
 
 
+@query()
+def internal_links_indexed(spark, d):
+    """The same suggestions from the cells nearest to each item; tests measure what that misses."""
+    return cells.link_suggestions_indexed(linked_items(spark, d), 5, 0.25, "^/c9/", cells=8, probes=4)
+
+
 CHAR_SQL = """c AS (SELECT id, unnest(range(length(t))) AS i, unnest(string_split(t, '')) AS ch FROM t WHERE t <> ''),
 h AS (SELECT id, ((unicode(ch)::HUGEINT * 1315423911 + i::HUGEINT * 2654435761) % 4294967296)::BIGINT AS h FROM c),
 b AS (SELECT id, h % 64 AS b, sum((h >> 24) % 256 - 128)::DOUBLE AS v FROM h GROUP BY ALL),
