@@ -88,6 +88,8 @@ def test_links_by_cells_against_all_pairs(spark):
     exact = pairs_of(similarity.link_suggestions(items, 4, 0.3))
     found = pairs_of(cells.link_suggestions_indexed(items, 4, 0.3, cells=24, probes=6))
     assert sum(k in found for k in exact) >= 0.9 * len(exact) and max(found.values()) <= 1
+    found = pairs_of(cells.link_suggestions_indexed(items, 4, 0.3, cells=40))  # as many probes as a sample needs
+    assert sum(k in found for k in exact) >= 0.9 * len(exact)
     assert pairs_of(cells.link_suggestions_indexed(items, 4, 0.3, cells=5, probes=5)) == exact  # all cells are asked: nothing is missed
     for fallback in (False, True):
         some = items.filter("id % 7 = 0")

@@ -19,6 +19,8 @@ from weftline.plans.tables import dropped, written
 
 #: Classes of a cell on average, cells at most, rows of the sample that places a cell's centre (so their product bounds the sample), and rounds of it.
 CELL_ROWS, MOST_CELLS, SAMPLE, ROUNDS = 512, 4096, 32, 8
+#: Classes by which the number of probes is chosen, and the share of their nearest that these must reach.
+TRIED, RECALL = 256, 0.93
 #: Classes of a piece, of those that are found and of those that ask.
 FOUND, ASKING = 4096, 8192
 
@@ -59,6 +61,33 @@ def celled(classes: DataFrame, middles: np.ndarray, probes: int) -> DataFrame:
     return classes.select("cls", "u").mapInArrow(run, "cls long, u array<double>, cells array<int>")
 
 
+def probes_for(classes: DataFrame, middles: np.ndarray, most: int, recall: float = RECALL) -> int:
+    """The fewest probes that reach a share ``recall`` of the ``most`` nearest classes, by TRIED classes (of the smallest hashed cls) against all of them.
+
+    ``classes`` has cls and u. One pass finds the exact nearest of those tried, with their cells; where these stand among a class's nearest cells says what each number of probes finds.
+    """
+    tried = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(TRIED).select("cls", "u").toArrow()
+    ids, x = tried.column("cls").to_numpy(), np.asarray(tried.column("u").combine_chunks().flatten()).reshape(tried.num_rows, -1)
+    shared = classes.sparkSession.sparkContext.broadcast((ids, x, middles))
+
+    def run(batches):
+        ids, x, middles = shared.value
+        for b in batches:
+            own, y = b.column(0).to_numpy(), np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+            sims = x @ y.T
+            sims[ids[:, None] == own[None, :]] = -9
+            k = min(most, len(own))
+            at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            cell = _near(y, middles, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x)), k)), pa.array(np.take_along_axis(sims, at, 1).ravel()), pa.array(cell[at.ravel()])], names=["q", "sim", "cell"])
+
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.col("sim").desc(), "cell"))
+    best = classes.select("cls", "u").mapInArrow(run, "q long, sim double, cell long").filter("sim > -2").withColumn("place", place).filter(F.col("place") <= most).select("q", "cell").toArrow()  # TRIED * most rows
+    rank = np.argsort(_near(x, middles, len(middles)), axis=1)[best.column("q").to_numpy(), best.column("cell").to_numpy()]
+    reached = np.cumsum(np.bincount(rank, minlength=len(middles))) / max(1, len(rank))
+    return int(np.searchsorted(reached, recall)) + 1 if len(rank) else 1
+
+
 def nearest_classes(found: DataFrame, asking: DataFrame, most: int) -> DataFrame:
     """source, target and similarity (6 decimals): for each class that asks (cls, u, cells) the ``most`` best of those in its cells (cls, u, cells, first), ties to the smaller ``first``.
 
@@ -96,11 +125,12 @@ def nearest_classes(found: DataFrame, asking: DataFrame, most: int) -> DataFrame
     return pairs.withColumn("place", place).filter(F.col("place") <= most).select("source", "target", "similarity")
 
 
-def link_suggestions_indexed(items: DataFrame, per_item: int = 5, min_sim: float = 0.45, exclude: str | None = None, fallback: bool = False, probes: int = 8, cells: int | None = None) -> DataFrame:
+def link_suggestions_indexed(items: DataFrame, per_item: int = 5, min_sim: float = 0.45, exclude: str | None = None, fallback: bool = False, probes: int | None = None, cells: int | None = None) -> DataFrame:
     """As ``similarity.link_suggestions``, from the ``probes`` cells nearest to each item instead of all items.
 
-    A pair is missed only if its target's cell is not among them, or if more than 2 * per_item classes of one path are
-    nearer. Work grows with items * probes * CELL_ROWS up to MOST_CELLS cells, and with cells that grow in size beyond.
+    Without ``probes``, as few as find ``RECALL`` of what a sample of items has nearest (``probes_for``). A pair is missed only
+    if its target's cell is not among them, or if more than 2 * per_item classes of one path are nearer. Work grows with
+    items * probes * CELL_ROWS up to MOST_CELLS cells, and with cells that grow in size beyond.
     """
     t = Vectors(items, keep=("url",))
     on = t.df.withColumn("at", F.coalesce("url", F.lit(""))).withColumns({"path": urls.path(F.col("at")), "home": urls.is_homepage(F.col("at"))}).drop("at")
@@ -109,7 +139,8 @@ def link_suggestions_indexed(items: DataFrame, per_item: int = 5, min_sim: float
     n = classes.count()
     if not n:
         return items.sparkSession.createDataFrame([], "source_id long, target_id long, source_url string, target_url string, similarity double")
-    placed = written(celled(classes, centres(classes, n, cells), probes).join(classes.select("cls", "first"), "cls"), "placed")
+    middles = centres(classes, n, cells)
+    placed = written(celled(classes, middles, probes or probes_for(classes, middles, per_item)).join(classes.select("cls", "first"), "cls"), "placed")
     near = written(nearest_classes(placed.filter("first is not null"), placed, 2 * per_item), "near")
     rows = written(on.join(classes.select("u", "cls"), "u").select("row", "id", "url", "path", "home", "cls"), "rows")
     # of a class, what any source can need: of each path as many rows as are asked for, and twice as many of all

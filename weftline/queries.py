@@ -397,7 +397,7 @@ def internal_links_fallback(spark, d):
 @query()
 def internal_links_indexed(spark, d):
     """The same suggestions from the cells nearest to each item; tests measure what that misses."""
-    return cells.link_suggestions_indexed(linked_items(spark, d), 5, 0.25, "^/c9/", cells=8, probes=4)
+    return cells.link_suggestions_indexed(linked_items(spark, d), 5, 0.25, "^/c9/")
 
 
 CHAR_SQL = """c AS (SELECT id, unnest(range(length(t))) AS i, unnest(string_split(t, '')) AS ch FROM t WHERE t <> ''),
