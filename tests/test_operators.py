@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weftline.errors import BadRequest, NotFound
 from weftline.functions import dates, text, urls, vectors
 from weftline.operators import analytics, authority, cells, clustering, graph, similarity, sites, store
+from weftline.plans import tables
 from weftline.sources import feeds, html
 
 
@@ -274,6 +275,33 @@ def test_brands(spark, tmp_path):
     assert [r["key"] for r in feeds.brand_list(left, category="X").collect()] == []
 
 
+@pytest.mark.parametrize("step", ["save", "_point", "_swap", "_clean"])
+def test_a_write_that_fails_leaves_the_old_or_the_new_rows(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "store")
+    read = lambda: sorted(r["id"] for r in spark.read.parquet(tables.current(spark, path)).collect())
+    assert tables.current(spark, path) is None
+    tables.replaced(spark.range(3), path)
+    tables.replaced(spark.read.parquet(tables.current(spark, path)).filter("id > 0"), path)
+
+    def fails(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        rows = spark.range(9)
+        if step == "save":
+            rows = rows.select(F.when(F.col("id") == 8, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")).alias("id"))
+        else:
+            m.setattr(tables, step, fails)
+        with pytest.raises(Exception, match="lost"):
+            tables.replaced(rows, path)
+    assert read() == (list(range(9)) if step == "_clean" else [1, 2])
+    before = tables.current(spark, path)
+    tables.replaced(spark.range(4), path)
+    assert read() == [0, 1, 2, 3]
+    left = {x.name for x in (tmp_path / "store").iterdir() if not x.name.endswith(".crc")}
+    assert left == {"current", before.rsplit("/", 1)[1], tables.current(spark, path).rsplit("/", 1)[1]}
+
+
 def test_snapshots_are_ingested_once(spark):
     have = analytics.stub_snapshot(spark, 1, "gsc", "2024-01-15").select("site_id", "source", "captured_at", "clicks")
     new = analytics.stub_snapshot(spark, 1, "ga4", "2024-01-15", notes={"by": "me"})

@@ -52,3 +52,59 @@ def dropped(*tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that counts in a store that ``replaced`` keeps; None if nothing was written yet."""
+    try:
+        return f"{path}/{spark.read.text(f'{path}/current', wholetext=True).first()[0]}"
+    except Exception as e:  # Spark says so only when it lists the files
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def _point(spark: SparkSession, path: str, version: str) -> str:
+    """Writes a new file that names a version, beside the one that counts."""
+    context = spark.sparkContext
+    at = f"{path}/next-{version}"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(at)
+    out = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    return at
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a file in the place of another in one step."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, f"{path}/current"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(conf).getUri(), conf).rename(source, target, options)
+
+
+def _clean(spark: SparkSession, path: str, kept: tuple[str, ...]) -> None:
+    """Deletes versions, and files that name them, but for those kept."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name != "current" and name not in kept:
+            fs.delete(status.getPath(), True)
+
+
+def replaced(df: DataFrame, path: str, form: str = "parquet") -> str:
+    """Writes ``df`` as the version of a store that counts from now on, and returns its folder; ``df`` may read the store itself.
+
+    A version is a folder of its own, and one file names the one that counts; that file is replaced in one step after the
+    version is complete. So whatever fails, and whenever, readers find all of the old rows or all of the new ones. The version
+    before stays for those that read it still; older ones, and what failed writes left, are deleted. One writer at a time.
+    """
+    spark, old, version = df.sparkSession, current(df.sparkSession, path), f"v-{uuid.uuid4().hex}"
+    df.write.format(form).save(f"{path}/{version}")
+    _swap(spark, _point(spark, path, version), path)
+    _clean(spark, path, (version, old.rsplit("/", 1)[1] if old else version))
+    return f"{path}/{version}"

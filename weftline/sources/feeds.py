@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import BadRequest, NotFound
 from weftline.operators.store import patched
-from weftline.plans.tables import written
+from weftline.plans.tables import current, replaced, written
 
 
 def _sitemap_urls(xml: pd.Series) -> pd.DataFrame:
@@ -89,7 +89,7 @@ BRANDS = "key string, name string, site_url string, audience string, categories
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
     """The brands of a JSON store: {"brands": [...]}, a bare list, or lines as ``write_brands`` makes them; nothing if it is missing, empty or corrupt."""
     try:
-        text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+        text = spark.read.text(current(spark, f"{path}.versions") or path, wholetext=True).select(F.trim("value").alias("t"))
         text.isEmpty()
     except Exception as e:  # Spark says so only when it lists the files
         if "PATH_NOT_FOUND" not in str(e):
@@ -104,14 +104,8 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_brands(brands: DataFrame, path: str) -> None:
-    """A store of brands, a JSON line each, instead of what ``path`` holds. It is written beside it and then put in its place, so the new brands may be read from the old ones."""
-    spark = brands.sparkSession
-    brands.write.mode("overwrite").json(f"{path}.new")
-    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot put the new brands at {path}")
+    """A store of brands, a JSON line each, that counts instead of what ``path`` holds; its versions are beside it. The new brands may be read from the old ones, and no failure leaves part of either."""
+    replaced(brands, f"{path}.versions", "json")
 
 
 def valid_key(key: str | None) -> str:
