@@ -174,6 +174,28 @@ def test_labels_hold_no_substrings(spark):
     assert got and not any(a != b and a in b for a in got for b in got)
 
 
+def test_labels_in_steps_are_those_of_one(spark):
+    rnd = random.Random(8)
+    pool = ["al", "alpha", "alphabet", "be", "beta", "betas", "ga", "gamma", "de", "delta", "ep", "eps"]
+    docs = spark.createDataFrame([(i % 3, i, " ".join(rnd.choices(pool, k=12))) for i in range(60)], "cluster_id int, id long, text string")
+    told = lambda step: {r["cluster_id"]: r["labels"] for r in clustering.labels(clustering.tfidf(docs, max_ratio=1.0), step=step).collect()}
+    assert told(1) == told(3) == told(1000) and all(len(x) == 6 for x in told(1000).values()) and set(told(1)) == {0, 1, 2}
+    assert clustering.labels(clustering.tfidf(docs.limit(0))).count() == 0
+
+
+def test_steps_over_a_graph_move_no_edges(spark):
+    nodes = spark.range(50)
+    edges = spark.range(400).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 43).alias("dst")).distinct()
+    held = graph._held(edges, "src")
+    step = held.join(nodes.withColumn("r", F.lit(1.0)), F.col("src") == F.col("id")).hint("merge").groupBy("dst").agg(F.sum("r"))
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("InMemoryTableScan")
+    assert "Exchange" not in plan[plan.rindex("Join", 0, scan) : scan]
+    far = {r["id"]: r["pagerank"] for r in graph.pagerank(nodes, edges, 60).collect()}
+    near = {r["id"]: r["pagerank"] for r in graph.pagerank(nodes, edges, 60, tolerance=1e-7).collect()}
+    assert max(abs(far[i] - near[i]) for i in far) <= 2e-6
+
+
 def test_graph_fixture(spark):
     nodes = spark.createDataFrame([(i,) for i in range(6)], "id long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (1, 3), (2, 4), (5, 1), (3, 4)], "src long, dst long")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftline.functions import text, vectors
-from weftline.plans.tables import numbered
+from weftline.plans.tables import dropped, numbered, written
 
 
 def status(items: DataFrame) -> DataFrame:
@@ -333,22 +333,28 @@ def top_terms(scored: DataFrame, top: int = 10) -> DataFrame:
 def labels(scored: DataFrame, top: int = 6, step: int = 256) -> DataFrame:
     """Each cluster's labels: terms by score, skipping one that holds or is held by a term already chosen.
 
-    Terms are taken in ranked stretches of ``step``; a cluster that has not enough labels goes on to the next stretch, so
-    no term is cut off and no cluster's whole vocabulary meets in a row.
+    The best ``step`` terms of a cluster are found by partial limits, each task sending no more than that; only a cluster
+    that has not enough labels by then goes on with those behind. So no term is cut off, and no task ranks a cluster's vocabulary.
     """
-    ranked = scored.withColumn("place", F.row_number().over(W.partitionBy("cluster_id").orderBy(F.col("score").desc(), "first"))).select("cluster_id", "place", "term").persist()
-    state = ranked.select("cluster_id").distinct().withColumn("labels", F.array().cast("array<string>"))
-    lo, last = 0, ranked.agg(F.max("place")).first()[0] or 0
-    while lo < last:
-        some = ranked.filter((F.col("place") > lo) & (F.col("place") <= lo + step)).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("t"))
-        take = lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: y.contains(x["term"]) | x["term"].contains(y)), F.array_append(acc, x["term"])).otherwise(acc)
-        rows = state.join(some, "cluster_id", "left").select("cluster_id", F.aggregate(F.coalesce("t", F.array().cast("array<struct<place:int,term:string>>")), F.col("labels"), take).alias("labels")).collect()  # a row per cluster
-        state = ranked.sparkSession.createDataFrame(rows, "cluster_id int, labels array<string>")
-        if all(len(r["labels"]) >= top for r in rows):
-            break
-        lo += step
-    ranked.unpersist()
-    return state
+    spark = scored.sparkSession
+    terms = written(scored.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.col("score").cast("double").alias("score"), "first", "term"), "terms")
+    kind = terms.schema["first"].dataType.simpleString()
+    done, open_ = [], terms.select("cluster_id").distinct().select("cluster_id", F.array().cast("array<string>").alias("labels"), F.lit(None).cast("double").alias("s"), F.lit(None).cast(kind).alias("f")).collect()  # a row per cluster
+    place = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.col("score").desc(), "first"))
+    take = lambda acc, x: F.when((F.size(acc) < top) & ~F.exists(acc, lambda y: y.contains(x["term"]) | x["term"].contains(y)), F.array_append(acc, x["term"])).otherwise(acc)
+    while open_:
+        state = F.broadcast(spark.createDataFrame(open_, f"cluster_id int, labels array<string>, s double, f {kind}"))
+        behind = terms.join(state.select("cluster_id", "s", "f"), "cluster_id").filter(F.col("s").isNull() | (F.col("score") < F.col("s")) | (F.col("score") == F.col("s")) & (F.col("first") > F.col("f")))
+        some = behind.select("cluster_id", "score", "first", "term").withColumn("place", place).filter(F.col("place") <= step)
+        some = some.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("place", "term", "score", "first"))).alias("t"))
+        rows = state.join(some, "cluster_id").select("cluster_id", F.aggregate("t", F.col("labels"), take).alias("labels"), F.element_at("t", -1)["score"].alias("s"), F.element_at("t", -1)["first"].alias("f"), F.size("t").alias("n")).collect()
+        more = [r for r in rows if len(r["labels"]) < top and r["n"] == step]
+        going = {r["cluster_id"] for r in more}
+        found = {r["cluster_id"]: r["labels"] for r in rows}
+        done += [(r["cluster_id"], found.get(r["cluster_id"], r["labels"])) for r in open_ if r["cluster_id"] not in going]
+        open_ = [Row(**{c: r[c] for c in ("cluster_id", "labels", "s", "f")}) for r in more]
+    dropped(terms)
+    return spark.createDataFrame(done, "cluster_id int, labels array<string>")
 
 
 def corpus_terms(docs: DataFrame, top: int = 5, features: int = 5000, stops: list[str] | None = None) -> DataFrame:
@@ -359,7 +365,7 @@ def corpus_terms(docs: DataFrame, top: int = 5, features: int = 5000, stops: lis
     """
     d = docs.filter(F.col("cluster_id").isNotNull())
     n = d.count()
-    per = d.select("cluster_id", "id", F.explode(text.terms(F.col("text"), stops)).alias("term")).groupBy("cluster_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    per = written(d.select("cluster_id", "id", F.explode(text.terms(F.col("text"), stops)).alias("term")).groupBy("cluster_id", "id", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")  # texts are read once
     known = per.groupBy("term").agg(F.sum("tf").alias("all"), F.count(F.lit(1)).alias("df")).orderBy(F.col("all").desc(), "term").limit(features)
     idf = F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1
     w = per.join(known, "term").select("cluster_id", "id", "term", (F.col("tf") * idf).alias("w"))

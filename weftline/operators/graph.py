@@ -24,30 +24,43 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").cast("long").alias("degree_in"), F.sum("o").cast("long").alias("degree_out"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
-    """id, pagerank after ``steps`` steps from an even start; what dangling nodes hold is spread evenly. Each step is a table, so plans stay as they are."""
+def _held(edges: DataFrame, by: str) -> DataFrame:
+    """Edges, written and then held in memory by one of their ends: steps that join on it move no edge, and an executor's loss costs a read."""
+    return written(edges, "links").repartition(by).persist()
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """id, pagerank after ``steps`` steps from an even start; what dangling nodes hold is spread evenly.
+
+    With ``tolerance`` it ends once a step changes all ranks by less in sum. Edges are dealt out by their source once, so a
+    step shuffles ranks only. Each step is a table, so plans stay as they are.
+    """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = written(edges.join(out, "src"), "links")
+    links = _held(edges.join(out, "src"), "src")
     base = written(nodes.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", F.col("out").isNull().alias("loose")), "nodes")
     n = base.count()
     rank = written(base.select("id", "loose", F.lit(1.0 / max(n, 1)).alias("r")), "rank")
     for _ in range(steps):
         sent = links.join(rank.select("id", "r"), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
         loose = rank.filter("loose").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("held"))  # one row
-        new = base.join(sent, F.col("id") == F.col("dst"), "left").join(F.broadcast(loose))
-        new = written(new.select("id", "loose", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("held") / n)).alias("r")), "rank")
+        new = rank.select("id", "loose", F.col("r").alias("was")).join(sent, F.col("id") == F.col("dst"), "left").join(F.broadcast(loose))
+        new = written(new.select("id", "loose", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("held") / n)).alias("r"), "was"), "rank")
         dropped(rank)
         rank = new
-    dropped(links, base)
+        if tolerance is not None and (rank.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0) < tolerance:
+            break
+    links.unpersist()
+    dropped(base)
     return rank.select("id", F.round("r", 6).alias("pagerank"))
 
 
 def hits(nodes: DataFrame, edges: DataFrame, steps: int = 5) -> DataFrame:
-    """id, hub, authority after ``steps`` steps, each at length one. Each half of a step is a table."""
-    ids, links = written(nodes.select("id"), "nodes"), written(edges.select("src", "dst"), "links")
+    """id, hub, authority after ``steps`` steps, each at length one. Edges are dealt out once by either end, and each half of a step is a table."""
+    ids = written(nodes.select("id"), "nodes")
+    links = {by: _held(edges.select("src", "dst"), by) for by in ("src", "dst")}
 
     def half(score: DataFrame, given: str, by: str, to: str, made: str) -> DataFrame:
-        got = links.join(score, F.col(by) == F.col("id")).groupBy(to).agg(F.sum(given).alias("s"))
+        got = links[by].join(score, F.col(by) == F.col("id")).groupBy(to).agg(F.sum(given).alias("s"))
         raw = written(ids.join(got, F.col("id") == F.col(to), "left").select("id", F.coalesce("s", F.lit(0.0)).alias("s")), "raw")
         size = raw.agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size"))  # one row
         out = written(raw.join(F.broadcast(size)).select("id", F.when(F.col("size") > 0, F.col("s") / F.col("size")).otherwise(F.col("s")).alias(made)), made)
@@ -60,6 +73,8 @@ def hits(nodes: DataFrame, edges: DataFrame, steps: int = 5) -> DataFrame:
         auth = half(hub, "h", "src", "dst", "a")
         hub = half(auth, "a", "dst", "src", "h")
         dropped(*before)
+    for held in links.values():
+        held.unpersist()
     return hub.join(auth, "id").select("id", F.round("h", 6).alias("hub"), F.round("a", 6).alias("authority"))
 
 
