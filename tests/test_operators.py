@@ -279,6 +279,18 @@ def test_serialised_items(spark):
     assert row["schema_types"] == [] and row["lastmod"] is None and row["word_count"] is None
 
 
+def test_sitemaps_are_walked_in_order(spark):
+    """Level by level, in the order of names; cycles, repeats and malformed files end or are left out."""
+    urlset = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    rows = [("i", index("z", "a", "i", "bad", "gone")), ("z", urlset("p9", "deep.xml", "p1")), ("a", urlset("p1", "p0")), ("deep.xml", index("a", "last")), ("last", urlset("p5")), ("bad", "<urlset><url>"), ("j", urlset("only"))]
+    maps = spark.createDataFrame(rows, "url string, xml string")
+    entries = spark.createDataFrame([("s", "i"), ("t", "j"), ("u", "none"), ("v", "a")], "site string, url string")
+    got = [(r["site"], r["place"], r["page_url"]) for r in feeds.walk_sitemaps(maps, entries).orderBy("site", "place").collect()]
+    assert got == [("s", 1, "p9"), ("s", 2, "p1"), ("s", 3, "p0"), ("s", 4, "p5"), ("t", 1, "only"), ("v", 1, "p1"), ("v", 2, "p0")]
+    assert {r["page_url"] for r in feeds.walk_sitemaps(maps, "i", 3).collect()} == {"p9", "p1", "p0"}
+
+
 def test_brands(spark, tmp_path):
     path = str(tmp_path / "brands")
     none = feeds.read_brands(spark, path)

@@ -136,11 +136,11 @@ def site_holdings(spark, d):
     return sites.holdings(site_rows(spark, d), content_items(spark, d), snapshots(spark, d))
 
 
-@query(f"WITH {ITEMS_SQL} SELECT i.id FROM items i WHERE domain = 'src1' AND id % 2 = 0")
+@query(f"WITH {ITEMS_SQL} SELECT i.id FROM items i WHERE domain = (SELECT min(domain) FROM items) AND id % 2 = 0")
 def site_resolved(spark, d):
     """Items of a site that is asked for by its domain and then by its id."""
     rows = site_rows(spark, d)
-    by_id = sites.resolve(rows, site_id=sites.resolve(rows, domain="src1"))
+    by_id = sites.resolve(rows, site_id=sites.resolve(rows, domain=rows.agg(F.min("domain")).first()[0]))
     return content_items(spark, d).join(rows.filter(F.col("id") == by_id).select("domain"), "domain").filter("id % 2 = 0").select("id")
 
 
@@ -195,10 +195,15 @@ def default_ranges(spark, d):
     return e.select(F.col("event_id").alias("id"), first.alias("period_start"), last.alias("period_end"))
 
 
-@query(f"SELECT t AS token, CASE t WHEN 'today' THEN DATE '{AS_OF}' WHEN 'yesterday' THEN DATE '{AS_OF}' - 1 WHEN '7daysAgo' THEN DATE '{AS_OF}' - 7 WHEN '2023-12-31' THEN DATE '2023-12-31' END AS day FROM (VALUES ('today'), ('yesterday'), ('7daysAgo'), ('2023-12-31'), ('soon')) v(t)")
+TOKEN = "CASE event_id % 5 WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' WHEN 2 THEN (event_id % 30) || 'daysAgo' WHEN 3 THEN strftime(ts, '%Y-%m-%d') ELSE event_type END"
+
+
+@query(f"SELECT event_id AS id, {TOKEN} AS token, CASE event_id % 5 WHEN 0 THEN DATE '{AS_OF}' WHEN 1 THEN DATE '{AS_OF}' - 1 WHEN 2 THEN DATE '{AS_OF}' - (event_id % 30)::INT WHEN 3 THEN ts::DATE END AS day FROM events")
 def period_tokens(spark, d):
-    rows = spark.createDataFrame([(t,) for t in ("today", "yesterday", "7daysAgo", "2023-12-31", "soon")], "token string")
-    return rows.select("token", dates.period(F.col("token"), F.lit(AS_OF).cast("timestamp")).alias("day"))
+    """Days by tokens of each event: words, numbers of days, dates, and what is none."""
+    n = F.col("event_id")
+    token = F.when(n % 5 == 0, "today").when(n % 5 == 1, "yesterday").when(n % 5 == 2, F.concat((n % 30).cast("string"), F.lit("daysAgo"))).when(n % 5 == 3, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select(n.alias("id"), token.alias("token"), dates.period(token, F.lit(AS_OF).cast("timestamp")).alias("day"))
 
 
 # --- texts
@@ -419,11 +424,12 @@ def seeded_normal_embedding(spark, d):
     return table(spark, d, "pages").select("page_id", vectors.seeded_normal()("url").alias("embedding"))
 
 
-@query(f"WITH t AS (SELECT 1 AS id, 'probe' AS t), {CHAR_SQL} SELECT 64::INT AS dim, round(sqrt(sum(pow(round(v / n, 6), 2))), 6) AS norm FROM b JOIN n USING (id)")
+@query(f"WITH t AS (SELECT page_id AS id, url AS t FROM pages), {CHAR_SQL} SELECT dim, norm, count(*) AS pages FROM (SELECT id, 64::INT AS dim, round(sqrt(sum(pow(round(v / n, 6), 2))), 4) AS norm FROM b JOIN n USING (id) GROUP BY id) GROUP BY ALL")
 def embedder_info(spark, d):
-    embed, dim = vectors.embedder("char64")
-    e = spark.range(1).select(embed(F.lit("probe")).alias("e")).filter(F.size("e") == dim)
-    return e.select(F.size("e").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("e"), F.col("e"))), 6).alias("norm"))
+    """Dimensions and lengths of what the named embedder makes of pages' urls."""
+    embed, _ = vectors.embedder("char64")
+    e = table(spark, d, "pages").select(embed(F.col("url")).alias("e"))
+    return e.groupBy(F.size("e").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("e"), F.col("e"))), 4).alias("norm")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 FIND_SQL = "q AS (SELECT b, round(v / n, 6) AS x FROM b JOIN n USING (id) WHERE id = -1), v AS (SELECT id, b, round(CASE WHEN n > 0 THEN v / n ELSE v END, 6) AS x FROM b JOIN n USING (id) WHERE id >= 0), s AS (SELECT v.id, sum(v.x * coalesce(q.x, 0)) / sqrt(sum(v.x * v.x)) / (SELECT sqrt(sum(x * x)) FROM q) AS score FROM v LEFT JOIN q USING (b) GROUP BY v.id)"
@@ -686,18 +692,19 @@ def authority_page_signals(spark, d):
     return authority.signals(table(spark, d, "pages"), "html").drop("html", "url")
 
 
-@query("SELECT url, 0.0::DOUBLE AS entity_coverage, 1::INT AS citations, 0 AS external_links, 0 AS schema_present FROM pages")
+@query("SELECT url, 1.0::DOUBLE AS entity_coverage, 1::INT AS citations, 0 AS external_links, 0 AS schema_present FROM pages")
 def authority_batch(spark, d):
     """Signals of a stand-in page per url: its url is a citation."""
-    return authority.score_batch(table(spark, d, "pages")).select("url", F.lit(0.0).alias("entity_coverage"), "citations", "external_links", "schema_present")
+    return authority.score_batch(table(spark, d, "pages")).select("url", "entity_coverage", "citations", "external_links", "schema_present")
 
 
-@query("SELECT page_id, (3 - (page_id % 2))::INT AS links, CASE WHEN page_id % 2 = 0 THEN 'a.example,b.example' ELSE 'b.example' END AS domains FROM pages")
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS own, 'h' || page_id % 7 || '.example' AS far FROM pages)
+SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 2 ELSE 3 END::INT AS links, array_to_string(list_sort(CASE WHEN page_id % 2 = 1 THEN [far] ELSE [far, own] END), ',') AS domains FROM p""")
 def external_links(spark, d):
-    """Absolute links of pages and their domains, without those to the page's own host if it is given."""
-    base = F.when(F.col("page_id") % 2 == 1, "https://a.example/x")
-    own = F.lit('<p><a href="https://a.example/1">x</a> <a class=z href="http://b.example">y</a> <a href="/rel">z</a><a href="https://B.example/2">y</a>')
-    found = authority.external_links(own, base)
+    """Absolute links of pages and their domains, without those to the page's own host if it is given. Pages get a link to themselves, two to another host and one that is relative."""
+    n = F.col("page_id")
+    put = F.format_string('<a class=z href="%s">me</a><a href=" https://h%d.example/1">x</a><a id="i" href="http://H%d.example?q">y</a><a href="/rel">z</a>', "url", n % 7, n % 7)
+    found = authority.external_links(F.concat("html", put), F.when(n % 2 == 1, F.col("url")))
     return table(spark, d, "pages").select("page_id", found.alias("x")).select("page_id", F.col("x.count").alias("links"), F.array_join("x.domains", ",").alias("domains"))
 
 
@@ -782,43 +789,65 @@ def sitemap_sample(spark, d):
 
 # --- feeds, inventories, chunks
 
-SITEMAPS = [
-    ("https://x.example/index.xml", "<sitemapindex><sitemap><loc>https://x.example/a.xml</loc></sitemap><sitemap><loc>https://x.example/b.xml</loc></sitemap></sitemapindex>"),
-    ("https://x.example/a.xml", '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://x.example/1 </loc></url><url><loc>https://x.example/2</loc></url></urlset>'),
-    ("https://x.example/b.xml", "<urlset><url><loc>https://x.example/2</loc></url><url><loc>https://x.example/3</loc></url></urlset>"),
-    ("https://x.example/bad.xml", "<urlset><url>"),
-]
+HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))"
+
 
+def _sitemaps(spark, d):
+    """Sitemaps of the pages' hosts as (site, url, xml): files of up to 50 pages by page_id, every second with a namespace, an index over them that names one twice, and a malformed file."""
+    p = table(spark, d, "pages").select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("site"), "page_id", "url", F.floor(F.col("page_id") / 50).alias("k"))
+    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    files = p.groupBy("site", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", loc.alias("x")))), lambda x: x["x"]), "").alias("x"))
+    space = F.when(F.col("k") % 2 == 0, ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"').otherwise("")
+    at = F.concat(F.lit("https://"), "site", F.lit("/map"), "k", F.lit(".xml"))
+    files = files.select("site", "k", at.alias("url"), F.concat(F.lit("<urlset"), space, F.lit(">"), "x", F.lit("</urlset>")).alias("xml"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("k", "url"))), lambda x: F.concat(F.lit("<sitemap><loc>"), x["url"], F.lit("</loc></sitemap>")))
+    index = files.groupBy("site").agg(named.alias("n")).select("site", F.concat(F.lit("https://"), "site", F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), F.array_join(F.concat("n", F.slice("n", 1, 1)), ""), F.lit("<sitemap><loc>bad.xml</loc></sitemap></sitemapindex>")).alias("xml"))
+    return files.drop("k").union(index).union(spark.createDataFrame([("", "bad.xml", "<urlset><url>")], "site string, url string, xml string"))
 
-@query('SELECT * FROM (VALUES (0, 0, $$https://x.example/1$$), (0, 1, $$https://x.example/2$$), (1, 1, $$https://x.example/3$$)) v("at", pos, page_url)')
+
+@query(f"WITH h AS (SELECT {HOST} AS site, page_id, url FROM pages), f AS (SELECT *, page_id // 50 AS k FROM h WHERE site = (SELECT min(site) FROM h)) SELECT dense_rank() OVER (ORDER BY k) - 1 AS \"at\", row_number() OVER (PARTITION BY k ORDER BY page_id) - 1 AS pos, url AS page_url FROM f")
 def sitemap_urls(spark, d):
-    return feeds.page_urls(spark.createDataFrame(SITEMAPS, "url string, xml string"), SITEMAPS[0][0])
+    """Pages of the sitemaps of the first host."""
+    maps = _sitemaps(spark, d)
+    return feeds.page_urls(maps, maps.filter("site <> ''").agg(F.min(F.struct("site", F.concat(F.lit("https://"), "site", F.lit("/index.xml")).alias("url"))).alias("m")).first()["m"]["url"])
+
+
+@query(f"SELECT site, place, page_url FROM (SELECT site, url AS page_url, row_number() OVER (PARTITION BY site ORDER BY page_id // 50, page_id) AS place FROM (SELECT {HOST} AS site, * FROM pages)) WHERE place <= 5")
+def sitemaps_walked(spark, d):
+    """The first five pages of each host, in the order of a walk through its sitemaps."""
+    maps = written(_sitemaps(spark, d), "maps")
+    return feeds.walk_sitemaps(maps, maps.filter("url like '%/index.xml'").select("site", "url"), 5)
 
 
-@query("SELECT 'x.example' AS domain, * FROM (VALUES (0, 'https://x.example/s1.xml'), (1, 'https://x.example/sitemap.xml'), (2, 'https://x.example/sitemap_index.xml')) v(place, sitemap)")
+@query(f"SELECT h AS domain, unnest([0, 1, 2]) AS place, unnest(['https://' || h || '/s' || n || '.xml', 'https://' || h || '/sitemap.xml', 'https://' || h || '/sitemap_index.xml']) AS sitemap FROM (SELECT {HOST} AS h, count(*) AS n FROM pages GROUP BY ALL)")
 def robots_sitemaps(spark, d):
-    body = "# all\nUser-agent: *\nSitemap: https://x.example/s1.xml\n  sitemap: https://x.example/sitemap.xml\nSITEMAP:\n"
-    return feeds.robots_sitemaps(spark.createDataFrame([("x.example", body)], "domain string, body string"))
+    """Sitemaps by robots files of the pages' hosts."""
+    hosts = table(spark, d, "pages").groupBy(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    body = F.format_string("# all\nUser-agent: *\nSitemap: https://%s/s%d.xml\r\n  sitemap: https://%s/sitemap.xml\nSITEMAP:\n", "domain", "n", "domain")
+    return feeds.robots_sitemaps(hosts.select("domain", body.alias("body")))
 
 
-@query("SELECT * FROM (VALUES ('google', 'One', 'https://a.example', 's'), ('google', 'Two', 'https://b.example', NULL), ('bing', 'Three', 'https://c.example', 't')) v(source, title, url, snippet)")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'google' ELSE 'bing' END AS source, 'Page ' || page_id || x AS title, url || x AS url, CASE WHEN page_id % 5 > 0 THEN 'no. ' || page_id END AS snippet FROM pages, (VALUES (''), ('#top')) v(x) WHERE page_id % 7 > 0")
 def serp_normalised(spark, d):
-    rows = spark.createDataFrame([
-        ("google", '{"items":[{"title":"One","link":"https://a.example","snippet":"s"},{"title":"Two","link":"https://b.example"}]}'),
-        ("bing", '{"webPages":{"value":[{"name":"Three","url":"https://c.example","snippet":"t"}]}}'), ("bing", "{}"),
-    ], "engine string, raw string")
-    both = rows.select(F.explode(F.when(F.col("engine") == "google", feeds.serp_items(F.col("raw"), "google", 99)).otherwise(feeds.serp_items(F.col("raw"), "bing", 0))).alias("x"))
-    return both.select("x.source", "x.title", "x.url", "x.snippet")
+    """Search results that name pages, as either engine's JSON; every seventh answer has none."""
+    item = lambda title, url, x: F.struct(F.format_string("Page %d" + x, "page_id").alias(title), F.concat("url", F.lit(x)).alias(url), F.when(F.col("page_id") % 5 > 0, F.format_string("no. %d", "page_id")).alias("snippet"))
+    google = F.to_json(F.struct(F.array(item("title", "link", ""), item("title", "link", "#top")).alias("items")))
+    bing = F.to_json(F.struct(F.struct(F.array(item("name", "url", ""), item("name", "url", "#top")).alias("value")).alias("webPages")))
+    first = F.col("page_id") % 2 == 0
+    rows = table(spark, d, "pages").select("page_id", first.alias("g"), F.when(F.col("page_id") % 7 == 0, "{}").when(first, google).otherwise(bing).alias("raw"))
+    return rows.select("page_id", F.explode(F.when(F.col("g"), feeds.serp_items(F.col("raw"), "google", 99)).otherwise(feeds.serp_items(F.col("raw"), "bing", 50))).alias("x")).select("page_id", "x.source", "x.title", "x.url", "x.snippet")
 
 
-@query("SELECT i AS id, 'https://demo.example/article-' || i AS url, 'Article ' || i AS title, (150 + i % 75)::INT AS word_count, round(0.85 + (i % 17) * 0.009, 6)::DOUBLE AS freshness FROM range(1, 201) t(i)")
+@query("SELECT domain, i AS id, 'https://' || domain || '/article-' || i AS url, 'Article ' || i AS title, (150 + i % 75)::INT AS word_count, round(0.85 + (i % 17) * 0.009, 6)::DOUBLE AS freshness FROM (SELECT DISTINCT source || '.example' AS domain FROM documents), range(1, 201) t(i)")
 def inventory_generated(spark, d):
-    return feeds.inventory(spark, "demo.example", 200)
+    """Generated articles of each of the documents' sites."""
+    return feeds.inventories(table(spark, d, "documents").select(F.concat("source", F.lit(".example")).alias("domain")).distinct(), 200)
 
 
-@query("SELECT i AS id, 'https://demo.example/result-' || i AS url, 'Growth Loops ' || i AS title, (200 + i % 90)::INT AS word_count, round(0.90 + (i % 13) * 0.007, 6)::DOUBLE AS freshness FROM range(1, 51) t(i)")
+@query("SELECT domain, i AS id, 'https://' || domain || '/result-' || i AS url, 'Growth Loops ' || i AS title, (200 + i % 90)::INT AS word_count, round(0.90 + (i % 13) * 0.007, 6)::DOUBLE AS freshness FROM (SELECT DISTINCT source || '.example' AS domain FROM documents), range(1, 51) t(i)")
 def inventory_search(spark, d):
-    return feeds.inventory(spark, "demo.example", 50, "growth loops")
+    """Generated results of a search on each of the documents' sites."""
+    return feeds.inventories(table(spark, d, "documents").select(F.concat("source", F.lit(".example")).alias("domain")).distinct(), 50, "growth loops")
 
 
 @query(f"""WITH {ITEMS_SQL}, w AS (SELECT id, list_filter(regexp_split_to_array(coalesce(content, ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM items),

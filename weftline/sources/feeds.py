@@ -5,34 +5,25 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import re
-import xml.etree.ElementTree as ET
 import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from weftline.errors import BadRequest, NotFound
+from weftline.functions.vectors import let
 from weftline.operators.store import patched
 from weftline.plans.tables import current, replaced, written
 
 
-def _sitemap_urls(xml: pd.Series) -> pd.DataFrame:
-    """Page and child sitemap URLs of a sitemap, with or without a namespace; of malformed XML, none."""
-    def one(text):
-        try:
-            root = ET.fromstring(text or "")
-        except (ET.ParseError, ValueError):
-            return [], []
-        ns = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
-        locs = lambda kind: [e.text.strip() for e in root.iterfind(f".//{ns}{kind}/{ns}loc") if e.text]
-        return locs("url"), locs("sitemap")
-
-    return pd.DataFrame([one(x) for x in xml], columns=["urls", "sitemaps"])
-
-
 def sitemap_urls(xml: Column | str) -> Column:
-    return F.pandas_udf(_sitemap_urls, "urls array<string>, sitemaps array<string>")(xml)
+    """Page and child sitemap URLs of a sitemap, with or without a namespace; of malformed XML, none."""
+    one = "array<struct<loc:string>>"
+    read = F.from_xml(xml, f"url {one}, sitemap {one}", {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
+    locs = lambda found: F.filter(F.transform(F.coalesce(found, F.array()), lambda x: F.trim(x["loc"])), lambda x: x.isNotNull() & (x != ""))
+    return let(read, lambda s: F.struct(locs(s["url"]).alias("urls"), locs(s["sitemap"]).alias("sitemaps")))
 
 
 def page_urls(sitemaps: DataFrame, entry: str, children: int = 50) -> DataFrame:
@@ -45,17 +36,34 @@ def page_urls(sitemaps: DataFrame, entry: str, children: int = 50) -> DataFrame:
     return nested.union(own).groupBy("page_url").agg(F.min(F.struct("at", "pos")).alias("first")).select("first.at", "first.pos", "page_url")
 
 
-def walk_sitemaps(sitemaps: DataFrame, entry: str, limit: int | None = None) -> DataFrame:
-    """page_url of all sitemaps reachable from the entry, level by level until nothing new is found; cycles end."""
-    read = written(sitemaps.select("url", sitemap_urls("xml").alias("s")).select("url", "s.urls", "s.sitemaps"), "sitemaps")
-    seen = front = read.sparkSession.createDataFrame([(entry,)], "url string")
-    while True:
-        front = written(read.join(front, "url", "left_semi").select(F.explode("sitemaps").alias("url")).distinct().join(seen, "url", "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    pages = read.join(seen, "url", "left_semi").select(F.explode("urls").alias("page_url")).distinct()
-    return pages.orderBy("page_url").limit(limit) if limit else pages
+def walk_sitemaps(sitemaps: DataFrame, entry: str | DataFrame, limit: int | None = None) -> DataFrame:
+    """page_url of all sitemaps of (url, xml) reachable from the entry; cycles end.
+
+    Sitemaps are read level by level, in the order in which they are named, each once; any URL that ends in .xml is one. A
+    ``limit`` keeps the pages that are found first. ``entry`` may be a table (site, url): then each site is walked by
+    itself, ``limit`` counts for each, and site comes along, with ``place`` from 1 on in the order of the walk.
+    """
+    spark = sitemaps.sparkSession
+    read = sitemaps.select("url", sitemap_urls("xml").alias("s")).select("url", F.posexplode(F.concat("s.urls", "s.sitemaps")).alias("pos", "loc"), (F.size("s.urls")).alias("own"))
+    read = written(read.select("url", "pos", "loc", ((F.col("pos") >= F.col("own")) | F.col("loc").endswith(".xml")).alias("nested")), "sitemaps")
+    entries = entry if isinstance(entry, DataFrame) else spark.createDataFrame([(None, entry)], "site string, url string")
+    front = written(entries.select("site", "url", F.array().cast("array<int>").alias("key")).dropDuplicates(["site", "url"]), "front")
+    seen, levels = front.select("site", "url"), [front]
+    while not front.isEmpty():
+        kids = front.join(read.filter("nested"), "url").groupBy("site", F.col("loc").alias("url")).agg(F.min(F.concat("key", F.array("pos"))).alias("key"))
+        fresh = kids.alias("k").join(seen.alias("s"), F.col("k.site").eqNullSafe(F.col("s.site")) & (F.col("k.url") == F.col("s.url")), "left_anti")
+        front = written(fresh.select("site", "url", "key"), "front")
+        levels.append(front)
+        seen = seen.union(front.select("site", "url"))
+    walked = levels[0]
+    for level in levels[1:]:
+        walked = walked.union(level)
+    at = F.struct(F.size("key").alias("level"), F.col("key"), F.col("pos"))
+    pages = walked.join(read.filter("not nested"), "url").groupBy("site", F.col("loc").alias("page_url")).agg(F.min(at).alias("at"))
+    if limit or isinstance(entry, DataFrame):
+        pages = pages.withColumn("place", F.row_number().over(W.partitionBy("site").orderBy("at", "page_url")))
+        pages = pages.filter(F.col("place") <= limit) if limit else pages
+    return pages.select("site", "place", "page_url") if isinstance(entry, DataFrame) else pages.select("page_url")
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
@@ -145,13 +153,20 @@ def brand_list(brands: DataFrame, q: str | None = None, category: str | None = N
     return df.orderBy(F.lower("key"), "key")
 
 
+def inventories(domains: DataFrame, limit: int, q: str | None = None) -> DataFrame:
+    """Generated rows for each domain: domain, id, url, title, word_count, freshness. ``limit`` is clamped to 0..500."""
+    n = clamped(limit, 0, 500)
+    ids = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+    rows = domains.select("domain", F.explode(ids).cast("long").alias("id"))
+    i, kind = F.col("id"), "article" if q is None else "result"
+    words, fresh = (150 + i % 75, 0.85 + (i % 17) * 0.009) if q is None else (200 + i % 90, 0.90 + (i % 13) * 0.007)
+    title = F.lit("Article") if q is None else F.initcap(F.lit(q))
+    return rows.select("domain", "id", F.concat(F.lit("https://"), "domain", F.lit(f"/{kind}-"), i).alias("url"), F.concat(title, F.lit(" "), i).alias("title"), words.cast("int").alias("word_count"), F.round(fresh, 6).alias("freshness"))
+
+
 def inventory(spark: SparkSession, domain: str, limit: int, q: str | None = None) -> DataFrame:
-    """Generated rows: id, url, title, word_count, freshness. ``limit`` is clamped to 0..500."""
-    i = F.col("id")
-    rows = spark.range(1, max(0, min(limit, 500)) + 1)
-    if q is None:
-        return rows.select("id", F.concat(F.lit(f"https://{domain}/article-"), i).alias("url"), F.concat(F.lit("Article "), i).alias("title"), (150 + i % 75).cast("int").alias("word_count"), F.round(0.85 + (i % 17) * 0.009, 6).alias("freshness"))
-    return rows.select("id", F.concat(F.lit(f"https://{domain}/result-"), i).alias("url"), F.concat(F.initcap(F.lit(q)), F.lit(" "), i).alias("title"), (200 + i % 90).cast("int").alias("word_count"), F.round(0.90 + (i % 13) * 0.007, 6).alias("freshness"))
+    """Generated rows of one domain: id, url, title, word_count, freshness."""
+    return inventories(spark.createDataFrame([(domain,)], "domain string"), limit, q).drop("domain")
 
 
 def chunks(items: DataFrame, words: int = 200) -> DataFrame:
