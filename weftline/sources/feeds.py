@@ -156,8 +156,8 @@ def brand_list(brands: DataFrame, q: str | None = None, category: str | None = N
 def inventories(domains: DataFrame, limit: int, q: str | None = None) -> DataFrame:
     """Generated rows for each domain: domain, id, url, title, word_count, freshness. ``limit`` is clamped to 0..500."""
     n = clamped(limit, 0, 500)
-    ids = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
-    rows = domains.select("domain", F.explode(ids).cast("long").alias("id"))
+    ids = F.sequence(F.lit(1), F.lit(n)) if n else F.array()
+    rows = domains.select("domain", F.explode(ids.cast("array<long>")).alias("id"))
     i, kind = F.col("id"), "article" if q is None else "result"
     words, fresh = (150 + i % 75, 0.85 + (i % 17) * 0.009) if q is None else (200 + i % 90, 0.90 + (i % 13) * 0.007)
     title = F.lit("Article") if q is None else F.initcap(F.lit(q))
