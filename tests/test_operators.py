@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import BadRequest, NotFound
 from weftline.functions import dates, text, urls, vectors
-from weftline.operators import analytics, authority, cells, clustering, graph, similarity, sites, store
+from weftline.operators import analytics, authority, cells, clustering, graph, retrieval, similarity, sites, store
 from weftline.plans import tables
 from weftline.sources import feeds, html
 
@@ -368,6 +368,94 @@ def test_retrieval_index(spark):
     assert similarity.retrieve(index, "fruit", 1).count() == 1 and similarity.retrieve(index, "fruit", 5, filters={"site_id": 999999}).count() == 0
 
 
+def grouped_texts(spark, groups=24, each=40):
+    """Texts in groups: a text of its own for each, of which every member has three characters changed; one group has copies of one text."""
+    draw, rows = random.Random(5), []
+    for g in range(groups):
+        base = [draw.choice("abcdefghij klmnop") for _ in range(400)]
+        for i in range(each):
+            own = list(base)
+            for at in draw.sample(range(400), 0 if g == 3 else 3):
+                own[at] = draw.choice("xyz")
+            rows.append((g * each + i, f"https://s{g % 2}.example/{g}/{i}", f"t{i}", "".join(own), g))
+    return spark.createDataFrame(rows, "id long, url string, title string, text string, topic long"), rows
+
+
+def same_rows(found, exact):
+    key = lambda df: [(r["id"], r["score"]) for r in df.select("id", "score").collect()]
+    return key(found) == key(exact)
+
+
+def test_stored_index_finds_what_a_scan_finds_and_opens_few_cells(spark, tmp_path):
+    docs, rows = grouped_texts(spark)
+    path = str(tmp_path / "index")
+    with pytest.raises(NotFound):
+        retrieval.search(spark, path, "x")
+    retrieval.build(docs, path, n_cells=24)
+    near = 0
+    for g in (0, 3, 9, 17):
+        asked = rows[g * 40 + 7][3]
+        exact = similarity.retrieve(docs, asked, 10)
+        found = retrieval.search(spark, path, asked, 10)
+        assert same_rows(found, exact) and set(found.columns) == {*docs.columns, "score"}
+        cut = retrieval.search(spark, path, asked, 10, probes=3, exact=False)
+        near += len({r["id"] for r in cut.collect()} & {r["id"] for r in exact.collect()})
+    assert near >= 36  # 0.9 of 40
+    for more in ({"site": "//s1."}, {"filters": {"topic": 4}}, {"site": "//s0.", "filters": {"topic": 5}}, {"filters": {"none": 1}}):
+        assert same_rows(retrieval.search(spark, path, rows[200][3], 7, **more), similarity.retrieve(docs, rows[200][3], 7, **more))
+    for asked, k in (("", 3), ("q", 2000), (rows[5][3], 0)):
+        assert same_rows(retrieval.search(spark, path, asked, k), similarity.retrieve(docs, asked, k))
+
+
+def test_exact_search_reads_only_cells_that_can_hold_better_rows(spark, tmp_path):
+    docs, rows = grouped_texts(spark)
+    path = str(tmp_path / "index")
+    retrieval.build(docs, path, n_cells=24)
+    _, listed = retrieval._opened(spark, path)
+    assert listed["cell_rows"].sum() == len(rows) and len(listed) > 10
+    for g in (1, 9, 20):
+        assert len(retrieval.cells_for(spark, path, rows[g * 40][3], 10, probes=2)) < len(listed) / 2
+    assert len(retrieval.cells_for(spark, path, "q", 2000)) == len(listed)  # more than there are: all
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        plan = retrieval.search(spark, path, rows[9 * 40][3], 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "cell#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
+def test_stored_index_takes_rows_in_and_survives_nulls(spark, tmp_path):
+    docs, rows = grouped_texts(spark, 6, 20)
+    path = str(tmp_path / "index")
+    retrieval.upserted(docs, path)
+    new = spark.createDataFrame([(3, "u3", "n", "quite another text", 9), (900, "u900", None, None, 9), (None, "u", None, "no id", None), (901, None, None, "", 9)], "id long, url string, title string, text string, topic long")
+    for _ in range(2):  # again is no change
+        retrieval.upserted(new, path)
+        whole = docs.filter("id <> 3").unionByName(new)
+        for asked in ("quite another text", "no id", rows[50][3]):
+            assert same_rows(retrieval.search(spark, path, asked, 8), similarity.retrieve(whole, asked, 8))
+        assert retrieval.search(spark, path, "a", 999).count() == whole.count()
+    retrieval.build(docs.limit(0), path)
+    assert retrieval.search(spark, path, "a").count() == 0
+    retrieval.upserted(docs.withColumn("cell", F.lit("own")).withColumn("embedding", F.lit("own")), path)
+    assert retrieval.search(spark, path, "a", 999).count() == docs.count()
+
+
+def test_fetched_files(spark, tmp_path):
+    import gzip
+
+    packed = gzip.compress("<p>é</p>".encode() * 50)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, body in (("a.html.gz", packed), ("deep/b.html", b"plain"), ("c.gz", packed[: len(packed) // 2]), ("d.gz", b"not packed"), ("e.bin", gzip.compress(b"x") + gzip.compress(b"y")), ("f", b""), ("g", b"x" * 2000), ("h.gz", gzip.compress(b"x" * 2000))):
+        (tmp_path / "in" / name).write_bytes(body)
+    got = {r["url"].rsplit("/", 1)[1]: r for r in feeds.fetched(spark, str(tmp_path / "in"), most=1000).collect()}
+    assert set(got) == {"a.html.gz", "b.html", "c.gz", "d.gz", "e.bin"}  # f is empty, g is too long, h once unpacked
+    assert got["a.html.gz"]["html"] == "<p>é</p>" * 50 and got["a.html.gz"]["packed"] and got["a.html.gz"]["length"] == len(packed)
+    assert got["b.html"]["html"] == "plain" and got["e.bin"]["html"] == "xy" and got["d.gz"]["html"] == "not packed"
+    assert "\ufffd" in got["c.gz"]["html"] and got["c.gz"]["packed"]
+    assert {r["url"].rsplit("/", 1)[1] for r in feeds.fetched(spark, str(tmp_path / "in"), files="*.html").collect()} == {"b.html"}
+
+
 def test_embedders():
     assert [vectors.embedder(*a)[1] for a in (("hash64",), ("hash",), ("hash32",), ("hash32", "16"), ("hash32", "x"), ("other9",), ("char8", 0))] == [64, 64, 32, 16, 64, 64, 1]
 

@@ -66,7 +66,7 @@ def cleared(target: DataFrame, value: str, where: Column | None = None) -> DataF
 def reembedded(items: DataFrame, scope: str = "missing", url: str | None = None, domain: str | None = None, dim: int = 64) -> DataFrame:
     """Items with new character-hash embeddings of "title url" in the scope: missing (null or empty), all, or single (one url). ``updated`` says which.
 
-    One pass over the table, so nothing is skipped that the pass itself makes complete. Another scope, or single without a url: BadRequest.
+    Rows in the scope and the others are read separately, so that only the former go through a Python worker. Another scope, or single without a url: BadRequest.
     """
     if scope not in ("missing", "all", "single") or scope == "single" and not url:
         raise BadRequest("scope must be missing, all, or single with a url")

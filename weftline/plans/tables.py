@@ -96,15 +96,16 @@ def _clean(spark: SparkSession, path: str, kept: tuple[str, ...]) -> None:
             fs.delete(status.getPath(), True)
 
 
-def replaced(df: DataFrame, path: str, form: str = "parquet") -> str:
-    """Writes ``df`` as the version of a store that counts from now on, and returns its folder; ``df`` may read the store itself.
+def replaced(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ()) -> str:
+    """Writes ``df`` as the version of a store that counts from now on, in folders ``by`` columns, and returns its folder; ``df`` may read the store itself.
 
     A version is a folder of its own, and one file names the one that counts; that file is replaced in one step after the
     version is complete. So whatever fails, and whenever, readers find all of the old rows or all of the new ones. The version
     before stays for those that read it still; older ones, and what failed writes left, are deleted. One writer at a time.
     """
     spark, old, version = df.sparkSession, current(df.sparkSession, path), f"v-{uuid.uuid4().hex}"
-    df.write.format(form).save(f"{path}/{version}")
+    out = df.write.format(form)
+    (out.partitionBy(*by) if by else out).save(f"{path}/{version}")
     _swap(spark, _point(spark, path, version), path)
     _clean(spark, path, (version, old.rsplit("/", 1)[1] if old else version))
     return f"{path}/{version}"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.functions import dates, prompts, text, urls, vectors
-from weftline.operators import analytics, authority, cells, clustering, graph, recommend, similarity, sites, store
+from weftline.operators import analytics, authority, cells, clustering, graph, recommend, retrieval, similarity, sites, store
 from weftline.plans.catalog import ITEMS_SQL, LINKED_SQL, SNAPSHOTS_SQL, content_items, embedded_items, linked_items, site_rows, snapshots, table
-from weftline.plans.tables import written
+from weftline.plans.tables import shared_dir, written
 from weftline.sources import feeds, html
 
 AS_OF = "2024-01-15"
@@ -452,6 +454,32 @@ def retrieval_upserted(spark, d):
     return similarity.retrieve(store.retrieval_upserted(index, again), "yellow fruit", 10, filters={}).select("id", "score")
 
 
+@query(f"""WITH t AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT -1, (SELECT min(text) FROM benchmark)), {CHAR_SQL}, {FIND_SQL}
+SELECT s.id, source, round(score, 6) AS score FROM s JOIN documents ON doc_id = s.id ORDER BY round(score, 6) DESC, s.id LIMIT 20""")
+def retrieval_indexed(spark, d):
+    """What a stored index of all documents finds for a benchmark's text: the same as a scan, from the cells that can hold it."""
+    docs = content_items(spark, d).select("id", "url", "title", F.col("content").alias("text"), F.col("domain").alias("source"))
+    path = f"{shared_dir(spark)}/weftline/index-{uuid.uuid4().hex}"
+    retrieval.build(docs, path)
+    told = table(spark, d, "benchmark").agg(F.min("text")).first()[0]
+    return retrieval.search(spark, path, told or "", 20).select("id", "source", "score")
+
+
+@query(f"""WITH x AS (SELECT page_id AS id, url AS text FROM pages UNION ALL SELECT -2 - item_id, text FROM benchmark),
+y AS (SELECT id, CASE WHEN id < -1 THEN 'green fruit ' || id ELSE text END AS text FROM x), t AS (SELECT id, text AS t FROM y UNION ALL SELECT -1, 'green fruit -7'), {CHAR_SQL},
+q AS (SELECT b, round(v / n, 6) AS x FROM b JOIN n USING (id) WHERE id = -1), v AS (SELECT id, b, round(CASE WHEN n > 0 THEN v / n ELSE v END, 6) AS x FROM b JOIN n USING (id) WHERE id <> -1),
+s AS (SELECT v.id, sum(v.x * coalesce(q.x, 0)) / sqrt(sum(v.x * v.x)) / (SELECT sqrt(sum(x * x)) FROM q) AS score FROM v LEFT JOIN q USING (b) GROUP BY v.id)
+SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 25""")
+def retrieval_index_upserted(spark, d):
+    """A stored index of pages' urls and of items, into which the items are put again with other texts, and what it finds."""
+    items = table(spark, d, "benchmark").select((-2 - F.col("item_id")).alias("id"), F.format_string("https://bench.example/%d", "item_id").alias("url"), "text")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.col("url").alias("text"))
+    path = f"{shared_dir(spark)}/weftline/index-{uuid.uuid4().hex}"
+    retrieval.build(pages.unionByName(items), path)
+    retrieval.upserted(items.withColumn("text", F.concat(F.lit("green fruit "), "id")), path)
+    return retrieval.search(spark, path, "green fruit -7", 25).select("id", "score")
+
+
 @query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, coalesce(title, '') || ' ' || coalesce(url, '') AS t FROM items WHERE embedding IS NULL OR len(embedding) = 0), {CHAR_SQL},
 x AS (SELECT id, sum(round(CASE WHEN n > 0 THEN v / n ELSE v END, 6) * (b + 1)) AS told FROM b JOIN n USING (id) GROUP BY id)
 SELECT items.id, t.id IS NOT NULL AS updated, round(CASE WHEN t.id IS NOT NULL THEN told ELSE list_sum(list_transform(embedding, lambda e, i: e::DOUBLE * i)) END, 4) AS told FROM items LEFT JOIN t USING (id) LEFT JOIN x USING (id)""")

@@ -209,6 +209,19 @@ def decoded(url: Column, content_type: Column, body: Column) -> Column:
     return F.pandas_udf(_decoded, "string")(url, content_type, body)
 
 
+def fetched(spark: SparkSession, path: str, most: int = MAX_BYTES, files: str = "*") -> DataFrame:
+    """url (a file's path), modified, length, packed and html of the files under ``path`` whose names match ``files``: fetched bodies, plain or gzip.
+
+    Files over ``most`` bytes are not opened, and texts over it are left out once unpacked. A file counts as packed if it begins as gzip does,
+    whatever its name. One that cannot be unpacked to its end is read as it is, with marks for what is no UTF-8. Spark skips empty files.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", files).load(path).filter(F.col("length") <= most)
+    packed = F.coalesce(F.hex(F.substring("content", 1, 2)) == "1F8B", F.lit(False))
+    kind = F.when(packed, "application/gzip").otherwise("text/html")
+    rows = read.select(F.col("path").alias("url"), F.col("modificationTime").alias("modified"), "length", packed.alias("packed"), decoded(F.lit(""), kind, F.col("content")).alias("html"))
+    return rows.filter(F.octet_length("html") <= most)
+
+
 def _zipped(body: pd.Series) -> pd.Series:
     return body.map(lambda b: None if b is None else gzip.compress(b, 1, mtime=0))
 
