@@ -26,14 +26,18 @@ def sitemap_urls(xml: Column | str) -> Column:
     return let(read, lambda s: F.struct(locs(s["url"]).alias("urls"), locs(s["sitemap"]).alias("sitemaps")))
 
 
-def page_urls(sitemaps: DataFrame, entry: str, children: int = 50) -> DataFrame:
-    """pos, page_url from a table (url, xml): those of the entry, or, if it is an index, of its first ``children`` sitemaps; first places only."""
+def page_urls(sitemaps: DataFrame, entry: str, children: int | None = 50, repeats: bool = False) -> DataFrame:
+    """pos, page_url from a table (url, xml): those of the entry, or, if it is an index, of its first ``children`` sitemaps (None: all); first places only.
+
+    With ``repeats`` a page comes at each place that names it. A sitemap that is named twice counts at its first place.
+    """
     read = sitemaps.select("url", sitemap_urls("xml").alias("s")).select("url", "s.urls", "s.sitemaps")
     top = read.filter(F.col("url") == entry)
-    kids = top.select(F.posexplode(F.slice("sitemaps", 1, children)).alias("at", "kid"))
+    kids = top.select(F.posexplode("sitemaps" if children is None else F.slice("sitemaps", 1, children)).alias("at", "kid")).groupBy("kid").agg(F.min("at").alias("at"))
     nested = kids.join(read, F.col("kid") == F.col("url")).select("at", F.posexplode("urls").alias("pos", "page_url"))
     own = top.filter(F.size("sitemaps") == 0).select(F.lit(0).alias("at"), F.posexplode("urls").alias("pos", "page_url"))
-    return nested.union(own).groupBy("page_url").agg(F.min(F.struct("at", "pos")).alias("first")).select("first.at", "first.pos", "page_url")
+    pages = nested.union(own)
+    return pages if repeats else pages.groupBy("page_url").agg(F.min(F.struct("at", "pos")).alias("first")).select("first.at", "first.pos", "page_url")
 
 
 def walk_sitemaps(sitemaps: DataFrame, entry: str | DataFrame, limit: int | None = None) -> DataFrame:
