@@ -1,7 +1,8 @@
 """An approximate index of vectors: cells around centres, searched by the nearest few, with exact scores in them.
 
-Equal vectors are one class, so copies cost no pairs, and dense regions get as many cells as they have rows. What a task
-holds is a piece of a cell's classes and a piece of those that ask there, both of bounded rows.
+Equal vectors are one class, so copies cost no pairs, and dense regions get as many cells as they have rows. Neighbouring
+cells form regions, and a class that asks goes once to each region that has one of its cells, so what is shuffled grows with
+regions and not with cells. What a task holds is a piece of a region's classes and a piece of those that ask there, both of bounded rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from weftline.plans.tables import dropped, written
 CELL_ROWS, MOST_CELLS, SAMPLE, ROUNDS = 512, 4096, 32, 8
 #: Classes by which the number of probes is chosen, and the share of their nearest that these must reach.
 TRIED, RECALL = 256, 0.93
-#: Classes of a piece, of those that are found and of those that ask.
-FOUND, ASKING = 4096, 8192
+#: Classes of a piece on average, at most and at least, and of those that ask, at most; those of one product; pieces that meet, for each core, before pieces grow to that.
+FOUND, LEAST, ASKING, PRODUCT, MEETINGS = 49_152, 1024, 49_152, 2048, 4
 
 
 def _near(x: np.ndarray, centres: np.ndarray, most: int) -> np.ndarray:
@@ -88,39 +89,124 @@ def probes_for(classes: DataFrame, middles: np.ndarray, most: int, recall: float
     return int(np.searchsorted(reached, recall)) + 1 if len(rank) else 1
 
 
-def nearest_classes(found: DataFrame, asking: DataFrame, most: int) -> DataFrame:
+def regions(middles: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """The region of each cell: cells with ``rows`` each, halved across their longest axis until a part has about ``most`` rows."""
+    out, todo, n = np.zeros(len(rows), np.int32), [(np.arange(len(rows)), -(-int(rows.sum()) // most))], 0
+    while todo:
+        at, parts = todo.pop()
+        if parts <= 1 or len(at) == 1:
+            out[at], n = n, n + 1
+            continue
+        x = middles[at] - middles[at].mean(axis=0)
+        order = at[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        upto = np.cumsum(rows[order])
+        cut = min(max(int(np.searchsorted(upto, upto[-1] * (parts // 2) / parts)) + 1, 1), len(at) - 1)
+        todo += [(order[cut:], parts - parts // 2), (order[:cut], parts // 2)]
+    return out
+
+
+def _best(x: np.ndarray, asked: np.ndarray, y: np.ndarray, ends: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Rows of x, rows of y and similarities: the ``most`` best of y for each of x, in the cells it asks. ``y`` is in order of cell, and cell c ends before ``ends[c]``."""
+    least = np.full(len(x), -np.inf)  # what a row must reach, a rounding below the last of its best
+    s, t, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    new: list[tuple[np.ndarray, ...]] = []
+
+    def kept(parts):
+        s, t, sims = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((first[t], -sims, s))
+        s, t, sims = s[order], t[order], sims[order]
+        place = np.arange(len(s)) - np.searchsorted(s, s)
+        last = place == most - 1
+        least[s[last]] = sims[last] - 1e-6
+        return s[place < most], t[place < most], sims[place < most]
+
+    cells = [(c, lo, min(lo + PRODUCT, end)) for c, (start, end) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)) for lo in range(start, end, PRODUCT)]
+    for c, lo, hi in cells:
+        rows = np.flatnonzero(asked[:, c])
+        if not len(rows):
+            continue
+        found = x[rows] @ y[lo:hi].T
+        if hi - lo > most and (none := np.isinf(least[rows])).any():
+            least[rows[none]] = np.partition(found[none], hi - lo - most, axis=1)[:, hi - lo - most] - 1e-6
+        r, at = np.nonzero(found >= least[rows][:, None])
+        new.append((rows[r], lo + at, np.round(found[r, at], 6)))
+        if sum(len(p[0]) for p in new) > 2 * most * len(x):
+            (s, t, sims), new = kept([(s, t, sims), *new]), []
+    return kept([(s, t, sims), *new])
+
+
+def nearest_classes(found: DataFrame, asking: DataFrame, most: int, middles: np.ndarray) -> DataFrame:
     """source, target and similarity (6 decimals): for each class that asks (cls, u, cells) the ``most`` best of those in its cells (cls, u, cells, first), ties to the smaller ``first``.
 
-    Cells are split into pieces by their counts; every piece of askers meets every piece of their cell once.
+    Cells, whose centres are ``middles``, form regions, and these are split into pieces by their counts; every piece of askers meets every piece of their region once.
     """
-    own = found.select(F.col("cells")[0].alias("cell"), F.col("cls").alias("t"), F.col("u").alias("tu"), "first")
-    ask = asking.select(F.explode("cells").alias("cell"), F.col("cls").alias("s"), F.col("u").alias("su"))
-    sizes = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / FOUND).alias("tp")).join(ask.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("sp")), "cell")
-    sizes = F.broadcast(written(sizes, "cells"))  # a row a cell, MOST_CELLS at most
+    spark = found.sparkSession
+    rows = np.zeros(len(middles), np.int64)
+    for r in found.groupBy(F.col("cells")[0].alias("cell")).count().collect():  # a row a cell, MOST_CELLS at most
+        rows[r["cell"]] = r["count"]
+    side = int(np.ceil(np.sqrt(MEETINGS * spark.sparkContext.defaultParallelism)))
+    sized = lambda n, bound: min(bound, max(LEAST, -(-n // side)))
+    most_found, most_asking = sized(int(rows.sum()), FOUND), sized(asking.count(), ASKING)
+    region = regions(middles, rows, most_found)
+    members = [np.flatnonzero(region == g) for g in range(region.max() + 1)]
+    slot = np.zeros(len(region), np.int32)
+    for m in members:
+        slot[m] = np.arange(len(m))
+    shared = spark.sparkContext.broadcast((len(region), members))
+
+    def asked(cells: pa.Array):
+        n, members = shared.value
+        on = np.zeros((len(cells), n), bool)
+        np.put_along_axis(on, np.asarray(cells.flatten()).reshape(len(cells), -1), True, axis=1)
+        for g, m in enumerate(members):
+            at = np.flatnonzero(on[:, m].any(axis=1))
+            if len(at):
+                yield g, at, on[np.ix_(at, m)]
+
+    def count(batches):
+        for b in batches:
+            got = [(g, len(at)) for g, at, _ in asked(b.column(0))] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([n for _, n in got], pa.int64())], names=["region", "n"])
+
+    def spread(batches):
+        for b in batches:
+            for g, at, on in asked(b.column(2)) if b.num_rows else ():
+                bits = [x.tobytes() for x in np.packbits(on, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(bits, pa.binary())], names=["region", "s", "su", "asked"])
+
+    asks = {r["region"]: r["n"] for r in asking.select("cells").mapInArrow(count, "region int, n long").groupBy("region").agg(F.sum("n").alias("n")).collect()}
+    pieces = lambda n, bound: max(1, round(n / bound))
+    split = [(g, pieces(int(rows[m].sum()), most_found), pieces(asks[g], most_asking)) for g, m in enumerate(members) if g in asks and rows[m].sum()]
+    meetings = sum(tp * sp for _, tp, sp in split)
+    sizes = F.broadcast(spark.createDataFrame(split, "region int, tp int, sp int"))
+    placed = F.broadcast(spark.createDataFrame([(c, int(region[c]), int(slot[c])) for c in range(len(region))], "cell int, region int, slot int"))
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    own = own.join(sizes, "cell").select("cell", pick("t", "tp").alias("a"), every("sp").alias("b"), "t", "tu", "first")
-    ask = ask.join(sizes, "cell").select("cell", every("tp").alias("a"), pick("s", "sp").alias("b"), "s", "su")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = found.select(F.col("cells")[0].alias("cell"), F.col("cls").alias("t"), F.col("u").alias("tu"), "first").join(placed, "cell").join(sizes, "region")
+    own = own.select("region", pick("t", "tp").alias("a"), every("sp").alias("b"), "slot", "t", "tu", "first")
+    ask = asking.select("cls", "u", "cells").mapInArrow(spread, "region int, s long, su array<double>, asked binary").join(sizes, "region")
+    ask = ask.select("region", every("tp").alias("a"), pick("s", "sp").alias("b"), "s", "su", "asked")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"source": [], "target": [], "similarity": [], "first": []}
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
             matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(len(c), -1)
-            x, y = matrix(left.column("su")), matrix(right.column("tu")).T
-            s, t, first = left.column("s").to_numpy(), right.column("t").to_numpy(), right.column("first").to_numpy()
-            for lo in range(0, len(x), 512):
-                for i, row in enumerate(np.round(x[lo : lo + 512] @ y, 6)):
-                    least = np.partition(row, len(row) - most)[len(row) - most] if len(row) > most else -2
-                    at = np.flatnonzero(row >= least)
-                    at = at[np.lexsort((first[at], -row[at]))][:most]
-                    out["source"].append(np.full(len(at), s[lo + i]))
-                    out["target"].append(t[at])
-                    out["similarity"].append(row[at])
-                    out["first"].append(first[at])
-        return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, np.float64 if k == "similarity" else np.int64)) for k, v in out.items()})
-
-    keys = ["cell", "a", "b"]
-    pairs = ask.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(meet, "source long, target long, similarity double, first long")
+            slot = right.column("slot").to_numpy()
+            order = np.argsort(slot, kind="stable")
+            y, t, first = matrix(right.column("tu"))[order], right.column("t").to_numpy()[order], right.column("first").to_numpy()[order]
+            parts = []
+            for lo in range(0, left.num_rows, PRODUCT):
+                some = left.slice(lo, PRODUCT)
+                on = np.unpackbits(np.frombuffer(b"".join(some.column("asked").to_pylist()), np.uint8).reshape(some.num_rows, -1), axis=1).astype(bool)
+                ends = np.searchsorted(slot[order], np.arange(on.shape[1]), side="right")
+                i, at, sims = _best(matrix(some.column("su")), on, y, ends, first, most)
+                parts.append((some.column("s").to_numpy()[i], t[at], sims, first[at]))
+            out = [np.concatenate(p) for p in zip(*parts, strict=True)]
+        return pa.table(dict(zip(("source", "target", "similarity", "first"), map(pa.array, out), strict=True)))
+
+    keys = ["region", "a", "b"]
+    apart = lambda df: df.repartition(max(1, min(2 * meetings, 4096)), *keys).groupBy(*keys)
+    pairs = apart(ask).cogroup(apart(own)).applyInArrow(meet, "source long, target long, similarity double, first long")
     place = F.row_number().over(W.partitionBy("source").orderBy(F.col("similarity").desc(), "first"))
     return pairs.withColumn("place", place).filter(F.col("place") <= most).select("source", "target", "similarity")
 
@@ -141,7 +227,7 @@ def link_suggestions_indexed(items: DataFrame, per_item: int = 5, min_sim: float
         return items.sparkSession.createDataFrame([], "source_id long, target_id long, source_url string, target_url string, similarity double")
     middles = centres(classes, n, cells)
     placed = written(celled(classes, middles, probes or probes_for(classes, middles, per_item)).join(classes.select("cls", "first"), "cls"), "placed")
-    near = written(nearest_classes(placed.filter("first is not null"), placed, 2 * per_item), "near")
+    near = written(nearest_classes(placed.filter("first is not null"), placed, 2 * per_item, middles), "near")
     rows = written(on.join(classes.select("u", "cls"), "u").select("row", "id", "url", "path", "home", "cls"), "rows")
     # of a class, what any source can need: of each path as many rows as are asked for, and twice as many of all
     of_path = F.row_number().over(W.partitionBy("cls", "path").orderBy("row"))
